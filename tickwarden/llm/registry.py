@@ -4,24 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .common import table
+from .decontaminate import contaminated
 from .idfiles import read_id_files, write_id_files
+from .lm import score_documents
+from .neardup import near_duplicates
 from .packing import best_fit_sequences
+from .pii import replace_private_data
+from .quality import REJECT_BELOW, fit, held_out, with_scores
+from .secrets import digest, find_secrets
 from .sharding import consistent_hash_shards
 from .tokens import vocabulary_path
+from .topk import exact_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of each document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: counts, hash of the known forms and all spans."""
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data, and the number of mentions in each."""
+    return replace_private_data(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_mentions")
+
+
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents against those labelled good and not toxic."""
+    target = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return score_documents(table(spark, sf_dir, "documents"), target)
+
+
+def op5_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op6_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of the ring whose row counts differ by one at most."""
     out = consistent_hash_shards(table(spark, sf_dir, "documents"), shards=8, slack=0.0)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "first_shard")
 
 
+def op7_nnpu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net, _ = fit(docs, table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= REJECT_BELOW).cast("int")
+    return with_scores(docs, net).select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, written to packed files and read back."""
     return read_id_files(write_id_files(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=2))
@@ -32,9 +75,34 @@ def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_sequences(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (
+    op1_minhash_neardup,
+    op2_entropy_secrets,
+    op3_pii_surrogates,
+    op4_cross_entropy_difference,
+    op5_cover_tree_top_k,
+    op6_bounded_ring_shards,
+    op7_nnpu_quality,
+    op8_bit_packed_ids,
+    op9_residual_packing,
+    op10_minhash_containment,
+    pipeline,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_bounded_ring_shards, op8_bit_packed_ids, op9_residual_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
