@@ -98,3 +98,34 @@ def test_briefing(spark):
     log = spark.createDataFrame([("Critical", "A", "e1", "hot", "Active", "t1"), ("Warning", "A", "e2", "warm", "Cleared", "t2")], "severity string, source string, equipment string, alarm string, status string, timestamp string")
     text = briefing.briefing(log)
     assert "Total alarms: 2" in text and "- A: 2" in text and "- t1 e1: hot" in text
+
+
+def test_context_read_models(spark):
+    from tickwarden.plans import readmodels as m
+
+    equipment = spark.createDataFrame([("E1", "UPS", "room", "High", "EPMS")], "equipment string, equipment_type string, location string, criticality string, source_system string")
+    rules = spark.createDataFrame([("R1", "rule", "Critical")], "rule_id string, rule_name string, severity string")
+    points = spark.createDataFrame([("P1", "point", "Point")], "point_id string, point_name string, display_name string")
+    row = lambda name, **given: spark.createDataFrame([tuple(given.get(c, "") for c in HEADERS[name])], HEADERS[name] and ", ".join(f"{c} string" for c in HEADERS[name]))
+    context = {
+        "facility_scenarios": row("facility_scenarios", id="S1", start_time="1").unionByName(row("facility_scenarios", id="S2", start_time="2")),
+        "alarm_correlations": row("alarm_correlations", id="C1", impacted_equipment="E1; E2").unionByName(row("alarm_correlations", id="C2")),
+        "alarm_correlation_members": row("alarm_correlation_members", id="M1", correlation_id="C1", alarm_rule_id="R1", point_id="P9"),
+        "incident_timeline": row("incident_timeline", id="T1", equipment_id="OPS"),
+        "shift_turnover": row("shift_turnover", id="H1", watch_items="a;;b"),
+        "equipment_out_of_service": row("equipment_out_of_service", id="O1", equipment_id="E1"),
+        "corrective_actions": row("corrective_actions", id="A1", equipment_id="E1"),
+        "procedure_references": row("procedure_references", id="Q1"),
+        "reliability_reports": row("reliability_reports", id="L1"),
+    }
+    got = {k: df.collect() for k, df in m.operations_overview(context, equipment, rules, points).items()}
+    assert got["active_scenario"][0]["id"] == "S2"
+    nested = {r["id"]: r for r in got["alarm_correlations"]}
+    assert (nested["C1"]["members"][0]["rule_name"], nested["C1"]["members"][0]["point_name"], nested["C2"]["members"]) == ("rule", "", [])
+    assert nested["C1"]["impacted_equipment_list"] == ["E1", "E2"]
+    assert got["incident_timeline"][0]["equipment_type"] == "" and got["equipment_out_of_service"][0]["equipment_type"] == "UPS"
+    assert got["shift_turnover"][0]["watch_item_list"] == ["a", "b"]
+    alarms = spark.createDataFrame([("R1", "P1", "E9", "CLEARED", "2"), ("R1", "P1", "E1", "ACTIVE", "1")], "rule_id string, point_id string, equipment_id string, state string, last_evaluated_at string")
+    shown = m.generated_alarms(alarms, rules, points, equipment).collect()
+    assert [(r["state"], r["equipment_type"]) for r in shown] == [("ACTIVE", "UPS"), ("CLEARED", "Unknown")]
+    assert m.operational_counts({"alarms": alarms}) == {"alarms": 2} and m.as_json(alarms).count() == 2

@@ -34,12 +34,12 @@ def point_dictionary(points: DataFrame, equipment: DataFrame) -> DataFrame:
 def rule_catalog(rules: DataFrame, points: DataFrame, equipment: DataFrame) -> DataFrame:
     """Rules with point and equipment; a missing point leaves nulls, missing equipment is Unknown."""
     p = points.select("point_id", "point_name", "display_name", "equipment_id", F.col("unit").alias("point_unit"))
-    return with_equipment(rules.join(p, "point_id", "left"), equipment, "Unknown")
+    return with_equipment(rules.join(p, "point_id", "left"), equipment, "Unknown").orderBy("equipment_id", "point_name", "rule_name")
 
 
 def current_values(latest: DataFrame, points: DataFrame, equipment: DataFrame) -> DataFrame:
     p = points.select("point_id", "point_name", "display_name", "equipment_id", "unit", "data_type")
-    return with_equipment(latest.join(p, "point_id", "left"), equipment, "Unknown")
+    return with_equipment(latest.join(p, "point_id", "left"), equipment, "Unknown").orderBy("equipment_id", "point_name")
 
 
 def events_enriched(events: DataFrame, rules: DataFrame, points: DataFrame, equipment: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def filtered_alarms(alarms: DataFrame, state: str | None = None, severity: str |
 
 
 def actions_ranked(actions: DataFrame, equipment: DataFrame) -> DataFrame:
-    return with_equipment(actions, equipment, "").orderBy(ranked("status", "Open", "In Progress", "Complete"), ranked("priority", "Critical", "High", "Medium", "Low"), "due_at", "id")
+    return with_equipment(actions, equipment, "").orderBy(ranked("status", "Open", "In Progress"), ranked("priority", "Critical", "High", "Medium"), "due_at", "id")
 
 
 def nested(parents: DataFrame, members: DataFrame, key: str, *order: str) -> DataFrame:
@@ -89,3 +89,63 @@ def as_json(df: DataFrame) -> DataFrame:
 def shift_turnover(turnovers: DataFrame) -> DataFrame:
     """Turnovers with their two semicolon lists as arrays, newest first."""
     return turnovers.withColumns({"watch_item_list": t.semicolon_list(F.col("watch_items")), "open_action_list": t.semicolon_list(F.col("open_actions"))}).orderBy(F.desc("shift_date"), "id")
+
+
+# --- operations context -------------------------------------------------------------------
+
+
+def facility_scenarios(scenarios: DataFrame) -> DataFrame:
+    return scenarios.orderBy(F.desc("start_time"), "id")
+
+
+def alarm_correlations(correlations: DataFrame, members: DataFrame, rules: DataFrame, points: DataFrame) -> DataFrame:
+    """Correlations with their members, each with its rule's and point's names, empty where they are missing."""
+    m = members.select("correlation_id", "id", F.col("alarm_rule_id").alias("rule_id"), "point_id", "equipment_id", "contribution", "evidence")
+    m = m.join(rules.select("rule_id", "rule_name", "severity"), "rule_id", "left").join(points.select("point_id", "point_name"), "point_id", "left")
+    m = m.withColumns({c: F.coalesce(c, F.lit("")) for c in ("rule_name", "severity", "point_name")}).withColumnRenamed("correlation_id", "parent")
+    out = nested(correlations.withColumn("parent", F.col("id")), m.withColumnRenamed("id", "member_id"), "parent", "member_id").drop("parent")
+    return out.withColumn("impacted_equipment_list", t.semicolon_list(F.col("impacted_equipment"))).orderBy(F.desc("window_start"), "id")
+
+
+def incident_timeline(timeline: DataFrame, equipment: DataFrame) -> DataFrame:
+    return with_equipment(timeline, equipment, "").orderBy("event_timestamp", "id")
+
+
+def equipment_out_of_service(rows: DataFrame, equipment: DataFrame) -> DataFrame:
+    return with_equipment(rows, equipment, "").orderBy(ranked("status", "Active", "Planned"), "started_at", "id")
+
+
+def procedure_references(procedures: DataFrame) -> DataFrame:
+    return procedures.orderBy(ranked("procedure_type", "EOP", "MOP", "SOP"), "procedure_code", "id")
+
+
+def reliability_reports(reports: DataFrame) -> DataFrame:
+    return reports.orderBy(F.desc("period_end"), "id")
+
+
+def operations_overview(context: dict[str, DataFrame], equipment: DataFrame, rules: DataFrame, points: DataFrame) -> dict[str, DataFrame]:
+    """All context read models by name, the active scenario and the latest report among them."""
+    scenarios, reports = facility_scenarios(context["facility_scenarios"]), reliability_reports(context["reliability_reports"])
+    return {
+        "facility_scenarios": scenarios,
+        "active_scenario": scenarios.limit(1),
+        "alarm_correlations": alarm_correlations(context["alarm_correlations"], context["alarm_correlation_members"], rules, points),
+        "incident_timeline": incident_timeline(context["incident_timeline"], equipment),
+        "shift_turnover": shift_turnover(context["shift_turnover"]),
+        "equipment_out_of_service": equipment_out_of_service(context["equipment_out_of_service"], equipment),
+        "corrective_actions": actions_ranked(context["corrective_actions"], equipment),
+        "procedure_references": procedure_references(context["procedure_references"]),
+        "reliability_reports": reports,
+        "latest_report": reports.limit(1),
+    }
+
+
+def generated_alarms(alarms: DataFrame, rules: DataFrame, points: DataFrame, equipment: DataFrame) -> DataFrame:
+    """Alarms with rule, point and the equipment that the alarm itself names, open ones first."""
+    r, p = rules.select("rule_id", "rule_name"), points.select("point_id", "point_name", "display_name")
+    df = alarms.join(r, "rule_id", "left").join(p, "point_id", "left")
+    return with_equipment(df, equipment, "Unknown").orderBy(ranked("state", "ACTIVE", "PENDING", "CLEARED"), F.desc("last_evaluated_at"), "rule_id")
+
+
+def operational_counts(tables: dict[str, DataFrame]) -> dict[str, int]:
+    return {name: df.count() for name, df in tables.items()}
