@@ -166,9 +166,9 @@ def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.as_of_ticks(samples, points, F.col("a"), F.col("b"), TICK_SECONDS)
 
 
-@query(f"{_TICKS} SELECT point_id, tick, ingest_seq, value, quality FROM seen", "points", "point_samples")
+@query(f"{_TICKS} SELECT point_id, tick, coalesce(ingest_seq, -1) AS ingest_seq, value, quality FROM seen", "points", "point_samples")
 def asof_values_at_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_of(spark, sf_dir).select("point_id", "tick", "sample.ingest_seq", "sample.value", "sample.quality")
+    return _as_of(spark, sf_dir).select("point_id", "tick", F.coalesce("sample.ingest_seq", F.lit(-1)).alias("ingest_seq"), "sample.value", "sample.quality")
 
 
 @query(
