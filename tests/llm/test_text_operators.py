@@ -183,6 +183,65 @@ def test_a_link_away_from_the_centre_is_found(spark):
     assert got[len(texts) - 1] == got[len(texts) - 2]
 
 
+def versions(seed, n, length):
+    """Texts of one base: each version has random edits, some an addition of a common stock, some only a part of it."""
+    rng = np.random.default_rng(seed)
+    base, stock = sentence(seed, length).split(), [sentence(seed + 1000 + k, 12) for k in range(4)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for p in rng.choice(length, int(rng.integers(0, 5)), replace=False):
+            words[p] = f"v{i}x{p}"
+        words = words[: length if rng.random() < 0.5 else int(length * rng.uniform(0.75, 1))]
+        out.append(" ".join([*words, *(stock[k] for k in np.flatnonzero(rng.random(4) < 0.35))]))
+    return out
+
+
+def brute_classes(spark, texts):
+    """Least index of the class of each text by all pairs that share a band."""
+    docs = docs_of(spark, texts)
+    idf = neardup.inverse_frequencies(docs)
+    sets = [neardup.weighted(h, idf) for h in neardup.shingle_hashes(texts)]
+    bands = [[tuple(b) for b in neardup.samples(*s).reshape(neardup.BANDS, neardup.ROWS)] for s in sets]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if any(a == b for a, b in zip(bands[i], bands[j], strict=True)) and neardup.similarity(sets[i], sets[j]) >= neardup.THRESHOLD - 1e-9:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_classes_of_versions_are_brute_force(spark, monkeypatch, few):
+    """Pair by pair, or by what the nodes have beyond their centres."""
+    if not few and hasattr(neardup, "WHOLE"):
+        monkeypatch.setattr(neardup, "OUTSIDE", 0)
+        monkeypatch.setattr(neardup, "WHOLE", 0)
+    texts = versions(40, 14, 150)
+    want = brute_classes(spark, texts)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    kept = neardup.one_of_each(docs_of(spark, texts)).collect()  # the pipeline's second stage
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want))
+
+
+def parts_of_a_text(seed):
+    """A text, versions of its end, and two parts of it that are like each other but not like the text."""
+    base = sentence(seed, 204)
+    words = base.split()
+    return [base, *(edited(base, [k]) for k in range(186, 204, 3)), " ".join(words[:-42]), " ".join(words[16:-26])]
+
+
+def test_parts_that_are_less_like_the_whole_text_are_found(spark):
+    """All buckets of both parts hold the text, and beyond it they have nothing."""
+    texts = parts_of_a_text(204)
+    want = brute_classes(spark, texts)
+    assert want[-1] == want[-2] == len(texts) - 2
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_samples_estimate_the_weighted_similarity():
     rng = np.random.default_rng(4)
     idf, same, want = np.ones(1 << neardup.DF_BITS), [], []

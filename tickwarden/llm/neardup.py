@@ -13,10 +13,13 @@ pairs are verified by the exact weighted Jaccard similarity of their whole texts
 * In each bucket every node is compared to one centre, the node with most bucket neighbours:
   pairs grow with the rows, not with the square of a group. Verified pairs are joined into
   classes.
-* A node that is not similar to its centre may still be similar to a third node. If it is, and the third
-  is no lighter than the centre, the two share shingles that the centre has not: what both share with the centre is no more than
-  what the node shares with it. So MinHash samples of the shingles that each node has beyond its centre are buckets of a next
-  round, in which those of different classes are compared to a centre again, until no pair is left.
+* Buckets whose nodes are in several classes then go on, with all their nodes, until none is left. Where few nodes are outside
+  the bucket's largest class, each is compared to all nodes of other classes. Else every node is compared to one centre, and
+  new buckets hold what may be alike away from it. Let I be what a node x of weight X shares with the centre, t the threshold. A node
+  y like x has at least the weight tX and shares at least t(X + Y)/(1 + t) >= tX with x. So if I < tX, the two have shingles in common of
+  which the centre has fewer: the centre and such a shingle are a bucket. Else they may have none, but then t(X + Y)/(1 + t) <= I: the centre
+  and the slot of the weight are a bucket for x with the weights from tX to I(1 + t)/t - X and for y with its own. The new buckets' nodes come after
+  the centre in one order of all nodes, so the rounds end.
 
 Nulls: a null text counts as empty; texts of fewer than five words are one shingle; texts without
 words are alike if they are equal. Rows with null or repeated ids are documents like others. Equal texts are one class.
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hinted, ship, text_key, whole_text
+from .common import checkpoint, fresh_path, hinted, ship, text_key, whole_text
 from .components import components
 
 WORDS = 5
@@ -43,6 +46,10 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 #: MinHash samples of what a node has beyond its centre.
 BEYOND = 8
+#: Nodes outside a bucket's largest class, or nodes in all, up to which the bucket is compared pair by pair.
+OUTSIDE, WHOLE = 4, 16
+#: Slots of weight are this much wider each; what rounding may move a weight by.
+SLOT, ROUNDING = float(np.log(1.05)), 1e-6
 DF_BITS = 18
 IDF_POWER = 0.125
 CHUNK = 1 << 20
@@ -147,6 +154,26 @@ def least_of(h: np.ndarray) -> np.ndarray:
     return np.unique(np.array([h[mix(h + _U(k) * _PLACES[1]).argmin()] for k in range(BEYOND)], _U)) if len(h) else h
 
 
+def beyond(x: tuple[np.ndarray, np.ndarray], c: tuple[np.ndarray, np.ndarray], linked: bool, threshold: float) -> np.ndarray:
+    """What x has in common, beyond its centre c, with any node that is like x but in another class: shingles and slots of weight."""
+    _, i, j = np.intersect1d(x[0], c[0], assume_unique=True, return_indices=True)
+    shared, total = np.minimum(x[1][i], c[1][j]).sum(), x[1].sum()
+    over = x[1].copy()
+    over[i] -= np.minimum(x[1][i], c[1][j])
+    h, over = x[0][over > 0], over[over > 0]
+    missing = threshold * total - shared
+    if missing > ROUNDING * total:  # the first that two nodes have in common is followed by all the others
+        h = h[np.cumsum(over[::-1])[::-1] >= missing - ROUNDING * total]
+    slot = lambda w: int(np.floor(np.log(w) / SLOT))
+    slots = set()
+    if missing <= 2 * ROUNDING * total:
+        slots.add(slot(total))
+        most = shared * (1 + threshold) / threshold - total
+        if not linked and most > 0:
+            slots.update(range(slot(threshold * total * (1 - ROUNDING)), slot(most * (1 + ROUNDING)) + 1))
+    return np.concatenate([least_of(h), np.array(sorted(slots), np.int64).view(_U)])
+
+
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """The damped inverse document frequency of each place."""
 
@@ -170,7 +197,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, idf) -> DataFrame:
-    """node (the text's key) and bands of each distinct text with words."""
+    """node (the text's key), weight and bands of each distinct text with words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
@@ -178,24 +205,32 @@ def _nodes(docs: DataFrame, idf) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                use, bands = [], []
+                use, weight, bands = [], [], []
                 for n, h in enumerate(shingle_hashes(part.column(1).to_pylist())):
                     if len(h):
-                        s = samples(*weighted(h, weights))
+                        h, w = weighted(h, weights)
+                        s = samples(h, w)
                         use.append(n)
+                        weight.append(float(w.sum()))
                         of = s.reshape(BANDS, ROWS)
                         bands.append(mix(mix(mix(mix(of[:, 0]) + of[:, 1]) + of[:, 2]) + of[:, 3] + salt).view(np.int64))
                 flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(use, pa.int64())), lists], ["node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(use, pa.int64())), pa.array(weight, pa.float64()), lists], ["node", "weight", "bands"])
+
+    signed = docs.select(text_key().alias("node"), whole_text().alias("t")).mapInArrow(sign, "node binary, weight double, bands array<long>")
+    return checkpoint(signed.groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")))
 
-    signed = docs.select(text_key().alias("node"), whole_text().alias("t")).mapInArrow(sign, "node binary, bands array<long>")
-    return checkpoint(signed.groupBy("node").agg(F.first("bands").alias("bands")))
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written and read again: unlike a checkpoint's, its size is that of its files, not an estimate that multiplies from round to round."""
+    df.write.parquet(path := fresh_path(df.sparkSession, "neardup"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (node, centre) with linked, whether their texts are similar enough, and beyond, samples of the shingles that only the node has."""
-    pairs = checkpoint(pairs)
+    """The pairs (node, centre, deep) with linked, whether their texts are similar enough, and, if deep, what the node has beyond the centre."""
+    pairs = _stored(pairs)
     wanted = hinted(pairs.select(F.explode(F.array("node", "centre")).alias("node")).distinct())
     texts = docs.select(text_key().alias("node"), whole_text().alias("t")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
     right = texts.select(F.col("node").alias("centre"), F.col("t").alias("tc"))
@@ -205,33 +240,53 @@ def _compared(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataF
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
-                tn, tc = part.column(2).to_pylist(), part.column(3).to_pylist()
+                deep, tn, tc = (part.column(k).to_pylist() for k in (2, 3, 4))
                 distinct = list({*tn, *tc})
                 sets = {t: weighted(h, weights) for t, h in zip(distinct, shingle_hashes(distinct), strict=True)}
                 linked = [similarity(sets[x], sets[y]) >= threshold - 1e-9 for x, y in zip(tn, tc, strict=True)]
-                beyond = [least_of(np.setdiff1d(sets[x][0], sets[y][0], assume_unique=True)).view(np.int64) for x, y in zip(tn, tc, strict=True)]
-                ends = np.cumsum([0, *map(len, beyond)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(beyond)))], ["node", "centre", "linked", "beyond"])
+                more = [beyond(sets[x], sets[y], same, threshold).view(np.int64) if d else np.empty(0, np.int64) for x, y, same, d in zip(tn, tc, linked, deep, strict=True)]
+                ends = np.cumsum([0, *map(len, more)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(more)))], ["node", "centre", "deep", "linked", "beyond"])
 
-    full = pairs.join(texts, "node").join(right, "centre").select("node", "centre", "t", "tc")
-    return checkpoint(full.mapInArrow(check, "node binary, centre binary, linked boolean, beyond array<long>"))
+    full = pairs.join(texts, "node").join(right, "centre").select("node", "centre", "deep", "t", "tc")
+    return _stored(full.mapInArrow(check, "node binary, centre binary, deep boolean, linked boolean, beyond array<long>"))
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """(node, centre) of the buckets' members (bucket, node, n): every other node and the one with most neighbours."""
-    degree = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
-    centres = members.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("centre"))
+def _stars(members: DataFrame, order: DataFrame) -> DataFrame:
+    """(node, centre) of the buckets' members (bucket, node): every other node and the one with most neighbours, which comes first in the order."""
+    centres = members.join(order, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("centre"))
     return members.join(centres, "bucket").where("node <> centre").select("node", "centre").distinct()
 
 
+def _in_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    return nodes.join(classes.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+
+
+def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """All members (bucket, node) of buckets with nodes of several classes, with their class c, the bucket's largest class and whether to compare pair by pair."""
+    own = _in_class(members, classes)
+    sizes = own.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    few = (F.col("n") - F.col("most.n") <= OUTSIDE) | (F.col("n") <= WHOLE)
+    return _stored(own.join(mixed.select("bucket", F.col("most.c").alias("largest"), few.alias("few")), "bucket"))
+
+
+def _across(mixed: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
+    """(node, centre) of different classes in a bucket, one of them outside its largest class, whose weights let them be alike."""
+    weighed = mixed.where("few").join(order.select("node", "weight"), "node")
+    outside = weighed.where("c <> largest").select("bucket", F.col("node").alias("centre"), F.col("c").alias("d"), F.col("weight").alias("v"))
+    near = F.least("weight", "v") >= F.greatest("weight", "v") * (threshold - ROUNDING)
+    found = weighed.select("bucket", "node", "c", "weight").join(outside, "bucket").where((F.col("c") != F.col("d")) & near)
+    return found.select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct()
+
+
 def _next_members(compared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of the buckets of a centre and a shingle beyond it that hold an unlinked node and nodes of two classes."""
-    shingles = compared.select("node", "linked", F.explode("beyond").alias("h"), "centre").select("node", "linked", F.xxhash64("centre", "h").alias("bucket"))
-    shared = shingles.groupBy("bucket").agg(F.count("*").alias("n"), F.bool_and("linked").alias("done")).where("n > 1 and not done")
-    members = shingles.join(shared, "bucket").select("bucket", "node", "n")
-    own = members.join(classes.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-    return checkpoint(own.join(mixed, "bucket"))
+    """(bucket, node) of the buckets of a centre and something beyond it that hold an unlinked node and nodes of two classes, each set of nodes once."""
+    own = _in_class(compared.where("deep"), classes).select("node", F.xxhash64("node").alias("key"), F.xxhash64("c").alias("c"), "linked", "centre", F.explode("beyond").alias("h"))
+    own = own.select("node", "key", "c", "linked", F.xxhash64("centre", "h").alias("bucket"))
+    sets = own.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(key)").alias("x"), F.min("c").alias("low"), F.max("c").alias("high"), F.bool_and("linked").alias("done"))
+    once = _stored(sets.where("low <> high and not done").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    return _stored(own.select("bucket", "node").join(hinted(once), "bucket"))
 
 
 def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,22 +294,27 @@ def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     spark = docs.sparkSession
     ship(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    buckets = _nodes(docs, idf).select("node", F.explode("bands").alias("bucket"))
+    nodes = _nodes(docs, idf)
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    compared = _compared(_stars(checkpoint(buckets.join(shared, "bucket"))), docs, idf, threshold)
+    members = _stored(buckets.join(shared, "bucket"))
+    order = _stored(members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")).join(nodes.select("node", "weight"), "node"))
+    members = members.select("bucket", "node")
     pair = (F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    tested, links = compared.select(*pair), compared.where("linked").select(*pair)
-    classes = components(links)
+    compared = _compared(_stars(members, order).withColumn("deep", F.lit(False)), docs, idf, threshold)
+    tested = compared.select(*pair, "linked")
+    classes = components(tested.where("linked"))
     while True:
-        members = _next_members(compared, classes)
-        of = members.select("node", "c").distinct()
-        fresh = _stars(members.drop("c")).join(of, "node").join(of.select(F.col("node").alias("centre"), F.col("c").alias("d")), "centre").where("c <> d")
-        compared = _compared(fresh.select("node", "centre", *pair).join(tested, ["a", "b"], "left_anti").select("node", "centre"), docs, idf, threshold)
-        more = compared.where("linked").select(*pair)
-        if more.isEmpty():
+        mixed = _mixed(members, classes)
+        if mixed.isEmpty():
             return classes
-        tested, links = tested.unionByName(compared.select(*pair)), links.unionByName(more)
-        classes = components(links)
+        across = _across(mixed, order, threshold).select("*", *pair).join(tested, ["a", "b"], "left_anti").select("node", "centre", F.lit(False).alias("deep"))
+        deep = _stars(mixed.where("not few").select("bucket", "node"), order).withColumn("deep", F.lit(True))
+        compared = _compared(across.unionByName(deep), docs, idf, threshold)
+        tested = _stored(tested.unionByName(compared.select(*pair, "linked")).distinct())
+        if not compared.where("linked").isEmpty():
+            classes = components(tested.where("linked"))
+        members = _next_members(compared, classes)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
