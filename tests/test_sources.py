@@ -100,6 +100,12 @@ def test_briefing(spark):
     assert "Total alarms: 2" in text and "- A: 2" in text and "- t1 e1: hot" in text
 
 
+def test_briefing_lists_all(spark):
+    rows = [("critical", f"s{i}", f"e{i}", f"a{i}", "active", f"2026-01-01 00:{i // 60:02}:{i % 60:02}") for i in range(70)]
+    text = briefing.briefing(spark.createDataFrame(rows, "severity string, source string, equipment string, alarm string, status string, timestamp string"))
+    assert all(f"- e{i}: 1\n" in text and f"- s{i}: 1\n" in text and f" e{i}: a{i}\n" in text for i in range(70))
+
+
 def test_context_read_models(spark):
     from tickwarden.plans import readmodels as m
 

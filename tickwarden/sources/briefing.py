@@ -1,16 +1,13 @@
-"""Markdown briefing of an alarm log: total, counts and what is active and critical."""
+"""Markdown briefing of an alarm log: total, counts and what is active and critical, each section whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a section; a briefing is for readers.
-LINES = 50
-
 
 def counts(log: DataFrame, column: str) -> list[tuple[str, int]]:
-    rows = log.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(LINES).collect()
+    rows = log.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).collect()
     return [(r[column], r["n"]) for r in rows]
 
 
@@ -19,7 +16,7 @@ def briefing(log: DataFrame, title: str = "Daily alarm briefing") -> str:
     out = [f"# {title}", "", f"Total alarms: {log.count()}"]
     for name in ("severity", "source", "equipment"):
         out += ["", f"## Alarms by {name}", ""] + [f"- {k}: {n}" for k, n in counts(log, name)]
-    active = log.where((F.lower("severity") == "critical") & (F.lower("status") == "active")).orderBy("timestamp", "equipment", "alarm").limit(LINES)
+    active = log.where((F.lower("severity") == "critical") & (F.lower("status") == "active")).orderBy("timestamp", "equipment", "alarm")
     out += ["", "## Active critical alarms", ""]
     out += [f"- {r['timestamp']} {r['equipment']}: {r['alarm']}" for r in active.collect()] or ["- none"]
     return "\n".join(out) + "\n"
