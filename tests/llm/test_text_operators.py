@@ -218,6 +218,7 @@ def test_classes_of_versions_are_brute_force(spark, monkeypatch, few):
     if not few and hasattr(neardup, "WHOLE"):
         monkeypatch.setattr(neardup, "OUTSIDE", 0)
         monkeypatch.setattr(neardup, "WHOLE", 0)
+        monkeypatch.setattr(neardup, "PAIRS", 0)
     texts = versions(40, 14, 150)
     want = brute_classes(spark, texts)
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
@@ -242,6 +243,18 @@ def test_parts_that_are_less_like_the_whole_text_are_found(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_all_that_two_nodes_share_beyond_their_centre_counts():
+    """Two nodes with one weight in common beyond the centre always have a shingle in common that both write."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        pool = rng.permutation(np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64)))
+        pick = lambda *parts: (np.sort(np.concatenate(parts)), np.ones(sum(map(len, parts))))
+        centre, x, y = pick(pool[:100]), pick(pool[:86], pool[100:103], pool[200:213]), pick(pool[:86], pool[100:103], pool[300:307])
+        assert neardup.similarity(x, y) >= 0.8 > neardup.similarity(x, centre)
+        found = [set(neardup.beyond(z, centre, neardup.similarity(z, centre) >= 0.8, 0.8).tolist()) for z in (x, y)]
+        assert found[0] & found[1] & set(pool[100:103].tolist())
+
+
 def test_samples_estimate_the_weighted_similarity():
     rng = np.random.default_rng(4)
     idf, same, want = np.ones(1 << neardup.DF_BITS), [], []

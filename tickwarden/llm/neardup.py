@@ -14,7 +14,7 @@ pairs are verified by the exact weighted Jaccard similarity of their whole texts
   pairs grow with the rows, not with the square of a group. Verified pairs are joined into
   classes.
 * Buckets whose nodes are in several classes then go on, with all their nodes, until none is left. Where few nodes are outside
-  the bucket's largest class, each is compared to all nodes of other classes. Else every node is compared to one centre, and
+  the bucket's largest class, or all that is left takes few pairs a node, each is compared to all nodes of other classes. Else every node is compared to one centre, and
   new buckets hold what may be alike away from it. Let I be what a node x of weight X shares with the centre, t the threshold. A node
   y like x has at least the weight tX and shares at least t(X + Y)/(1 + t) >= tX with x. So if I < tX, the two have shingles in common of
   which the centre has fewer: the centre and such a shingle are a bucket. Else they may have none, but then t(X + Y)/(1 + t) <= I: the centre
@@ -44,10 +44,10 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: MinHash samples of what a node has beyond its centre.
-BEYOND = 8
 #: Nodes outside a bucket's largest class, or nodes in all, up to which the bucket is compared pair by pair.
 OUTSIDE, WHOLE = 4, 16
+#: All buckets are, once that takes no more pairs than so many a node.
+PAIRS = 8
 #: Slots of weight are this much wider each; what rounding may move a weight by.
 SLOT, ROUNDING = float(np.log(1.05)), 1e-6
 DF_BITS = 18
@@ -149,11 +149,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / every) if every > 0 else 0.0
 
 
-def least_of(h: np.ndarray) -> np.ndarray:
-    """The elements of least hash, for BEYOND hash functions."""
-    return np.unique(np.array([h[mix(h + _U(k) * _PLACES[1]).argmin()] for k in range(BEYOND)], _U)) if len(h) else h
-
-
 def beyond(x: tuple[np.ndarray, np.ndarray], c: tuple[np.ndarray, np.ndarray], linked: bool, threshold: float) -> np.ndarray:
     """What x has in common, beyond its centre c, with any node that is like x but in another class: shingles and slots of weight."""
     _, i, j = np.intersect1d(x[0], c[0], assume_unique=True, return_indices=True)
@@ -171,7 +166,7 @@ def beyond(x: tuple[np.ndarray, np.ndarray], c: tuple[np.ndarray, np.ndarray], l
         most = shared * (1 + threshold) / threshold - total
         if not linked and most > 0:
             slots.update(range(slot(threshold * total * (1 - ROUNDING)), slot(most * (1 + ROUNDING)) + 1))
-    return np.concatenate([least_of(h), np.array(sorted(slots), np.int64).view(_U)])
+    return np.concatenate([h, np.array(sorted(slots), np.int64).view(_U)])
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -262,13 +257,15 @@ def _in_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return nodes.join(classes.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
 
 
-def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, classes: DataFrame, most_pairs: int) -> DataFrame:
     """All members (bucket, node) of buckets with nodes of several classes, with their class c, the bucket's largest class and whether to compare pair by pair."""
     own = _in_class(members, classes)
     sizes = own.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    few = (F.col("n") - F.col("most.n") <= OUTSIDE) | (F.col("n") <= WHOLE)
-    return _stored(own.join(mixed.select("bucket", F.col("most.c").alias("largest"), few.alias("few")), "bucket"))
+    mixed = _stored(mixed.select("bucket", F.col("most.c").alias("largest"), "n", (F.col("n") - F.col("most.n")).alias("outside")))
+    pairs = mixed.agg(F.sum(F.col("n") * F.col("outside"))).first()[0] or 0
+    few = F.lit(pairs <= most_pairs) | (F.col("outside") <= OUTSIDE) | (F.col("n") <= WHOLE)
+    return _stored(own.join(mixed.select("bucket", "largest", few.alias("few")), "bucket"))
 
 
 def _across(mixed: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
@@ -299,13 +296,13 @@ def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = _stored(buckets.join(shared, "bucket"))
     order = _stored(members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")).join(nodes.select("node", "weight"), "node"))
-    members = members.select("bucket", "node")
+    members, most_pairs = members.select("bucket", "node"), PAIRS * order.count()
     pair = (F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     compared = _compared(_stars(members, order).withColumn("deep", F.lit(False)), docs, idf, threshold)
     tested = compared.select(*pair, "linked")
     classes = components(tested.where("linked"))
     while True:
-        mixed = _mixed(members, classes)
+        mixed = _mixed(members, classes, most_pairs)
         if mixed.isEmpty():
             return classes
         across = _across(mixed, order, threshold).select("*", *pair).join(tested, ["a", "b"], "left_anti").select("node", "centre", F.lit(False).alias("deep"))
