@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,16 +198,24 @@ def versions(seed, n, length):
     return out
 
 
+def plain_similarity(a, b, idf):
+    """Weighted Jaccard similarity by counting."""
+    weight = lambda h: float(idf[(h >> 20) % (1 << neardup.DF_BITS)])
+    a, b = Counter(a.tolist()), Counter(b.tolist())
+    shared = sum(min(a[h], b[h]) * weight(h) for h in a)
+    return shared / sum(max(a[h], b[h]) * weight(h) for h in a | b)
+
+
 def brute_classes(spark, texts):
     """Least index of the class of each text by all pairs that share a band."""
     docs = docs_of(spark, texts)
     idf = neardup.inverse_frequencies(docs)
-    sets = [neardup.weighted(h, idf) for h in neardup.shingle_hashes(texts)]
-    bands = [[tuple(b) for b in neardup.samples(*s).reshape(neardup.BANDS, neardup.ROWS)] for s in sets]
+    hashes = list(neardup.shingle_hashes(texts))
+    bands = [[tuple(b) for b in neardup.samples(*neardup.weighted(h, idf)).reshape(neardup.BANDS, neardup.ROWS)] for h in hashes]
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if any(a == b for a, b in zip(bands[i], bands[j], strict=True)) and neardup.similarity(sets[i], sets[j]) >= neardup.THRESHOLD - 1e-9:
+            if any(a == b for a, b in zip(bands[i], bands[j], strict=True)) and plain_similarity(hashes[i], hashes[j], idf) >= neardup.THRESHOLD - 1e-6:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     return root
@@ -215,10 +224,9 @@ def brute_classes(spark, texts):
 @pytest.mark.parametrize("few", [True, False])
 def test_classes_of_versions_are_brute_force(spark, monkeypatch, few):
     """Pair by pair, or by what the nodes have beyond their centres."""
-    if not few and hasattr(neardup, "WHOLE"):
+    if not few:
         monkeypatch.setattr(neardup, "OUTSIDE", 0)
-        monkeypatch.setattr(neardup, "WHOLE", 0)
-        monkeypatch.setattr(neardup, "PAIRS", 0)
+    monkeypatch.setattr(neardup, "PART_NODES", 3)
     texts = versions(40, 14, 150)
     want = brute_classes(spark, texts)
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
@@ -246,12 +254,13 @@ def test_parts_that_are_less_like_the_whole_text_are_found(spark):
 def test_all_that_two_nodes_share_beyond_their_centre_counts():
     """Two nodes with one weight in common beyond the centre always have a shingle in common that both write."""
     rng = np.random.default_rng(8)
+    idf = np.ones(1 << neardup.DF_BITS, np.float32)
     for _ in range(200):
-        pool = rng.permutation(np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64)))
-        pick = lambda *parts: (np.sort(np.concatenate(parts)), np.ones(sum(map(len, parts))))
+        pool = rng.permutation(np.unique(rng.integers(0, 2**63, 400)))
+        pick = lambda *parts: np.sort(np.concatenate(parts))
         centre, x, y = pick(pool[:100]), pick(pool[:86], pool[100:103], pool[200:213]), pick(pool[:86], pool[100:103], pool[300:307])
-        assert neardup.similarity(x, y) >= 0.8 > neardup.similarity(x, centre)
-        found = [set(neardup.beyond(z, centre, neardup.similarity(z, centre) >= 0.8, 0.8).tolist()) for z in (x, y)]
+        assert neardup.similarity(x, y, idf) >= 0.8 > neardup.similarity(x, centre, idf)
+        found = [set(neardup.beyond(z, centre, neardup.similarity(z, centre, idf) >= 0.8, 0.8, idf).tolist()) for z in (x, y)]
         assert found[0] & found[1] & set(pool[100:103].tolist())
 
 
@@ -263,12 +272,32 @@ def test_samples_estimate_the_weighted_similarity():
         a, b = (np.sort(rng.choice(pool, 300, replace=False)) for _ in range(2))
         wa, wb = (rng.choice([1.0, 2.0, 3.0], 300) for _ in range(2))
         same.append((neardup.samples(a, wa) == neardup.samples(b, wb)).mean())
-        want.append(neardup.similarity((a, wa), (b, wb)))
+        both = np.intersect1d(a, b, return_indices=True)
+        shared = np.minimum(wa[both[1]], wb[both[2]]).sum()
+        want.append(shared / (wa.sum() + wb.sum() - shared))
     assert abs(np.mean(same) - np.mean(want)) < 0.03
     h = next(neardup.shingle_hashes([sentence(1, 50)]))
     assert np.array_equal(neardup.samples(*neardup.weighted(h, idf)), neardup.samples(*neardup.weighted(np.tile(h, 1), idf)))
 
 
+def test_samples_of_long_texts_estimate_as_well():
+    rng, same = np.random.default_rng(5), []
+    for _ in range(6):
+        pool = rng.integers(0, 2**63, 110_000, dtype=np.uint64)
+        a, b = np.unique(pool[:100_000]), np.unique(pool[10_000:])
+        same.append((neardup.samples(a, np.ones(len(a))) == neardup.samples(b, np.ones(len(b)))).mean())
+    assert abs(np.mean(same) - 90 / 110) < 0.05
+
+
+def test_repeated_shingles_are_elements_of_their_own():
+    idf = np.random.default_rng(2).random(1 << neardup.DF_BITS).astype(np.float32)
+    a, b = (next(neardup.shingle_hashes([t])) for t in ("to " * 30 + sentence(1, 20), "to " * 20 + sentence(1, 25)))
+    x, y = neardup.elements(a), neardup.elements(b)
+    assert len(x) == len(a) and len(np.unique(x)) == len(x)
+    assert neardup.similarity(x, y, idf) == pytest.approx(plain_similarity(a, b, idf), abs=1e-6)
+    assert neardup.Part([x, y, y], idf).similarities(x, idf) == pytest.approx([1, plain_similarity(a, b, idf)] + [plain_similarity(a, b, idf)], abs=1e-6)
+
+
 def test_shingles_ignore_case_and_punctuation():
     a, b, c, d, e = neardup.shingle_hashes(["One two, three four five six.", "one TWO three\nfour five  six", "one two three four", "", None])
     assert np.array_equal(a, b) and len(a) == 2 and len(c) == 1 and len(d) == len(e) == 0
@@ -277,9 +306,10 @@ def test_shingles_ignore_case_and_punctuation():
     assert len(parts[0]) == 399_996 and np.array_equal(parts[1], a)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(30)] + [("x", "y"), ("y", "x"), ("z", "z")]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a string, b string"), few).collect()}
     assert got == {**{f"n{i}": "n0" for i in range(1, 31)}, "y": "x"}
 
 

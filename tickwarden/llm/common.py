@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _shipped: set[str] = set()
+#: Stored frames by identity, and where their files are.
+_files: dict[int, tuple[DataFrame, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and Spark runs in one process a folder of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickwarden-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tickwarden-"))
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.dirname(sc.getCheckpointDir())
 
 
@@ -39,6 +44,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: the lineage is cut, and the size is that of the files. ``discard`` removes the files."""
+    df.write.parquet(path := fresh_path(df.sparkSession, name))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _files[id(out)] = (out, path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of stored frames that nothing needs any more; other frames are left alone."""
+    for df in frames:
+        _, path = _files.pop(id(df), (None, None))
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python this package, once for each application."""
     sc = spark.sparkContext

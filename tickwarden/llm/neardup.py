@@ -6,24 +6,30 @@ document times its inverse document frequency over the corpus. Weighted MinHash
 Jaccard similarity; bands of samples put similar documents into common buckets, and candidate
 pairs are verified by the exact weighted Jaccard similarity of their whole texts.
 
-* Document frequencies are counted over all documents in 2^DF_BITS places by the shingle's hash. The
+* Document frequencies are counted over all documents in 2^DF_BITS places by the shingle's hash; what other shingles put
+  into a place on average is taken off again, so that a rare shingle stays rare whatever the size of the corpus. The
   inverse frequency is damped by IDF_POWER, so that a group of copies that makes up much of the corpus, whose common
   shingles are frequent and whose edits are rare, stays as similar as it is.
-* Exact copies share one node, the 16-byte key of the text.
+* Exact copies share one node, the 16-byte key of the text. Only nodes that share a bucket with another one are looked at further;
+  their sets of hashed shingles are written once, and texts are not read again.
 * In each bucket every node is compared to one centre, the node with most bucket neighbours:
-  pairs grow with the rows, not with the square of a group. Verified pairs are joined into
-  classes.
-* Buckets whose nodes are in several classes then go on, with all their nodes, until none is left. Where few nodes are outside
-  the bucket's largest class, or all that is left takes few pairs a node, each is compared to all nodes of other classes. Else every node is compared to one centre, and
+  comparisons grow with the rows, not with the square of a group. Linked nodes are joined into classes.
+* Buckets whose nodes are then in several classes are compared again: every node outside a bucket's largest class to all of its nodes of other
+  classes. A bucket is cut into parts of bounded size for that, and its nodes outside are sent to each part. That is exact, and linear in
+  the bucket's nodes as long as no more than OUTSIDE are outside.
+* Buckets with more go on with all their nodes until none is left. Every node is compared to one centre, and
   new buckets hold what may be alike away from it. Let I be what a node x of weight X shares with the centre, t the threshold. A node
   y like x has at least the weight tX and shares at least t(X + Y)/(1 + t) >= tX with x. So if I < tX, the two have shingles in common of
   which the centre has fewer: the centre and such a shingle are a bucket. Else they may have none, but then t(X + Y)/(1 + t) <= I: the centre
   and the slot of the weight are a bucket for x with the weights from tX to I(1 + t)/t - X and for y with its own. The new buckets' nodes come after
   the centre in one order of all nodes, so the rounds end.
 
+No link between two different texts of one bucket is lost; pairs that share no band are never met.
+
 Nulls: a null text counts as empty; texts of fewer than five words are one shingle; texts without
-words are alike if they are equal. Rows with null or repeated ids are documents like others. Equal texts are one class.
-An empty table gives no rows. Other columns are ignored, or pass through ``one_of_each``; names
+words are alike if they are equal. Rows with null or repeated ids are documents like others. Equal texts are one class. Very long
+texts are hashed in parts and need about 40 bytes for each of their words. Ties: the class id is the least key, of equal keys
+one row stays. An empty table gives no rows. Other columns are ignored, or pass through ``one_of_each``; names
 that begin with ``__dup`` are used inside.
 """
 
@@ -37,28 +43,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh_path, hinted, ship, text_key, whole_text
+from .common import discard, hinted, ship, stored, text_key, whole_text
 from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Nodes outside a bucket's largest class, or nodes in all, up to which the bucket is compared pair by pair.
-OUTSIDE, WHOLE = 4, 16
-#: All buckets are, once that takes no more pairs than so many a node.
-PAIRS = 8
+#: Nodes outside a bucket's largest class up to which all pairs are compared, and the shingles that these may have in all.
+OUTSIDE, OUTSIDE_SHINGLES = 512, 1 << 21
+#: Nodes and shingles of a bucket's part, on average.
+PART_NODES, PART_SHINGLES = 2048, 1 << 20
 #: Slots of weight are this much wider each; what rounding may move a weight by.
 SLOT, ROUNDING = float(np.log(1.05)), 1e-6
 DF_BITS = 18
 IDF_POWER = 0.125
-CHUNK = 1 << 20
+#: Bytes hashed together, and texts.
+CHUNK, TEXTS = 1 << 19, 500
+#: Rows of each of the four tables that a shingle's draws are added up from.
+DRAW_BITS = 13
 
 _U = np.uint64
 _BASE, _INVERSE = 0x100000001B3 | 1, pow(0x100000001B3 | 1, -1, 1 << 64)
-_PLACES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
-_powers: list[np.ndarray] = []
+_DF_AT = _U(20)
+_DF_MASK = _U(((1 << DF_BITS) - 1) << 20)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,10 +77,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+@cache
 def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.concatenate([np.ones(1, _U), np.full(max(n, CHUNK) * 5 // 4, b, _U)]).cumprod(dtype=_U) for b in (_U(_BASE), _U(_INVERSE))]
-    return _powers
+    return [np.concatenate([np.ones(1, _U), np.full(n, b, _U)]).cumprod(dtype=_U) for b in (_U(_BASE), _U(_INVERSE))]
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of the bytes, the last of which is no word's."""
+    n = CHUNK
+    while n < len(data) + 1:  # few sizes, so that few tables are remembered
+        n *= 2
+    up, down = _power_tables(n)
+    edge = np.flatnonzero(np.diff(_IS_WORD[data].astype(np.int8), prepend=0))
+    starts, ends = edge[::2], edge[1::2]
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], dtype=_U)])
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """The hash of each run of WORDS words, the last ones cut off."""
+    run = np.zeros(len(words), _U)
+    for k, c in enumerate(_PLACES):
+        run[: len(words) - k] += words[k:] * c
+    return mix(run)
+
+
+def _of_text(words: np.ndarray, run: np.ndarray) -> np.ndarray:
+    if len(words) >= WORDS:
+        return run[: len(words) - WORDS + 1]
+    if len(words):  # all the words there are
+        return mix((words * _PLACES[: len(words)]).sum(keepdims=True) + _U(len(words)))
+    return np.empty(0, _U)
+
+
+def _long_text(data: bytes) -> np.ndarray:
+    """The words of a text longer than CHUNK, cut where no word is."""
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        while end < len(data) and _IS_WORD[data[end - 1]]:
+            end += 1
+        found.append(_words(np.frombuffer(data[at:end] + b"\n", np.uint8))[0])
+        at = end
+    return np.concatenate(found)
 
 
 def shingle_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -78,33 +127,26 @@ def shingle_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
     i = 0
     while i < len(texts):
         part, size = [], 0
-        while i < len(texts) and (not part or size < CHUNK):
-            part.append((texts[i] or "").lower().encode("utf-8", "replace"))
-            size += len(part[-1]) + 1
+        while i < len(texts) and size < CHUNK:
+            data = (texts[i] or "").lower().encode("utf-8", "replace")
+            if len(data) > CHUNK and part:
+                break
+            part.append(data)
+            size += len(data) + 1
             i += 1
-        data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
-        up, down = _power_tables(len(data) + 1)
-        word = _IS_WORD[data]
-        edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0))
-        starts, ends = edge[::2], edge[1::2]  # the last byte is no word's
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], dtype=_U)])
-        words = mix((sums[ends] - sums[starts]) * down[starts])
-        run = np.zeros(len(words), _U)
-        for k, c in enumerate(_PLACES):
-            run[: len(words) - k] += words[k:] * c
-        run = mix(run)
+        if size > CHUNK and len(part) == 1:
+            words = _long_text(part[0])
+            yield _of_text(words, _shingles(words))
+            continue
+        words, starts = _words(np.frombuffer(b"\n".join(part) + b"\n", np.uint8))
+        run = _shingles(words)
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in part]))
         for a, b in zip(bounds, bounds[1:]):
-            if b - a >= WORDS:
-                yield run[a : b - WORDS + 1]
-            elif b > a:  # all the words there are
-                yield mix((words[a:b] * np.array(_PLACES[: b - a])).sum(keepdims=True) + _U(b - a))
-            else:
-                yield np.empty(0, _U)
+            yield _of_text(words[a:b], run[a:b])
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return ((h >> _U(20)) & _U((1 << DF_BITS) - 1)).astype(np.int64)
+    return ((h & _DF_MASK) >> _DF_AT).astype(np.int64)
 
 
 def weighted(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,177 +155,273 @@ def weighted(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, n * idf[_slot(h)]
 
 
+def elements(h: np.ndarray) -> np.ndarray:
+    """The shingles as a set in ascending order: each repetition of one is an element of its own, of the same weight."""
+    h, n = np.unique(h, return_counts=True)
+    if len(h) and n.max() > 1:
+        first = np.repeat(h, n - 1)
+        again = np.arange(len(first)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1) + 1
+        h = np.concatenate([h, mix(first + again.astype(_U) * _PLACES[0]) & ~_DF_MASK | first & _DF_MASK])
+    return np.sort(h.view(np.int64))
+
+
+def weights_of(els: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return idf[_slot(els.view(_U))]
+
+
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gamma(2, 1) for r and log c and uniform beta, by the first 16 bits of a shingle's hash and the sample."""
+def _tables() -> list[np.ndarray]:
+    """Exponential (two for r, two for c) and uniform draws (two for beta) for each sample."""
     rng = np.random.default_rng(20)
-    shape = (1 << 16, SAMPLES)
-    r = rng.standard_gamma(2, shape, np.float32) + np.float32(1e-6)
-    log_c = np.log(rng.standard_gamma(2, shape, np.float32) + np.float32(1e-12))
-    return r, log_c, rng.random(shape, np.float32)
+    shape = (1 << DRAW_BITS, SAMPLES)
+    exponential = [rng.standard_exponential(shape, np.float32) + np.float32(1e-7) for _ in range(4)]
+    return [*exponential, rng.random(shape, np.float32), rng.random(shape, np.float32)]
 
 
 def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """SAMPLES consistent weighted samples of the set, as 64-bit numbers."""
-    r_, c_, b_ = _tables()
+    """SAMPLES consistent weighted samples of the set, as 64-bit numbers.
+
+    A shingle's r and c, Gamma(2, 1), are sums of two exponential draws, its beta the sum of two uniform ones modulo 1; four parts of
+    the shingle's hash say which draws, so that two shingles have all their draws in common only where 52 bits agree.
+    """
+    r1, r2, c1, c2, b1, b2 = _tables()
     best, out = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, _U)
     log_w = np.log(w).astype(np.float32)[:, None]
-    for i in range(0, len(h), 4096):
-        at = (h[i : i + 4096] >> _U(48)).astype(np.int64)
-        r, beta = r_[at], b_[at]
-        t = np.floor(log_w[i : i + 4096] / r + beta)
-        a = c_[at] - r * (t - beta + 1)
+    here = np.arange(SAMPLES)
+    for i in range(0, len(h), 1024):
+        part = h[i : i + 1024]
+        f1, f2, f3, f4 = (((part >> _U(64 - DRAW_BITS * k)) & _U((1 << DRAW_BITS) - 1)).astype(np.int64) for k in (1, 2, 3, 4))
+        r = r1[f1] + r2[f2]
+        beta = b1[f1] + b2[f3]
+        beta -= beta >= 1
+        t = np.floor(log_w[i : i + 1024] / r + beta)
+        a = np.log(c1[f3] + c2[f4]) - r * (t - beta + 1)
         k = a.argmin(axis=0)
-        low, here = a[k, np.arange(SAMPLES)], np.arange(SAMPLES)
-        new = mix(h[i : i + 4096][k] + t[k, here].astype(np.int64).astype(_U) * _PLACES[0])
+        low = a[k, here]
+        new = mix(part[k] + t[k, here].astype(np.int64).astype(_U) * _PLACES[0])
         closer = low < best
         best, out = np.where(closer, low, best), np.where(closer, new, out)
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(a[1][i], b[1][j]).sum()
-    every = a[1].sum() + b[1].sum() - shared
+def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets of elements."""
+    shared = weights_of(np.intersect1d(a, b, assume_unique=True), idf).sum()
+    every = weights_of(a, idf).sum() + weights_of(b, idf).sum() - shared
     return float(shared / every) if every > 0 else 0.0
 
 
-def beyond(x: tuple[np.ndarray, np.ndarray], c: tuple[np.ndarray, np.ndarray], linked: bool, threshold: float) -> np.ndarray:
-    """What x has in common, beyond its centre c, with any node that is like x but in another class: shingles and slots of weight."""
-    _, i, j = np.intersect1d(x[0], c[0], assume_unique=True, return_indices=True)
-    shared, total = np.minimum(x[1][i], c[1][j]).sum(), x[1].sum()
-    over = x[1].copy()
-    over[i] -= np.minimum(x[1][i], c[1][j])
-    h, over = x[0][over > 0], over[over > 0]
+def beyond(x: np.ndarray, c: np.ndarray, linked: bool, threshold: float, idf: np.ndarray) -> np.ndarray:
+    """What x has in common, beyond its centre c, with any node that is like x but in another class: elements and slots of weight."""
+    w = weights_of(x, idf)
+    inside = np.isin(x, c, assume_unique=True)
+    shared, total = w[inside].sum(), w.sum()
+    h, over = x[~inside], w[~inside]
     missing = threshold * total - shared
     if missing > ROUNDING * total:  # the first that two nodes have in common is followed by all the others
         h = h[np.cumsum(over[::-1])[::-1] >= missing - ROUNDING * total]
-    slot = lambda w: int(np.floor(np.log(w) / SLOT))
+    slot = lambda v: int(np.floor(np.log(v) / SLOT))
     slots = set()
     if missing <= 2 * ROUNDING * total:
         slots.add(slot(total))
         most = shared * (1 + threshold) / threshold - total
         if not linked and most > 0:
             slots.update(range(slot(threshold * total * (1 - ROUNDING)), slot(most * (1 + ROUNDING)) + 1))
-    return np.concatenate([h, np.array(sorted(slots), np.int64).view(_U)])
+    return np.concatenate([h, np.array(sorted(slots), np.int64)])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """The damped inverse document frequency of each place."""
+    places = 1 << DF_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros(1 << DF_BITS, np.int64), 0
-        for b in batches:
+        sums, n = np.zeros(places, np.int64), 0
+        for b in _parts(batches):
             n += b.num_rows
-            for i in range(0, b.num_rows, 1000):
-                for h in shingle_hashes(b.column(0).slice(i, 1000).to_pylist()):
-                    np.add.at(sums, _slot(np.unique(h)), 1)
+            for h in shingle_hashes(b.column(0).to_pylist()):
+                np.add.at(sums, _slot(np.unique(h)), 1)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(sums[at], n))], ["slot", "n"])
 
-    got = docs.select(whole_text().alias("t")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select(whole_text().alias("t")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2^DF_BITS rows
     slot, n = got.column("slot").to_numpy(), got.column("n").to_numpy()
-    df = np.zeros(1 << DF_BITS)
+    df = np.zeros(places)
     df[slot[slot >= 0]] = n[slot >= 0]
     total = int(n[slot < 0].sum())
-    idf = 1 + np.log((1 + total) / (1 + np.minimum(df, total)))
-    return (idf / (1 + np.log(1 + max(total, 1)))) ** IDF_POWER
+    df = np.clip(df - (df.sum() - df) / (places - 1), 1, max(total, 1))
+    idf = 1 + np.log((1 + total) / (1 + df))
+    return ((idf / (1 + np.log(1 + max(total, 1)))) ** IDF_POWER).astype(np.float32)
 
 
 def _nodes(docs: DataFrame, idf) -> DataFrame:
-    """node (the text's key), weight and bands of each distinct text with words."""
+    """node (the text's key), n_els (its elements) and bands of each distinct text with words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
         salt = np.arange(BANDS, dtype=_U)
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                use, weight, bands = [], [], []
-                for n, h in enumerate(shingle_hashes(part.column(1).to_pylist())):
-                    if len(h):
-                        h, w = weighted(h, weights)
-                        s = samples(h, w)
-                        use.append(n)
-                        weight.append(float(w.sum()))
-                        of = s.reshape(BANDS, ROWS)
-                        bands.append(mix(mix(mix(mix(of[:, 0]) + of[:, 1]) + of[:, 2]) + of[:, 3] + salt).view(np.int64))
-                flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(use, pa.int64())), pa.array(weight, pa.float64()), lists], ["node", "weight", "bands"])
-
-    signed = docs.select(text_key().alias("node"), whole_text().alias("t")).mapInArrow(sign, "node binary, weight double, bands array<long>")
-    return checkpoint(signed.groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")))
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Written and read again: unlike a checkpoint's, its size is that of its files, not an estimate that multiplies from round to round."""
-    df.write.parquet(path := fresh_path(df.sparkSession, "neardup"))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _compared(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (node, centre, deep) with linked, whether their texts are similar enough, and, if deep, what the node has beyond the centre."""
-    pairs = _stored(pairs)
-    wanted = hinted(pairs.select(F.explode(F.array("node", "centre")).alias("node")).distinct())
-    texts = docs.select(text_key().alias("node"), whole_text().alias("t")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    right = texts.select(F.col("node").alias("centre"), F.col("t").alias("tc"))
+        for part in _parts(batches):
+            use, size, bands = [], [], []
+            for n, h in enumerate(shingle_hashes(part.column(1).to_pylist())):
+                if len(h):
+                    of = samples(*weighted(h, weights)).reshape(BANDS, ROWS)
+                    use.append(n)
+                    size.append(len(h))
+                    bands.append(mix(mix(mix(mix(of[:, 0]) + of[:, 1]) + of[:, 2]) + of[:, 3] + salt).view(np.int64))
+            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * BANDS), flat)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(use, pa.int64())), pa.array(size, pa.int64()), lists], ["node", "n_els", "bands"])
+
+    signed = docs.select(text_key().alias("node"), whole_text().alias("t")).mapInArrow(sign, "node binary, n_els long, bands array<long>")
+    return stored(signed.groupBy("node").agg(F.first("n_els").alias("n_els"), F.first("bands").alias("bands")), "nodes")
+
+
+def _sets(docs: DataFrame, order: DataFrame) -> DataFrame:
+    """node and els, its elements, of the nodes that share a bucket."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            found = [elements(h) for h in shingle_hashes(part.column(1).to_pylist())]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))], ["node", "els"])
+
+    keyed = docs.select(text_key().alias("node"), whole_text().alias("t")).join(hinted(order.select("node")), "node", "left_semi")
+    return stored(keyed.dropDuplicates(["node"]).mapInArrow(hashed, "node binary, els array<long>"), "sets")
+
+
+class Part:
+    """The rows of one part of a bucket as an inverted index of their elements."""
+
+    def __init__(self, sets: list[np.ndarray], idf: np.ndarray) -> None:
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        self.n, self.total = len(sets), np.bincount(owner, weights_of(flat, idf), len(sets))
+        by = np.argsort(flat, kind="stable")
+        self.owner = owner[by]
+        self.els, self.first, self.count = np.unique(flat[by], return_index=True, return_counts=True)
+
+    def similarities(self, x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """The weighted Jaccard similarity of a set to each row."""
+        w = weights_of(x, idf)
+        at = np.minimum(np.searchsorted(self.els, x), len(self.els) - 1)
+        hit = self.els[at] == x
+        at, wh = at[hit], w[hit]
+        n = self.count[at]
+        rows = self.owner[np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        shared = np.bincount(rows, np.repeat(wh, n), self.n)
+        return shared / np.maximum(self.total + w.sum() - shared, 1e-300)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one key each; the first column is the key, by which the rows are sorted."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        keys = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            if e == s:
+                continue
+            if held and held[0].column(0)[0].as_py() != int(keys[s]):
+                yield pa.concat_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _compared(groups: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between nodes of one group, and what nodes have beyond a centre.
+
+    ``groups`` has rows of g, node, c (its class), asks and deep: the nodes that ask are compared to all others of their group. For each that asks and
+    each other class one link is given, if there is any; where the group is deep, a row for each node with linked and what it has beyond the one that asks. A group is cut into parts of bounded size, and those that ask go to each part.
+    """
+    sized = groups.groupBy("g").agg(F.count_if(~F.col("asks")).alias("n"), F.sum(F.when(~F.col("asks"), F.col("n_els"))).alias("m"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PART_NODES), F.ceil(F.col("m") / PART_SHINGLES)).cast("int")
+    many = hinted(sized.select("g", parts.alias("parts")).where("parts > 1"))
+    cut = groups.join(many, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cut = cut.withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    cut = cut.select(F.xxhash64("g", "part").alias("key"), "asks", "deep", "node", F.xxhash64("c").alias("c"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                deep, tn, tc = (part.column(k).to_pylist() for k in (2, 3, 4))
-                distinct = list({*tn, *tc})
-                sets = {t: weighted(h, weights) for t, h in zip(distinct, shingle_hashes(distinct), strict=True)}
-                linked = [similarity(sets[x], sets[y]) >= threshold - 1e-9 for x, y in zip(tn, tc, strict=True)]
-                more = [beyond(sets[x], sets[y], same, threshold).view(np.int64) if d else np.empty(0, np.int64) for x, y, same, d in zip(tn, tc, linked, deep, strict=True)]
-                ends = np.cumsum([0, *map(len, more)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(more)))], ["node", "centre", "deep", "linked", "beyond"])
-
-    full = pairs.join(texts, "node").join(right, "centre").select("node", "centre", "deep", "t", "tc")
-    return _stored(full.mapInArrow(check, "node binary, centre binary, deep boolean, linked boolean, beyond array<long>"))
-
-
-def _stars(members: DataFrame, order: DataFrame) -> DataFrame:
-    """(node, centre) of the buckets' members (bucket, node): every other node and the one with most neighbours, which comes first in the order."""
-    centres = members.join(order, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("centre"))
-    return members.join(centres, "bucket").where("node <> centre").select("node", "centre").distinct()
+        for rows in _together(batches):
+            asks, kind = rows.column(1).to_numpy(zero_copy_only=False), rows.column(4).to_numpy()
+            ends = rows.column(5).offsets.to_numpy()
+            flat = rows.column(5).values.to_numpy()
+            sets_ = [flat[s:e] for s, e in zip(ends, ends[1:])]
+            deep = bool(rows.column(2)[0].as_py())
+            other = np.flatnonzero(~asks)
+            a, b, linked, more = [], [], [], []
+            if len(other):
+                part = Part([sets_[i] for i in other], weights)
+                for i in np.flatnonzero(asks):
+                    alike = part.similarities(sets_[i], weights) >= threshold - 1e-6
+                    if deep:
+                        a += [i] * len(other)
+                        b += other.tolist()
+                        linked += alike.tolist()
+                        more += [beyond(sets_[j], sets_[i], bool(x), threshold, weights) for j, x in zip(other, alike)]
+                    else:
+                        found = other[alike]
+                        found = found[kind[found] != kind[i]]
+                        found = found[np.unique(kind[found], return_index=True)[1]]
+                        a += [i] * len(found)
+                        b += found.tolist()
+                        linked += [True] * len(found)
+                        more += [np.empty(0, np.int64)] * len(found)
+            node = rows.column(3)
+            ends = np.cumsum([0, *map(len, more)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64())), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*more, np.empty(0, np.int64)])))],
+                ["a", "b", "linked", "beyond"],
+            )
+
+    full = cut.join(sets, "node").select("key", "asks", "deep", "node", "c", "els")
+    full = full.repartition("key").sortWithinPartitions("key")
+    return stored(full.mapInArrow(check, "a binary, b binary, linked boolean, beyond array<long>"), "links")
+
+
+def _stars(members: DataFrame, order: DataFrame, deep: bool) -> DataFrame:
+    """Groups in which the node with most neighbours of each bucket asks all others of its buckets; it comes first in the order of nodes."""
+    centres = members.join(order, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("g"))
+    rows = members.join(centres, "bucket").select("g", "node").distinct()
+    rows = rows.where("g <> node").unionByName(rows.select("g", F.col("g").alias("node")).distinct())
+    return rows.join(order.select("node", "n_els"), "node").select("g", "node", F.col("node").alias("c"), "n_els", (F.col("g") == F.col("node")).alias("asks"), F.lit(deep).alias("deep"))
 
 
 def _in_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    return nodes.join(classes.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    return nodes.join(hinted(classes.withColumnRenamed("root", "c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
 
 
-def _mixed(members: DataFrame, classes: DataFrame, most_pairs: int) -> DataFrame:
-    """All members (bucket, node) of buckets with nodes of several classes, with their class c, the bucket's largest class and whether to compare pair by pair."""
-    own = _in_class(members, classes)
-    sizes = own.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = _stored(mixed.select("bucket", F.col("most.c").alias("largest"), "n", (F.col("n") - F.col("most.n")).alias("outside")))
-    pairs = mixed.agg(F.sum(F.col("n") * F.col("outside"))).first()[0] or 0
-    few = F.lit(pairs <= most_pairs) | (F.col("outside") <= OUTSIDE) | (F.col("n") <= WHOLE)
-    return _stored(own.join(mixed.select("bucket", "largest", few.alias("few")), "bucket"))
+def _mixed(members: DataFrame, classes: DataFrame, order: DataFrame) -> DataFrame:
+    """All members (bucket, node, c, n_els) of buckets with nodes of several classes, with the bucket's largest class and whether to compare pair by pair."""
+    own = _in_class(members, classes).join(order.select("node", "n_els"), "node")
+    sizes = own.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("n_els").alias("m"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "m", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    few = (F.col("n") - F.col("most.n") <= OUTSIDE) & (F.col("m") - F.col("most.m") <= OUTSIDE_SHINGLES)
+    return stored(own.join(mixed.select("bucket", F.col("most.c").alias("largest"), few.alias("few")), "bucket"), "mixed")
 
 
-def _across(mixed: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """(node, centre) of different classes in a bucket, one of them outside its largest class, whose weights let them be alike."""
-    weighed = mixed.where("few").join(order.select("node", "weight"), "node")
-    outside = weighed.where("c <> largest").select("bucket", F.col("node").alias("centre"), F.col("c").alias("d"), F.col("weight").alias("v"))
-    near = F.least("weight", "v") >= F.greatest("weight", "v") * (threshold - ROUNDING)
-    found = weighed.select("bucket", "node", "c", "weight").join(outside, "bucket").where((F.col("c") != F.col("d")) & near)
-    return found.select(F.least("node", "centre").alias("node"), F.greatest("node", "centre").alias("centre")).distinct()
+def _all_pairs(mixed: DataFrame) -> DataFrame:
+    """Groups in which the nodes outside a bucket's largest class ask all nodes; they are among those that are asked."""
+    rows = mixed.where("few").select(F.col("bucket").alias("g"), "node", "c", "n_els", (F.col("c") != F.col("largest")).alias("outside"), F.lit(False).alias("deep"))
+    return rows.select("g", "node", "c", "n_els", "deep", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("asks"))
 
 
 def _next_members(compared: DataFrame, classes: DataFrame) -> DataFrame:
     """(bucket, node) of the buckets of a centre and something beyond it that hold an unlinked node and nodes of two classes, each set of nodes once."""
-    own = _in_class(compared.where("deep"), classes).select("node", F.xxhash64("node").alias("key"), F.xxhash64("c").alias("c"), "linked", "centre", F.explode("beyond").alias("h"))
+    beyond_ = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), "linked", "beyond")
+    own = _in_class(beyond_, classes).select("node", F.xxhash64("node").alias("key"), F.xxhash64("c").alias("c"), "linked", "centre", F.explode("beyond").alias("h"))
     own = own.select("node", "key", "c", "linked", F.xxhash64("centre", "h").alias("bucket"))
     sets = own.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(key)").alias("x"), F.min("c").alias("low"), F.max("c").alias("high"), F.bool_and("linked").alias("done"))
-    once = _stored(sets.where("low <> high and not done").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket"))
-    return _stored(own.select("bucket", "node").join(hinted(once), "bucket"))
+    once = sets.where("low <> high and not done").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return stored(own.select("bucket", "node").join(once, "bucket"), "members")
 
 
 def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -292,32 +430,41 @@ def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     ship(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     nodes = _nodes(docs, idf)
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = nodes.select("node", "n_els", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = _stored(buckets.join(shared, "bucket"))
-    order = _stored(members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")).join(nodes.select("node", "weight"), "node"))
-    members, most_pairs = members.select("bucket", "node"), PAIRS * order.count()
-    pair = (F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    compared = _compared(_stars(members, order).withColumn("deep", F.lit(False)), docs, idf, threshold)
-    tested = compared.select(*pair, "linked")
-    classes = components(tested.where("linked"))
+    first = stored(buckets.join(shared, "bucket"), "members")
+    discard(nodes)
+    order = stored(first.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"), F.first("n_els").alias("n_els")), "order")
+    members = first.select("bucket", "node")
+    sets = _sets(docs, order)
+    links = _compared(_stars(members, order, False), sets, idf, threshold)
+    classes = components(links.select("a", "b"))
+    discard(links)
     while True:
-        mixed = _mixed(members, classes, most_pairs)
-        if mixed.isEmpty():
+        mixed = _mixed(members, classes, order)
+        deep = not mixed.where("not few").isEmpty()
+        found = _compared(_all_pairs(mixed), sets, idf, threshold)
+        used = [mixed, found]
+        new = found.select("a", "b")
+        if deep:
+            used.append(away := _compared(_stars(mixed.where("not few").select("bucket", "node"), order, True), sets, idf, threshold))
+            new = new.unionByName(away.where("linked").select("a", "b"))
+        if not new.isEmpty():
+            before, classes = classes, components(new.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            used.append(before)
+        if deep:
+            used.append(members)
+            members = _next_members(away, classes)
+        discard(*used)
+        if not deep:
+            discard(first, members, order, sets)
             return classes
-        across = _across(mixed, order, threshold).select("*", *pair).join(tested, ["a", "b"], "left_anti").select("node", "centre", F.lit(False).alias("deep"))
-        deep = _stars(mixed.where("not few").select("bucket", "node"), order).withColumn("deep", F.lit(True))
-        compared = _compared(across.unionByName(deep), docs, idf, threshold)
-        tested = _stored(tested.unionByName(compared.select(*pair, "linked")).distinct())
-        if not compared.where("linked").isEmpty():
-            classes = components(tested.where("linked"))
-        members = _next_members(compared, classes)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """The key and class_id of each document: the least key of its class (null only if all its keys are)."""
     classes = near_duplicate_nodes(docs, threshold)
-    keyed = checkpoint(docs.select(F.col(key), text_key().alias("node")))
+    keyed = stored(docs.select(F.col(key), text_key().alias("node")), "keyed")
     least = keyed.groupBy("node").agg(F.min(key).alias("least"))
     rooted = least.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
