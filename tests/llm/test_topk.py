@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,9 +36,48 @@ def test_odd_vectors(spark):
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_tree_covers():
-    p = np.random.default_rng(1).standard_normal((2000, 5))
+@pytest.mark.parametrize("kind", ["gauss", "clusters", "copies"])
+def test_tree_covers_and_separates(kind):
+    rng = np.random.default_rng(1)
+    p = {"gauss": rng.standard_normal((2000, 2)), "clusters": np.repeat(rng.standard_normal((9, 40)), 200, axis=0) + 1e-3 * rng.standard_normal((1800, 40)), "copies": np.ones((300, 3))}[kind]
     tree = topk.CoverTree(p)
-    assert sorted(tree.order) == list(range(2000))
-    for s, e, centre, radius in zip(tree.start, tree.end, tree.centre, tree.radius):
+    assert sorted(tree.order) == list(range(len(p)))
+    for n, (s, e, centre, radius) in enumerate(zip(tree.start, tree.end, tree.centre, tree.radius)):
         assert np.sqrt(((p[tree.order[s:e]] - centre) ** 2).sum(axis=1)).max() <= radius + 1e-9
+        below = tree.children[n]
+        assert not below or sum(tree.end[c] - tree.start[c] for c in below) == e - s
+        for c in below:
+            assert tree.radius[c] <= radius / topk.BASE + 1e-9
+            assert all(np.sqrt(((tree.centre[c] - tree.centre[d]) ** 2).sum()) > radius / topk.BASE - 1e-9 for d in below if d != c)
+    assert kind == "copies" or len(tree.start) > 1
+
+
+def search(rows, k=20, block_rows=1024):
+    def of(spark):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=k, block_rows=block_rows).toPandas()
+        q = [[math.floor(64 * x) for x in v] for _, v in rows]
+        want = {}
+        for i, (a, v) in enumerate(zip([r[0] for r in rows], q)):
+            if a % 20 == 0:
+                every = sorted((-sum(x * y for x, y in zip(v, w)), b) for (b, _), w in zip(rows, q) if b != a)[:k]
+                want[a] = [(n + 1, b, -s) for n, (s, b) in enumerate(every)]
+        assert {i: sorted(map(tuple, g[["rank", "vec_id", "score"]].to_numpy().tolist())) for i, g in got.groupby("query_id")} == want
+
+    return of
+
+
+def test_negative_scores_and_ties_lose_no_rows(spark):
+    search([(0, [1.0, 0.0])] + [(i, [-100.0, 200.0 if i % 2 else -200.0]) for i in range(1, 79)])(spark)
+    search([(i, [-1.0 if i else 1.0, float(i % 2)]) for i in range(300)], block_rows=50)(spark)
+    search([(i, [0.5, 0.5] if i % 3 else [-0.5, -0.5]) for i in range(200)], k=90, block_rows=40)(spark)
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    search([(i, [2.0**24 + i, 2.0**22 - 3 * i, 1.0]) for i in range(45)], k=5)(spark)
+
+
+def test_floor_with_all_scores_equal_to_it():
+    q, p = np.array([[64.0, 0.0]]), np.array([[-6400.0, 12800.0 * (-1) ** i] for i in range(78)])
+    row, col, score = topk.dual_tree_top_k(q, np.array([1000]), p, np.arange(78), 20, np.array([-1e9]))
+    assert sorted(col) == list(range(20)) and set(score) == {-409600}

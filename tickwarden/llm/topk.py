@@ -10,7 +10,7 @@ query in a window of Spark.
 
 Components become floor(scale * x). Vectors that are null or hold null or non-finite components take
 no part; vectors of other lengths than a query's are no candidates for it. Ties go to the smaller
-vec_id. Rows with equal ids are rows of their own; a query's own id is no candidate. An empty table
+vec_id. Scores are exact; one beyond 64 bits is an error. Rows with equal ids are rows of their own; a query's own id is no candidate. An empty table
 gives no rows. Other columns are ignored.
 """
 
@@ -28,18 +28,19 @@ from .common import checkpoint, ship
 #: Rows of a block, on average, and pivots at most.
 BLOCK_ROWS = 1024
 MOST_PIVOTS = 256
+#: A cover tree's radii shrink by this factor from level to level; nodes of up to LEAF points are leaves.
+BASE = 1.3
 LEAF = 64
 
 
 class CoverTree:
-    """Points in depth-first order; every node is a range of them with a centre and a covering radius.
+    """Points in depth-first order; every node is a range of them with a point as its centre and a covering radius.
 
-    Children of a node of radius r are cut around points that lie more than r / 2 apart and
-    cover it within r / 2; points left over by the ``fanout`` centres go to the nearest one, whose radius is
-    then what covers them. Nodes of up to LEAF points are leaves.
+    The children of a node of radius r are cut around its own centre and points of it that lie more than r / BASE apart (separation) and
+    cover it within r / BASE (covering). A node that ``fanout`` such children don't cover, or of up to LEAF points, is a leaf.
     """
 
-    def __init__(self, points: np.ndarray, fanout: int = 16) -> None:
+    def __init__(self, points: np.ndarray, fanout: int = 32) -> None:
         self.points, self.fanout = points, fanout
         order = np.arange(len(points))
         self.start: list[int] = []
@@ -47,31 +48,30 @@ class CoverTree:
         self.children: list[list[int]] = []
         self.centres: list[np.ndarray] = []
         self.radii: list[float] = []
-        todo = [(0, len(points), -1)]
+        middle = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+        todo = [(0, len(points), -1, middle)]
         while todo:
-            s, e, parent = todo.pop()
-            own = points[order[s:e]]
-            centre = own.mean(axis=0)
-            distance = np.sqrt(np.maximum(((own - centre) ** 2).sum(axis=1), 0))
-            node, radius = len(self.start), float(distance.max())
-            self.start.append(s), self.end.append(e), self.children.append([]), self.centres.append(centre), self.radii.append(radius)
+            s, e, parent, point = todo.pop()
+            own, node = points[order[s:e]], len(self.start)
+            near = ((own - points[point]) ** 2).sum(axis=1)
+            radius = float(np.sqrt(near.max()))
+            self.start.append(s), self.end.append(e), self.children.append([]), self.centres.append(points[point]), self.radii.append(radius)
             if parent >= 0:
                 self.children[parent].append(node)
             if e - s <= LEAF or radius == 0:
                 continue
-            near, to = np.full(e - s, np.inf), np.zeros(e - s, np.int64)
-            pick = int(distance.argmax())
-            for c in range(fanout):
+            picked, to, least = [point], np.zeros(e - s, np.int64), (radius / BASE) ** 2
+            while near[pick := int(near.argmax())] > least and len(picked) < fanout:
                 d = ((own - own[pick]) ** 2).sum(axis=1)
                 closer = d < near
-                near[closer], to[closer] = d[closer], c
-                pick = int(near.argmax())
-                if near[pick] <= (radius / 2) ** 2:
-                    break
+                near[closer], to[closer] = d[closer], len(picked)
+                picked.append(int(order[s + pick]))
+            if near.max() > least:
+                continue
             by = np.argsort(to, kind="stable")
             order[s:e] = order[s:e][by]
-            cuts = s + np.searchsorted(to[by], np.arange(to.max() + 2))
-            todo += [(int(a), int(b), node) for a, b in zip(cuts, cuts[1:]) if b > a]
+            cuts = s + np.searchsorted(to[by], np.arange(len(picked) + 1))
+            todo += [(int(a), int(b), node, p) for a, b, p in zip(cuts, cuts[1:], picked)]
         self.order = order
         self.centre = np.array(self.centres)
         self.radius = np.array(self.radii)
@@ -80,6 +80,10 @@ class CoverTree:
 
 def dual_tree_top_k(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, point row, score) of each query's k best points whose score reaches its floor."""
+    most_score = float(np.sqrt((q**2).sum(axis=1).max() * (p**2).sum(axis=1).max()))
+    if most_score * max(len(p), 2) >= 2.0**52:  # beyond what doubles and packed keys hold exactly
+        return _by_integers(q, q_ids, p, p_ids, k)
+    slop = 1e-9 * most_score + 1e-6  # more than rounding can be off
     qt, pt = CoverTree(q), CoverTree(p)
     q, q_ids, floor = q[qt.order], q_ids[qt.order], floor[qt.order]
     p, p_ids = p[pt.order], p_ids[pt.order]
@@ -93,7 +97,7 @@ def dual_tree_top_k(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.n
         a, b = todo.pop()
         s, e = qt.start[a], qt.end[a]
         most = qt.centre[a] @ pt.centre[b] + qt.radius[a] * pt.norm[b] + pt.radius[b] * qt.norm[a] + qt.radius[a] * pt.radius[b]
-        if most * (1 + 1e-9) + 1e-6 < kth[s:e].min():
+        if most + slop < kth[s:e].min():
             continue
         if qt.children[a] and (not pt.children[b] or e - s >= pt.end[b] - pt.start[b]):
             todo += [(c, b) for c in qt.children[a]]
@@ -116,6 +120,20 @@ def dual_tree_top_k(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.n
     return qt.order[row], pt.order[at[keys % len(p)]], keys // len(p)
 
 
+def _by_integers(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same by Python's integers, whatever their size."""
+    rows, cols, scores = [], [], []
+    whole = [[int(y) for y in x] for x in p.tolist()]
+    for i, x in enumerate(q.tolist()):
+        x = [int(y) for y in x]
+        every = sorted((-sum(a * b for a, b in zip(x, y)), int(p_ids[j]), j) for j, y in enumerate(whole) if p_ids[j] != q_ids[i])
+        for score, _, j in every[:k]:
+            rows.append(i), cols.append(j), scores.append(-score)
+    if any(abs(x) >= 2**63 for x in scores):
+        raise ValueError("a score does not fit in 64 bits")
+    return np.array(rows, np.int64), np.array(cols, np.int64), np.array(scores, np.int64)
+
+
 def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return vector.isNotNull() & F.coalesce(finite, F.lit(False))
@@ -179,7 +197,8 @@ def _of_one_length(given: DataFrame, n: int, k: int, block_rows: int, most_pivot
         for b in batches:
             if len(b):
                 f = floors(np.array(b["v"].tolist(), np.float64), b["vec_id"].to_numpy())
-                yield b.drop(columns="far").assign(least=np.where(np.isfinite(f), f, -(2.0**53)))
+                f = np.where(np.isfinite(f), f, -np.inf)
+                yield b.drop(columns="far").assign(least=f - 1e-9 * np.abs(f) - 1)
 
     groups = checkpoint(groups.mapInPandas(with_floor, "vec_id long, v array<double>, g int, least double"))
     least = {r["g"]: r["least"] for r in groups.groupBy("g").agg(F.min("least").alias("least")).collect()}
@@ -188,7 +207,7 @@ def _of_one_length(given: DataFrame, n: int, k: int, block_rows: int, most_pivot
         (g, gs, p, ps)
         for g, (gs, gr) in sides["g"].items()
         for p, (ps, pr) in sides["p"].items()
-        if sample[g] @ sample[p] + gr * norm[p] + pr * norm[g] + gr * pr + 1e-6 >= least[g]
+        if (sample[g] @ sample[p] + gr * norm[p] + pr * norm[g] + gr * pr) + 1e-9 * (norm[g] + gr) * (norm[p] + pr) + 1e-6 >= least[g]
     ]
     spark = given.sparkSession
     pair = spark.createDataFrame(pairs, "g int, gs int, p int, ps int")  # most_pivots^2 rows at most
