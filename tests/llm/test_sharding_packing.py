@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tickwarden.llm import idfiles, packing, sharding
 from tickwarden.llm.tokens import Encoder, vocabulary_path
@@ -76,7 +77,8 @@ def test_fewest_bits():
 def test_encoder_is_the_library(name):
     e = Encoder(vocabulary_path(name))
     texts = [t for _, t, _ in ODD] + ["It's THE  x\t\ty 12,5 ''s 'LL we'll ", "İstanbul ΣΑΣ", "é é", "a\x1cb\x85c\xa0d", "Straße ǅ ª¹"]
-    want = [x.ids for x in e.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    texts += ["hello <|startoftext|> world", "a<|endoftext|>b", "plain <|ENDOFTEXT|> text"]
+    want = [x.ids for x in Tokenizer.from_file(vocabulary_path(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [x.tolist() for x in e.encode(texts)] == want
     assert e.cut is not None
 

@@ -2,8 +2,8 @@
 
 Both vocabularies cut a text into pieces and encode each piece by itself. A piece is encoded
 once by the library and remembered, so that a corpus costs its distinct pieces. Only texts of
-plain Latin characters take this way, for which the cut is written out below; every other text
-goes to the library as a whole. The ids are the same either way.
+plain Latin characters take this way, for which the cut is written out below; every other text, and
+any that holds an added token, goes to the library as a whole. The ids are the same either way.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def byte_letters(piece: str) -> str:
 
 
 class Encoder:
-    """Encodes batches of texts with one vocabulary file; special tokens in a text are ordinary text."""
+    """Encodes batches of texts with one vocabulary file, as the library does without adding special tokens; those written in a text get their ids."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy
@@ -60,7 +60,6 @@ class Encoder:
 
         spec = json.load(open(path, encoding="utf-8"))
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         cut = json.dumps(spec["pre_tokenizer"])
         self.lower = "Lowercase" in json.dumps(spec["normalizer"])
         self.cut: Callable[[str], list[str]] | None = None
@@ -68,6 +67,7 @@ class Encoder:
             self.cut = re.compile(SPACED).findall
         elif r"[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in cut and '"Removed"' in cut and self.lower:
             self.cut = re.compile(UNSPACED).findall
+        self.added = [x["content"] for x in spec["added_tokens"]]
         self.model = self.whole.model
         self._forget()
 
@@ -85,6 +85,10 @@ class Encoder:
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
             self.lens, self.ids = np.concatenate([self.lens, lens]), np.concatenate([self.ids, ids])
 
+    def _holds_added(self, text: str) -> bool:
+        lower = text.lower() if self.lower else text
+        return any(x in text or x in lower for x in self.added)
+
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
         if len(self.memo) > REMEMBERED:
@@ -93,7 +97,7 @@ class Encoder:
         odd: dict[int, str] = {}
         for i, t in enumerate(texts):
             t = t or ""
-            if cut is None or PLAIN.fullmatch(t) is None:
+            if cut is None or PLAIN.fullmatch(t) is None or self._holds_added(t):
                 odd[i], t = t, ""
             pieces = cut(t.lower() if self.lower else t) if t else ()
             look.append(np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces)))
