@@ -6,7 +6,8 @@ item of its fill, meets in fewer groups of the same bounded size, round after ro
 group holds all of it or a round merges next to nothing (then hardly any two bins fit together).
 
 Nulls: a null text counts as empty and still has its end id; a null doc_id stays null. Repeated
-rows are each packed. An empty table gives no rows. Other columns are ignored.
+rows are each packed. Very long texts are encoded whole, one batch of texts at a time, and cut. Ties: of items of one size the one of the smaller id is
+packed first. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def _spread(seed: int, groups: Column | int) -> Column:
 
 
 def pack(items: DataFrame, size: str, id: str, capacity: int, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """The bin of each item: columns id, bin (a string) and offset; id must be unique, sizes 1 to capacity."""
+    """The bin of each item: columns id, bin (a number) and offset; id must be unique, sizes 1 to capacity."""
     spark = items.sparkSession
     ship(spark)
     bins = checkpoint(items.select(F.struct(F.col(id).alias("id"), F.col(size).cast("int").alias("size")).alias("m"), F.col(size).cast("int").alias("size")).select(F.array("m").alias("members"), "size", F.col("m.id").cast("string").alias("id")))
@@ -120,7 +121,8 @@ def pack(items: DataFrame, size: str, id: str, capacity: int, group_items: int =
         out = out.unionByName(x)
     sizes = F.col("members.size")
     placed = F.transform("members", lambda m, i: F.struct(m["id"].alias("id"), F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x).alias("offset")))
-    return out.select(F.col("id").alias("bin"), F.explode(placed).alias("m")).select("m.id", "bin", F.col("m.offset").cast("long").alias("offset"))
+    numbered = out.select(F.monotonically_increasing_id().alias("bin"), placed.alias("placed"))  # a row is a bin, read from checkpoints
+    return numbered.select("bin", F.explode("placed").alias("m")).select("m.id", "bin", F.col("m.offset").cast("long").alias("offset"))
 
 
 def best_fit_sequences(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, key: str = "doc_id", group_items: int = GROUP_ITEMS) -> DataFrame:
@@ -129,4 +131,4 @@ def best_fit_sequences(docs: DataFrame, vocabulary: str, end_id: int, capacity:
     # what a row is packed by: a piece's own facts and a number that tells repeated rows apart
     item = checkpoint(pieces.select(F.struct(F.monotonically_increasing_id().alias("n"), "doc_id", "piece", "start", "length", "ids_crc32").alias("id"), "length"))
     out = pack(item, "length", "id", capacity, group_items)
-    return out.select("id.doc_id", "id.piece", "id.start", "id.length", "id.ids_crc32", F.xxhash64("bin").alias("sequence_id"), "offset")
+    return out.select("id.doc_id", "id.piece", "id.start", "id.length", "id.ids_crc32", F.col("bin").alias("sequence_id"), "offset")
