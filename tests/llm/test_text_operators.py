@@ -381,6 +381,28 @@ def test_quality_by_positives_and_unlabelled_text(spark):
     assert kept.columns == docs.columns
 
 
+def test_positives_stay_where_ids_repeat(spark):
+    rows = [(i, f"{sentence(i, 20)}.", "", "", 0.0) for i in range(40)] + [(i % 3 + 100, junk(i), "", "", 0.0) for i in range(600)]
+    net, prior = quality.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int"), sample=50)
+    assert net is not None and 0 < prior < 1
+
+
+def test_risk_and_its_slopes_are_brute_force():
+    """The slopes are those of the risk with the sigmoid loss, by differences; where its second part is negative, of that part undone."""
+    rng = np.random.default_rng(6)
+    loss = lambda z: 1 / (1 + np.exp(z))
+    for prior, shift in ((0.4, 0.0), (0.9, -4.0)):
+        fp, fu = rng.standard_normal(7), rng.standard_normal(9) + shift
+        part = lambda fp, fu: loss(-fu).mean() - prior * loss(-fp).mean()  # noqa: B023, E731
+        risk = (lambda fp, fu: prior * loss(fp).mean() + part(fp, fu)) if part(fp, fu) >= 0 else (lambda fp, fu: -part(fp, fu))  # noqa: B023
+        assert (part(fp, fu) >= 0) == (shift == 0)
+        got = np.concatenate(quality.non_negative_risk(prior)(fp, fu))
+        both = np.concatenate([fp, fu])
+        step = 1e-5 * np.eye(16)
+        want = [(risk((both + d)[:7], (both + d)[7:]) - risk((both - d)[:7], (both - d)[7:])) / 2e-5 for d in step]
+        assert got == pytest.approx(want, abs=1e-7)
+
+
 def test_quality_without_labels(spark):
     docs = docs_of(spark, ["a", None])
     net, _ = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))

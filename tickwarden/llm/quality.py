@@ -6,17 +6,17 @@ to a score. It minimises the non-negative unbiased risk
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])
 
 with the sigmoid loss: P are documents labelled good, U are documents whatever their label. The
-class prior is estimated from the same two samples: a first network tells P from U, and the prior
-is the least ratio of the shares of U and P above a threshold of its score, with a margin for
-chance (the best-bin estimate).
+class prior is estimated by a first network that tells P from U: it is the least ratio of the shares of all documents and of P
+above a threshold of its score, with a margin for chance (the best-bin estimate).
 
-P and U are samples of at most ``sample`` documents each, those with the smallest hash of their
-id; everything else covers all rows. Documents whose crc32(id) is divisible by 5 are held out of
+The networks learn from at most ``sample`` labelled and ``sample`` unlabelled documents, those with the smallest hash of their
+id, one row for each id; the prior and everything else cover all rows. Documents whose crc32(id) is divisible by 5 are held out of
 both samples.
 
 Nulls: a null text counts as empty; a null id is held out; a label of null is none, and labels of
 one document that differ make no positive. Without positives or text to learn from, every score
-is 0.5. An empty table gives no rows. Repeated rows score alike. Other columns pass through.
+is 0.5. Very long texts are read whole, in time and memory of their length. Ties do not matter: a row's score depends on its text alone. An empty table gives no rows. Repeated rows score alike. Other columns pass through; ``__quality``
+is used inside ``keep_good``, and refused as a name of theirs.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .common import ship
 
 SAMPLE = 6000
 HIDDEN = 24
+#: Texts looked at together.
+TEXTS = 500
 SHAPES = 12
 FEATURES = 256 + SHAPES
 REJECT_BELOW = 0.3
@@ -131,33 +133,51 @@ def non_negative_risk(prior: float):
     return slope
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, margin: float = 0.05) -> float:
-    """The share of positives among u: best-bin estimate on the halves that the first network didn't see."""
-    net = train(p[::2], u[::2], told_apart, steps=200)
-    sp, su = np.sort(net(p[1::2])), np.sort(net(u[1::2]))
-    at = sp[: int(len(sp) * 0.95) + 1]  # thresholds that keep 5 % of P at least
-    qp = 1 - np.searchsorted(sp, at) / len(sp)
-    qu = 1 - np.searchsorted(su, at) / len(su)
-    chance = math.sqrt(math.log(4 / margin) / 2 / len(su)) + math.sqrt(math.log(4 / margin) / 2 / len(sp))
+def best_bin(qp: np.ndarray, qu: np.ndarray, n_p: int, n_u: int, margin: float = 0.05) -> float:
+    """The least ratio of the shares of U and P above a threshold, with a margin for chance."""
+    chance = math.sqrt(math.log(4 / margin) / 2 / n_u) + math.sqrt(math.log(4 / margin) / 2 / n_p)
     best = np.argmin((qu + chance) / qp)
     return float(np.clip(qu[best] / qp[best], 0.05, 0.98))
 
 
+def class_prior(learn: DataFrame, p: np.ndarray, u: np.ndarray) -> float:
+    """The share of positives among all texts t of ``learn``: thresholds from the half of P that the first network didn't see."""
+    net = train(p[::2], u[::2], told_apart, steps=200)
+    sp = np.sort(net(p[1::2]))
+    at = np.unique(sp[: int(len(sp) * 0.95) + 1])  # thresholds that keep 5 % of P at least
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(at) + 1, np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, TEXTS):
+                n += np.bincount(np.searchsorted(at, net(features(b.column(0).slice(i, TEXTS).to_pylist())), "right"), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["bin", "n"])
+
+    got = learn.select("t").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # a row for each threshold
+    n = np.zeros(len(at) + 1, np.int64)
+    n[got.column("bin").to_numpy()] = got.column("n").to_numpy()
+    above = n[::-1].cumsum()[::-1][1:]  # rows at or above each threshold
+    return best_bin(1 - np.searchsorted(sp, at) / len(sp), above / max(1, n.sum()), len(sp), max(1, int(n.sum())))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> tuple[Network | None, float]:
     """The network and the prior; None if there is nothing to learn from."""
     ship(docs.sparkSession)
     learn = docs.select(F.col(key).alias("k"), F.col("text").cast("string").alias("t")).where(~held_out("k"))
     trusted = labels.groupBy(F.col(key).alias("k")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1 and k is not null").where(~held_out("k"))
-    p_ids = trusted.select("k", F.xxhash64(F.lit(1), "k").alias("h")).orderBy("h", "k").limit(sample).select("k", F.lit(True).alias("p"))
-    u_ids = learn.select("k", F.xxhash64(F.lit(2), "k").alias("h")).orderBy("h", "k").limit(sample).select("k", F.lit(False).alias("p")).distinct()
-    chosen = learn.join(F.broadcast(p_ids.unionByName(u_ids)), "k").orderBy("p", F.xxhash64("k"), F.crc32("t")).limit(2 * sample)
+    first = lambda ids, salt: ids.select("k", F.xxhash64(F.lit(salt), "k").alias("h")).distinct().orderBy("h", "k").limit(sample)
+    ids = first(trusted.join(learn.select("k").distinct(), "k"), 1).select("k", F.lit(True).alias("p")).unionByName(first(learn, 2).select("k", F.lit(False).alias("p")))
+    chosen = learn.join(F.broadcast(ids), "k")  # 2 * sample ids at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.astype("<f4").tobytes()[i : i + 4 * FEATURES] for i in range(0, x.nbytes, 4 * FEATURES))], ["p", "x"])
+            for i in range(0, b.num_rows, TEXTS):
+                part = b.slice(i, TEXTS)
+                x = features(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], ["k", "p", "x"])
 
-    got = chosen.select("p", "t").mapInArrow(rows, "p boolean, x binary").toArrow()
+    shaped = chosen.select(F.col("k").cast("string").alias("k"), "p", "t").mapInArrow(rows, "k string, p boolean, x binary")
+    got = shaped.groupBy("p", "k").agg(F.min("x").alias("x")).select("p", "x").toArrow()  # 2 * sample rows of fixed width at most
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f4").reshape(-1, FEATURES)
     is_p = np.array(got.column("p").to_pylist(), bool)
     order = np.lexsort(x.T[::-1][:8])  # whatever order the rows came in
@@ -166,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     p, u = rng.permutation(x[is_p]), rng.permutation(x[~is_p])
     if min(len(p), len(u)) < 4:
         return None, 0.5
-    prior = class_prior(p, u)
+    prior = class_prior(learn, p, u)
     return train(p, u, non_negative_risk(prior)), prior
 
 
@@ -178,8 +198,8 @@ def with_scores(docs: DataFrame, net: Network | None, out: str = "score") -> Dat
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, b.num_rows, TEXTS):
+                part = b.slice(i, TEXTS)
                 texts = part.column(at).to_pylist()
                 s = sigmoid(net(features(texts)).astype(np.float64)) if net else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=schema.names)
@@ -189,5 +209,7 @@ def with_scores(docs: DataFrame, net: Network | None, out: str = "score") -> Dat
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = REJECT_BELOW) -> DataFrame:
     """The documents that score the threshold at least, with the columns they came with."""
+    if "__quality" in docs.columns:
+        raise ValueError("__quality is a name that is used inside")
     net, _ = fit(docs, labels)
     return with_scores(docs, net, "__quality").where(F.col("__quality") >= threshold).drop("__quality")
