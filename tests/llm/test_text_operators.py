@@ -103,6 +103,36 @@ def test_surrogates(spark):
     assert len(set(re.findall(r"\d{16}", got[6]))) == 1
 
 
+def test_coreference_and_distinctness_of_names_and_numbers(spark):
+    """What stands for whom over all documents, worked out from the texts by hand."""
+    texts = ["Mr John Smith met Mr Smith. Mrs Smith", "Mr John Smith, Mr. John Brown", "Monsieur Jean-Luc Picard; Mr O'Brien", "+1 212-555-1234, +44 212-555-1234, (212) 555-1234"]
+    got = [r["text"] for r in pii.replace_private_data(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+)\. Mrs (\w+)", got[0])
+    b = re.fullmatch(r"Mr (\w+) (\w+), Mr\. (\w+) (\w+)", got[1])
+    c = re.fullmatch(r"Monsieur (\w+) (\w+); Mr (\w+)", got[2])
+    d = re.fullmatch(r"\+1 (\d{3}-\d{3}-\d{4}), \+44 (\d{3}-\d{3}-\d{4}), \((\d{3})\) (\d{3}-\d{4})", got[3])
+    assert a[2] == a[3] == a[4] == b[2] and a[1] == b[1] == b[3]
+    assert len({a[2], b[4], c[2], c[3]}) == 4 and a[1] != c[1]
+    assert d[1] == f"{d[3]}-{d[4]}" != d[2]
+    assert not set(" ".join(got).split()) & {"John", "Smith", "Brown", "Jean-Luc", "Picard;", "O'Brien"}
+    with pytest.raises(ValueError):
+        pii.replace_private_data(docs_of(spark, texts).withColumnRenamed("node", "__pii_key"))
+
+
+def test_surrogates_of_many_entities_are_a_keyed_bijection(spark):
+    """Brute force over all documents: one surrogate for each entity, none twice, none a real one."""
+    rng = np.random.default_rng(11)
+    phones = [f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}" for _ in range(150)]
+    mails = [f"u{i}@host{i % 7}.org" for i in range(150)]
+    pick = [(int(i), int(j)) for i, j in rng.integers(0, 150, (400, 2))]
+    got = pii.replace_private_data(docs_of(spark, [f"{phones[i]} and {mails[j]}" for i, j in pick])).orderBy("doc_id").collect()
+    to = {}
+    for (i, j), r in zip(pick, got, strict=True):
+        for real, new in zip((phones[i], mails[j]), r["text"].split(" and "), strict=True):
+            assert to.setdefault(real, new) == new
+    assert len(set(to.values())) == len(to) and not set(to.values()) & set(to)
+
+
 def test_surrogates_stay_distinct_in_a_small_space(spark):
     found = spark.createDataFrame([("ip", f"{i}.0.0.{j}") for i in range(10) for j in range(10)], "kind string, canon string")
     got = pii.assign_surrogates(found, "s").collect()

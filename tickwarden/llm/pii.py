@@ -2,8 +2,9 @@
 
 Mentions are found by pattern: e-mail and IPv4 addresses, IBANs, social security, payment card and
 phone numbers, and names after a title. A mention's canonical form stands for the entity it
-refers to (case, spaces and separators don't count; a phone number counts by its last ten digits), so
-that all its mentions in all documents get one surrogate (coreference). The surrogate comes from
+refers to (case, spaces and separators don't count; a phone number of ten digits is the same with and without the country code 1), so
+that all its mentions in all documents get one surrogate (coreference). A name's given name and surname are entities of their own, so that
+a person keeps the surname where only that is mentioned. The surrogate comes from
 a keyed hash of the canonical form and keeps what can be seen of it: lengths and places of letters
 and digits, country codes, the check digit of a card number, octet lengths of an address, for names
 the script and the gender of the title. It is written in the form of the mention.
@@ -12,8 +13,8 @@ Surrogates are checked for collisions over the whole corpus: one that equals ano
 drawn anew with the next attempt, longer from the sixth one on, until all of them differ (distinctness).
 
 Nulls: a null text stays null; a null doc_id is of no account. Equal texts change alike, so repeated
-rows stay repeated. An empty table gives no rows. All columns pass through; names that begin with
-``__pii`` are used inside.
+rows stay repeated. Very long texts are changed whole. Ties: of entities that draw one surrogate the least keeps it. An empty table gives no rows. All columns pass through; names that begin with
+``__pii`` are used inside, and refused.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ ENDINGS = {"latin": {"m": "en", "f": "a"}, "cyrillic": {"m": "ов", "f": "а"}}
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
+_NAME = r"\p{Lu}(?:\p{Ll}+|['’]\p{Lu}\p{Ll}+)(?:-\p{Lu}\p{Ll}+)*"
+#: Draws after which an entity counts as impossible to replace.
+MOST_ATTEMPTS = 200
 #: Where two match at one place, the first counts. ANY tries them by the character that they begin with.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -41,7 +45,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9+(-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z+(])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
 _BY_FIRST = {r"[0-9+(]": ("ip", "ssn", "card", "phone"), r"\p{Lu}": ("iban", "person")}
 ANY = "|".join([f"(?:{PATTERNS['email']})", *(f"(?={first})(?:{'|'.join(f'(?:{PATTERNS[n]})' for n in names)})" for first, names in _BY_FIRST.items())])
@@ -66,13 +70,25 @@ def _gender(mention: Column) -> Column:
     return F.when(F.regexp_extract(mention, rf"^({'|'.join(sorted(FEMALE, key=len, reverse=True))})\b", 1) != "", F.lit("f")).otherwise(F.lit("m"))
 
 
+def _untitled(mention: Column) -> Column:
+    return F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
+
+
+def entities_of(kind: Column, mention: Column) -> Column:
+    """Array of struct(kind, mention): a person's given name, with the title, and surname; anything else is one entity."""
+    one = lambda k, m: F.struct(k.alias("kind"), m.alias("mention"))
+    two = F.array(one(F.lit("given"), F.regexp_replace(mention, r" [^ ]+$", "")), one(F.lit("surname"), F.substring_index(mention, " ", -1)))
+    return F.when(kind != "person", F.array(one(kind, mention))).when(_untitled(mention).contains(" "), two).otherwise(F.array(one(F.lit("surname"), mention)))
+
+
 def canonical(kind: Column, mention: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(mention))
-        .when(kind == "phone", F.substring(_digits(mention), -10, 10))
+        .when(kind == "phone", F.regexp_replace(_digits(mention), "^1([0-9]{10})$", "$1"))
         .when(kind.isin("card", "ssn"), _digits(mention))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
-        .when(kind == "person", F.concat(_gender(mention), F.lit(":"), F.lower(F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", ""))))
+        .when(kind == "given", F.concat(_gender(mention), F.lit(":"), F.lower(_untitled(mention))))
+        .when(kind == "surname", F.lower(_untitled(mention)))
         .otherwise(mention)
     )
 
@@ -129,12 +145,13 @@ def surrogate(kind: Column, canon: Column, secret: str, attempt: int) -> Column:
     checked = F.concat(head, F.pmod(10 - _luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
     iban = F.concat(F.substring(canon, 1, 2), _shaped(F.substring(canon, F.lit(3), F.length(canon)), digest))
     name, gender = F.substring(canon, F.lit(3), F.length(canon)), F.substring(canon, 1, 1)
-    word = F.substring_index(name, " ", -1)
     ending = F.when(name.rlike(r"\p{IsCyrillic}"), F.when(gender == "f", ENDINGS["cyrillic"]["f"]).otherwise(ENDINGS["cyrillic"]["m"])).otherwise(F.when(gender == "f", ENDINGS["latin"]["f"]).otherwise(ENDINGS["latin"]["m"]))
     extra = F.lit(max(0, attempt - 5))
-    surname = _name(word, digest, 9, F.lit(""), extra)
-    person = F.concat(gender, F.lit(":"), F.lower(F.when(name.contains(" "), F.concat(_name(name, digest, 1, ending, extra), F.lit(" "), surname)).otherwise(surname)))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", F.when(_luhn(canon) == 0, checked).otherwise(card)).when(kind == "iban", iban).when(kind == "person", person).otherwise(_shaped(canon, digest))
+    given = F.concat(gender, F.lit(":"), F.lower(_name(name, digest, 1, ending, extra)))
+    surname = F.lower(_name(canon, digest, 9, F.lit(""), extra))
+    code = F.greatest(F.length(canon) - 10, F.lit(0))  # a phone number's country code stays
+    phone = F.concat(F.substring(canon, F.lit(1), code), _shaped(F.substring(canon, code + 1, F.length(canon)), digest))
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", F.when(_luhn(canon) == 0, checked).otherwise(card)).when(kind == "iban", iban).when(kind == "given", given).when(kind == "surname", surname).otherwise(_shaped(canon, digest))
 
 
 def rendered(kind: Column, mention: Column, core: Column) -> Column:
@@ -154,8 +171,8 @@ def rendered(kind: Column, mention: Column, core: Column) -> Column:
 
         return F.aggregate(chars, start, step, lambda acc: acc["s"])
 
-    person = F.concat(F.regexp_extract(mention, rf"^((?:{_TITLES})\.? )", 1), F.initcap(F.substring(core, F.lit(3), n)))
-    return F.when(kind.isin("phone", "card", "ssn"), fill("[0-9]")).when(kind == "iban", fill("[A-Z0-9]")).when(kind == "person", person).otherwise(core)
+    person = F.concat(F.regexp_extract(mention, rf"^((?:{_TITLES})\.? )", 1), F.initcap(F.when(kind == "given", F.substring(core, F.lit(3), n)).otherwise(core)))
+    return F.when(kind.isin("phone", "card", "ssn"), fill("[0-9]")).when(kind == "iban", fill("[A-Z0-9]")).when(kind.isin("given", "surname"), person).otherwise(core)
 
 
 def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
@@ -173,20 +190,26 @@ def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
         pending = checkpoint(pending.join(fixed, ["kind", "canon"], "left_anti"))
         done = fixed if done is None else done.unionByName(fixed)
         attempt += 1
+        if attempt > MOST_ATTEMPTS:
+            raise ValueError("more entities of one form than surrogates of that form")
     return done if done is not None else entities.withColumn("core", F.lit(""))
 
 
 def replace_private_data(docs: DataFrame, secret: str = "tickwarden", count: str | None = None) -> DataFrame:
     """The documents with surrogates in their texts; ``count`` names a column for the number of mentions."""
+    if taken := [c for c in docs.columns if c.startswith("__pii")]:
+        raise ValueError(f"{taken} are names that are used inside")
     found = F.col("text").isNotNull() & F.col("text").rlike(MAYBE) & F.col("text").rlike(ANY)
     clean = docs.where(~found).withColumns({count: F.lit(0)} if count else {})
     hits = docs.where(found).withColumn("__pii_key", text_key())
     mentions = hits.select("__pii_key", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("m")).dropDuplicates(["__pii_key"])
-    mentions = mentions.select("__pii_key", F.posexplode("m").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    mentions = mentions.select("__pii_key", F.posexplode("m").alias("at", "mention")).withColumn("parts", entities_of(kind_of(F.col("mention")), F.col("mention")))
+    mentions = mentions.select("__pii_key", "at", F.posexplode("parts").alias("part", "entity")).select("__pii_key", "at", "part", "entity.*")
     mentions = checkpoint(mentions.withColumn("canon", canonical(F.col("kind"), F.col("mention"))))
     known = assign_surrogates(mentions.select("kind", "canon"), secret)
-    one = F.struct("at", rendered(F.col("kind"), F.col("mention"), F.col("core")).alias("by"))
-    texts = mentions.join(known, ["kind", "canon"]).groupBy("__pii_key").agg(F.array_sort(F.collect_list(one))["by"].alias("__pii_by"))
+    part = F.struct("part", rendered(F.col("kind"), F.col("mention"), F.col("core")).alias("by"))
+    by = mentions.join(known, ["kind", "canon"]).groupBy("__pii_key", "at").agg(F.array_join(F.array_sort(F.collect_list(part))["by"], " ").alias("by"))  # two parts at most
+    texts = by.groupBy("__pii_key").agg(F.array_sort(F.collect_list(F.struct("at", "by")))["by"].alias("__pii_by"))
     whole = F.array_join(F.transform(F.arrays_zip(F.split("text", ANY, -1).alias("part"), F.col("__pii_by").alias("by")), lambda x: F.concat(x["part"], F.coalesce(x["by"], F.lit("")))), "")
     changed = hits.join(texts, "__pii_key")
     out = changed.select(*(whole.alias("text") if c == "text" else F.col(c) for c in docs.columns), *([F.size("__pii_by").alias(count)] if count else []))
