@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +79,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """The batches; when they end, what Arrow and the C library keep of freed memory goes back, as Python workers live on after a task."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

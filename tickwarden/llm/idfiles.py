@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh_path, ship, shuffle_partitions, whole_text
+from .common import checkpoint, fresh_path, ship, shuffle_partitions, tidy, whole_text
 from .tokens import encoder
 
 MAGIC = b"TWIDS001"
@@ -150,7 +150,7 @@ def write_id_files(docs: DataFrame, vocabulary: str, end_id: int, path: str | No
         bits = bits_for(max(enc.whole.get_vocab_size(), end_id + 1))
         where, part = None, TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in tidy(batches):
             if not batch.num_rows:
                 continue
             if where is None:

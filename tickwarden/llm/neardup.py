@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hinted, ship, stored, text_key, whole_text
+from .common import discard, hinted, ship, stored, text_key, tidy, whole_text
 from .components import components
 
 WORDS = 5
@@ -242,7 +242,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros(places, np.int64), 0
-        for b in _parts(batches):
+        for b in _parts(tidy(batches)):
             n += b.num_rows
             for h in shingle_hashes(b.column(0).to_pylist()):
                 np.add.at(sums, _slot(np.unique(h)), 1)
@@ -265,7 +265,7 @@ def _nodes(docs: DataFrame, idf) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
         salt = np.arange(BANDS, dtype=_U)
-        for part in _parts(batches):
+        for part in _parts(tidy(batches)):
             use, size, bands = [], [], []
             for n, h in enumerate(shingle_hashes(part.column(1).to_pylist())):
                 if len(h):
@@ -285,7 +285,7 @@ def _sets(docs: DataFrame, order: DataFrame) -> DataFrame:
     """node and els, its elements, of the nodes that share a bucket."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in _parts(tidy(batches)):
             found = [elements(h) for h in shingle_hashes(part.column(1).to_pylist())]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))], ["node", "els"])
@@ -350,7 +350,7 @@ def _compared(groups: DataFrame, sets: DataFrame, idf, threshold: float) -> Data
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
-        for rows in _together(batches):
+        for rows in _together(tidy(batches)):
             asks, kind = rows.column(1).to_numpy(zero_copy_only=False), rows.column(4).to_numpy()
             ends = rows.column(5).offsets.to_numpy()
             flat = rows.column(5).values.to_numpy()

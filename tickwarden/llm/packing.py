@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship
+from .common import checkpoint, ship, tidy
 from .tokens import encoder
 
 BATCH = 512
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in tidy(batches):
             for i in range(0, batch.num_rows, BATCH):
                 doc, number, start, length, crc = [], [], [], [], []
                 for d, ids in zip(batch.column(0).slice(i, BATCH).to_pylist(), enc.encode(batch.column(1).slice(i, BATCH).to_pylist()), strict=True):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, tidy
 
 SAMPLE = 6000
 HIDDEN = 24
@@ -148,7 +148,7 @@ def class_prior(learn: DataFrame, p: np.ndarray, u: np.ndarray) -> float:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(at) + 1, np.int64)
-        for b in batches:
+        for b in tidy(batches):
             for i in range(0, b.num_rows, TEXTS):
                 n += np.bincount(np.searchsorted(at, net(features(b.column(0).slice(i, TEXTS).to_pylist())), "right"), minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["bin", "n"])
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     chosen = learn.join(F.broadcast(ids), "k")  # 2 * sample ids at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidy(batches):
             for i in range(0, b.num_rows, TEXTS):
                 part = b.slice(i, TEXTS)
                 x = features(part.column(2).to_pylist())
@@ -197,7 +197,7 @@ def with_scores(docs: DataFrame, net: Network | None, out: str = "score") -> Dat
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidy(batches):
             for i in range(0, b.num_rows, TEXTS):
                 part = b.slice(i, TEXTS)
                 texts = part.column(at).to_pylist()

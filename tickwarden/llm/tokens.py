@@ -24,8 +24,8 @@ NUMBERS = "0-9²³¹¼-¾"
 #: The pieces of the two published vocabularies, over those characters.
 SPACED = rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 UNSPACED = rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
-#: Pieces remembered at most; then the memory starts anew.
-REMEMBERED = 1 << 20
+#: Pieces and characters remembered at most; then the memory starts anew.
+REMEMBERED, REMEMBERED_CHARACTERS = 1 << 17, 1 << 22
 
 #: Byte-level vocabularies write each byte as a visible character: itself, or the next one from U+0100 on.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -72,12 +72,13 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo, self.ids = _Memo(), np.empty(0, np.uint32)
+        self.memo, self.ids, self.characters = _Memo(), np.empty(0, np.uint32), 0
         self.starts = self.lens = np.empty(0, np.int64)
 
     def _learn(self) -> None:
         fresh, self.memo.fresh = self.memo.fresh, []
         if fresh:
+            self.characters += sum(map(len, fresh))
             tokenize = self.model.tokenize
             found = [[x.id for x in tokenize(byte_letters(p))] for p in fresh]
             lens = np.fromiter(map(len, found), np.int64, len(found))
@@ -91,7 +92,7 @@ class Encoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
-        if len(self.memo) > REMEMBERED:
+        if len(self.memo) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
             self._forget()
         cut, memo, look = self.cut, self.memo, []
         odd: dict[int, str] = {}
