@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 #: A side is broadcast up to this many rows of fixed width; beyond it, the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Rows of an Arrow batch; Spark's own number is 10,000.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 #: Stored frames by identity, and where their files are.
 _files: dict[int, tuple[DataFrame, str]] = {}
@@ -66,8 +70,10 @@ def discard(*frames: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once for each application."""
+    """Give the executors' Python this package, once for each application, and batches of fewer rows where the session has Spark's own number: rows here hold whole texts."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
