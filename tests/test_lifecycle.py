@@ -21,6 +21,8 @@ def histories(seed, rules=30, rows=60):
             at += timedelta(seconds=rng.choice([0, 1, 299, 300, 3600, 50_000]))
             status = rng.choice(["Triggered", "Triggered", "Normal", "BAD_QUALITY", "Disabled"])
             clears = status == "Disabled" or (status == "Normal" and rng.random() < 0.5)
+            if rng.random() < 0.3:  # the rule is edited
+                delay = rng.choice([0, 300, 3600, 20_000])
             out.append((f"R{k}", at, seq, status, clears, delay))
             seq += 1
     return out
@@ -45,6 +47,13 @@ def test_windows_are_the_sequential_model(spark, seed, chunk):
     assert {(r["rule_id"], r["seq"]): (r["previous_state"], r["state"], r["episode"]) for r in got} == sequential(rows)
 
 
+def test_a_longer_delay_does_not_undo_an_alarm(spark):
+    rows = [("R", START + timedelta(seconds=i), i, "Triggered", False, d) for i, d in enumerate([0, 600, 600])]
+    for chunk in (1, 86_400):
+        got = lifecycle.alarm_states(spark.createDataFrame(rows, SCHEMA), chunk).orderBy("seq").collect()
+        assert [r["state"] for r in got] == ["ACTIVE"] * 3
+
+
 def test_golden_trace(spark):
     values = [("Normal", True), ("Triggered", False), ("Triggered", False), ("Normal", False), ("Normal", True), ("BAD_QUALITY", False)]
     minutes = [0, 1, 7, 8, 9, 10]

@@ -2,12 +2,12 @@
 
 Input is one row per evaluation: rule_id, ts, seq, status, clears, delay_seconds and what else is to be kept.
 Within a rule, in order of (ts, seq), an alarm is PENDING from the first triggered evaluation, ACTIVE
-once it stayed triggered for the rule's delay, and ends when an evaluation clears it; evaluations that neither trigger nor clear
+once it stayed triggered for the rule's delay as it is at that evaluation (a longer delay later on does not undo that), and ends when an evaluation clears it; evaluations that neither trigger nor clear
 hold an ACTIVE alarm and end a PENDING one.
 
 A rule's history is cut into chunks of time, so that a rule that holds a large part of all rows is
 worked on in parallel. A chunk's effect on what follows fits in one row: whether it ends
-triggered, since when, what its leading triggered rows span, and the last set or reset of the
+triggered, since when, the latest start from which one of its leading triggered rows is long enough after its own delay, and the last set or reset of the
 latch. Windows over those rows carry the state from chunk to chunk.
 """
 
@@ -39,15 +39,15 @@ def alarm_states(evaluations: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
         .withColumn("since", F.last("edge", ignorenulls=True).over(so_far))
         .withColumn("latch", F.when(trig & ~lead & (seconds_between(F.col("ts"), F.col("since")) >= F.col("delay_seconds")), 1).when(~trig & F.col("clears"), 0))
         .withColumn("latched", F.last("latch", ignorenulls=True).over(so_far))
+        .withColumn("ready", F.max(F.when(lead, F.unix_micros(F.col("ts").cast("timestamp")) - F.col("delay_seconds") * 1_000_000)).over(so_far))
     )
     order = F.struct("ts", "seq")
     chunks = rows.groupBy("rule_id", "chunk").agg(
         F.max_by("trig", order).alias("ends_triggered"),
         F.min(F.when(lead, F.col("ts"))).alias("lead_first"),
-        F.max(F.when(lead, F.col("ts"))).alias("lead_last"),
+        F.max("ready").alias("lead_ready"),
         F.max("edge").alias("last_edge"),
         F.max_by("latch", F.when(F.col("latch").isNotNull(), order)).alias("last_latch"),
-        F.max_by("delay_seconds", order).alias("delay"),
     )
     chunks_of = Window.partitionBy("rule_id").orderBy("chunk")
     before = chunks_of.rowsBetween(Window.unboundedPreceding, -1)
@@ -56,13 +56,13 @@ def alarm_states(evaluations: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
         .withColumn("lead_start", F.when(~F.col("was_triggered"), F.col("lead_first")))
         .withColumn("since_before", F.last(F.coalesce("last_edge", "lead_start"), ignorenulls=True).over(before))
         .withColumn("lead_since", F.when(F.col("lead_first").isNotNull(), F.coalesce("lead_start", "since_before")))
-        .withColumn("lead_sets", seconds_between(F.col("lead_last"), F.col("lead_since")) >= F.col("delay"))
+        .withColumn("lead_sets", F.col("lead_ready") >= F.unix_micros(F.col("lead_since").cast("timestamp")))
         .withColumn("latch_after", F.coalesce("last_latch", F.when(F.col("lead_sets"), 1)))
         .withColumn("latch_before", F.coalesce(F.last("latch_after", ignorenulls=True).over(before), F.lit(0)))
         .withColumn("state_before", F.when(F.col("latch_before") == 1, ACTIVE).when(F.col("was_triggered"), PENDING).otherwise(NONE))
         .select("rule_id", "chunk", "lead_since", "lead_sets", "latch_before", "state_before")
     )
-    in_lead = F.when(seconds_between(F.col("ts"), F.col("lead_since")) >= F.col("delay_seconds"), 1).otherwise(F.col("latch_before"))
+    in_lead = F.when(F.col("ready") >= F.unix_micros(F.col("lead_since").cast("timestamp")), 1).otherwise(F.col("latch_before"))
     after_lead = F.coalesce("latched", F.when(F.col("lead_sets"), 1), "latch_before")
     stated = (
         rows.join(carried, ["rule_id", "chunk"])

@@ -308,6 +308,39 @@ def replay_step_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_RUN = f"""{_TICKS},
+evals0 AS (SELECT r.rule_id, r.rule_type, r.operator, r.threshold_value, r.clear_value, r.enabled, r.severity, CASE WHEN day(a.tick) % 2 = 0 THEN r.delay_seconds ELSE r.delay_seconds * 12 END AS delay_seconds,
+           a.point_id, a.value, a.quality, a.overridden, a.out_of_service, a.received_timestamp, a.stale_after_seconds, a.ingest_seq AS sample_seq, a.tick AS ts, 0 AS ingest_seq, a.tick AS eval_at
+           FROM seen a JOIN alarm_rules r ON r.point_id = a.point_id),
+evals1 AS (SELECT *, {_STATUS} AS status FROM evals0),
+evals AS (SELECT *, {_CLEARS} AS clears FROM evals1),{_STATES.removeprefix(_EVALS + ",")}"""
+
+
+def _run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay as one plan: the values as of each tick, every rule evaluated on them at the tick, and the latch over the ticks. Delays change from day to day."""
+    values = _as_of(spark, sf_dir).select("point_id", F.col("tick").alias("ts"), F.col("sample.ingest_seq").alias("sample_seq"), *(F.col(f"sample.{c}").alias(c) for c in ("value", "quality", "overridden", "out_of_service", "received_timestamp", "source_timestamp", "stale_after_seconds")))
+    delay = F.when(F.dayofmonth("ts") % 2 == 0, F.col("delay_seconds")).otherwise(F.col("delay_seconds") * 12)
+    evaluated = _evaluated(values.join(view(spark, sf_dir, "alarm_rules").drop("u"), "point_id"), F.col("ts")).withColumn("delay_seconds", delay)
+    return lifecycle.alarm_states(evaluated.withColumn("seq", F.lit(0)))
+
+
+@query(f"{_RUN} SELECT rule_id, ts, sample_seq, value, episode, CASE state WHEN 'PENDING' THEN 'PENDING_CREATED' WHEN 'ACTIVE' THEN 'ALARM_ACTIVATED' ELSE 'ALARM_CLEARED' END AS event_type FROM states WHERE state <> previous_state", "points", *_BASE)
+def replay_run_all_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.transitions(_run_all(spark, sf_dir)).select("rule_id", "ts", "sample_seq", "value", "episode", "event_type")
+
+
+@query(
+    f"""{_RUN} SELECT ts AS tick, count(*) AS evaluated, count(*) FILTER (WHERE status = 'Triggered') AS triggered, count(*) FILTER (WHERE status = 'STALE') AS stale, count(*) FILTER (WHERE previous_state = 'NONE' AND state <> 'NONE') AS created,
+    count(*) FILTER (WHERE state <> 'NONE' AND previous_state <> 'NONE') AS updated, count(*) FILTER (WHERE previous_state <> 'NONE' AND state = 'NONE') AS cleared FROM states GROUP BY ts""",
+    "points",
+    *_BASE,
+)
+def replay_run_all_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    was, now, status = F.col("previous_state") != "NONE", F.col("state") != "NONE", F.col("status")
+    counts = {"triggered": status == "Triggered", "stale": status == "STALE", "created": ~was & now, "updated": was & now, "cleared": was & ~now}
+    return _run_all(spark, sf_dir).groupBy(F.col("ts").alias("tick")).agg(F.count("*").alias("evaluated"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
 # --- health -------------------------------------------------------------------------------
 
 _CHANGES = """
