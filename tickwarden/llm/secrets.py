@@ -48,7 +48,7 @@ class CharacterClass:
 
 
 CLASSES = (
-    CharacterClass("entropy_hex", r"^([0-9a-f]+|[0-9A-F]+)$", 24, 3.0),
+    CharacterClass("entropy_hex", r"^([0-9a-f]{24,}|[0-9A-F]{24,})$", 24, 3.0),
     CharacterClass("entropy_mixed", r"^(?=.*[A-Za-z]).+$", 20, 3.7),
 )
 _SPANS = "array<struct<start:int,end:int,kind:int>>"
