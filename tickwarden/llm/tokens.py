@@ -25,7 +25,7 @@ NUMBERS = "0-9²³¹¼-¾"
 SPACED = rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 UNSPACED = rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
 #: Pieces and characters remembered at most; then the memory starts anew.
-REMEMBERED, REMEMBERED_CHARACTERS = 1 << 17, 1 << 22
+REMEMBERED, REMEMBERED_CHARACTERS = 1 << 19, 1 << 22
 
 #: Byte-level vocabularies write each byte as a visible character: itself, or the next one from U+0100 on.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
