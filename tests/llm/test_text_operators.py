@@ -346,10 +346,11 @@ def test_components(spark, few):
 # --- language models and quality ------------------------------------------------------------
 
 
-def test_losses_are_brute_force(spark):
+@pytest.mark.parametrize("table_rows", [1 << 20, 10])
+def test_losses_are_brute_force(spark, table_rows):
     texts = ["the cat sat", "a dog  Barks", None, "", "the cat sat", "ünï " * 3]
     targets = spark.createDataFrame([(0,), (0,), (None,), (99,)], "doc_id long")
-    got = lm.score_documents(docs_of(spark, texts), targets, order=3, slot_bits=20).orderBy("doc_id").collect()
+    got = lm.score_documents(docs_of(spark, texts), targets, order=3, table_rows=table_rows).orderBy("doc_id").collect()
     data = [lm.normal(t) for t in texts]
 
     def model(which):
@@ -384,6 +385,30 @@ def test_losses_are_brute_force(spark):
         assert r["score"] == pytest.approx(r["loss_target"] - r["loss_background"], abs=1e-9)
 
 
+def test_tables_of_ngrams():
+    rng = np.random.default_rng(3)
+    keys, counts = rng.integers(0, 50, 1000), rng.integers(1, 9, 1000)
+    u, c = lm.added_up([(keys[:400], counts[:400]), (keys[400:], counts[400:])])
+    assert dict(zip(u.tolist(), c.tolist(), strict=True)) == {k: int(counts[keys == k].sum()) for k in set(keys.tolist())}
+    known = np.unique(rng.integers(0, 1 << 40, 5000))
+    losses = rng.random((len(known), 2)).astype(np.float32)
+    table = lm.indexed(known, losses, rng.integers(1, 100, len(known)))
+    asked = np.concatenate([known[::-1], known + 1])
+    want = {k: v for k, v in zip(known.tolist(), losses.tolist(), strict=True)}
+    assert [want.get(k, [0.0, 0.0]) for k in asked.tolist()] == lm.looked_up(asked, table).tolist()
+    assert lm.looked_up(asked, lm.indexed(known[:0], losses[:0], known[:0])).sum() == 0
+
+
+def test_repeated_rows_and_empty_tables_are_scored(spark, monkeypatch):
+    """Each row scores by itself in several parts of the table, also where more copies are made than at once."""
+    monkeypatch.setattr(lm, "COPIES", 2)
+    docs = spark.createDataFrame([(1, "same text")] * 5 + [(None, "same text")] * 3 + [(1, "other")], "doc_id long, text string")
+    targets = spark.createDataFrame([(1,)], "doc_id long")
+    whole, parts = (np.array(sorted(lm.score_documents(docs, targets, table_rows=n).toPandas().fillna(-1).values.tolist())) for n in (1 << 20, 7))
+    assert len(whole) == 9 and np.allclose(whole, parts)
+    assert lm.score_documents(docs.limit(0), targets).count() == 0
+
+
 def test_long_texts_are_scored_in_parts():
     data = ["abc " * 3000]
     whole = [(d, s) for d, s in lm.chunks(data, 5, 1 << 20)]
