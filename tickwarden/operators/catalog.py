@@ -11,11 +11,19 @@ EDITABLE = ("threshold_value", "clear_value", "severity", "alarm_message", "enab
 NEEDED = ("rule_id", "point_id", "rule_name", "rule_type", "operator", "threshold_value", "severity", "alarm_message")
 
 
-def checked_rules(requests: DataFrame, rules: DataFrame, points: DataFrame) -> DataFrame:
-    """Requests to create rules with ``error``, the first thing that is wrong with each, or null."""
+CREATED_DETAILS = ("rule_id", "point_id", "rule_name", "rule_type", "operator", "threshold_value", "clear_value", "delay_seconds", "severity", "alarm_message", "enabled")
+
+
+def checked_rules(requests: DataFrame, rules: DataFrame, points: DataFrame, extra: str | None = None) -> DataFrame:
+    """Requests to create rules with ``error``, the first thing that is wrong with each, or null.
+
+    ``extra`` names a column with the names of fields that a request has and no rule knows; those are refused.
+    """
+    unknown = F.coalesce(F.array_join(F.array_sort(extra), ", "), F.lit("")) if extra else F.lit("")
     df = requests.join(rules.select("rule_id").withColumn("taken", F.lit(True)), "rule_id", "left").join(points.select("point_id").withColumn("known", F.lit(True)), "point_id", "left")
     kind = F.lower(t.text(F.col("rule_type")))
     error = F.coalesce(
+        F.when(unknown != "", F.concat(F.lit("Unsupported alarm rule field(s): "), unknown)),
         *(F.when(~t.has_value(F.col(f)), F.lit(f"Missing required field: {f}")) for f in NEEDED),
         F.when(F.col("taken"), F.lit("Rule already exists")),
         F.when(F.col("known").isNull(), F.lit("Point not found")),
@@ -28,6 +36,19 @@ def checked_rules(requests: DataFrame, rules: DataFrame, points: DataFrame) -> D
     return df.select(*requests.columns, error.alias("error"))
 
 
+def audit_records(rules: DataFrame, points: DataFrame) -> DataFrame:
+    """Rules with the equipment of their points, empty where the point is not known."""
+    out = rules.join(points.select("point_id", "equipment_id"), "point_id", "left")
+    return out.withColumn("equipment_id", F.coalesce("equipment_id", F.lit("")))
+
+
+def created_events(created: DataFrame, points: DataFrame) -> DataFrame:
+    """RULE_CREATED for each new rule, the whole rule as JSON in its details."""
+    details = F.to_json(F.struct(F.struct(*CREATED_DETAILS).alias("created_rule")), {"ignoreNullFields": "false"})
+    message = F.concat(F.lit("Alarm rule created: "), "rule_name")
+    return audit_records(created, points).select("rule_id", "point_id", "equipment_id", F.lit("RULE_CREATED").alias("event_type"), message.alias("message"), details.alias("details_json"))
+
+
 def rule_changes(rules: DataFrame, updates: DataFrame) -> DataFrame:
     """One row for each rule and editable field that an update changes: old_value and new_value as text; null updates keep the field."""
     new = updates.select("rule_id", *(F.col(f).cast("string").alias(f"new_{f}") for f in EDITABLE))

@@ -118,6 +118,20 @@ def preview_summary(rows: DataFrame, points: DataFrame, equipment: DataFrame) ->
     return one.withColumn("valid_rows", F.greatest(F.col("total_rows") - F.col("error_rows"), F.lit(0))).drop("error_rows")
 
 
+def without_errors(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """The rows that a commit may take, checked anew against the catalog as it is now."""
+    return rows.where("complete").join(row_errors(rows, points).select("row_number").distinct(), "row_number", "left_anti").select(*rows.columns)
+
+
+def commit_event(rows: DataFrame, points: DataFrame, equipment: DataFrame) -> DataFrame:
+    """One MODBUS_IMPORT_COMMITTED with the counts of what the commit of these rows adds and changes."""
+    new_equipment, new_points, updated = committed(rows, points, equipment)
+    counts = {"created_equipment_count": new_equipment, "created_point_count": new_points, "updated_point_count": updated}
+    kinds = [df.select(F.lit(name).alias("kind")) for name, df in counts.items()]
+    every = kinds[0].unionAll(kinds[1]).unionAll(kinds[2])
+    return every.agg(*(F.count_if(F.col("kind") == name).alias(name) for name in counts)).withColumn("event_type", F.lit("MODBUS_IMPORT_COMMITTED"))
+
+
 def committed(rows: DataFrame, points: DataFrame, equipment: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(equipment to add, points to add, points whose blank metadata are filled) of an import without errors."""
     clash = with_conflicts(rows, points)

@@ -66,6 +66,11 @@ def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("error is null").drop("error"), checked.where("error is not null").select(F.col("ingest_seq").alias("index"), "point_id", "error")
 
 
+def step_counters(checked: DataFrame, *steps: str) -> DataFrame:
+    """Ingested and failed rows of each step, and of all steps together (a null step)."""
+    return checked.rollup(*steps).agg(F.count_if(F.col("error").isNull()).alias("ingested"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
 def stale_points(current: DataFrame, at: Column) -> DataFrame:
     """Current values that are stale at a time, by their quality or their age."""
     old = r.is_stale(F.col("received_timestamp"), F.col("source_timestamp"), F.col("stale_after_seconds"), at)

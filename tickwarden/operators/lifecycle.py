@@ -117,3 +117,23 @@ def acknowledge(alarms: DataFrame, commands: DataFrame) -> DataFrame:
     first = commands.groupBy("rule_id", "episode").agg(F.min(F.struct(F.col("acknowledged_at").alias("at"), by.alias("by"))).alias("ack"))
     out = alarms.join(first, ["rule_id", "episode"], "left")
     return out.select(*alarms.columns, F.col("ack").isNotNull().alias("acknowledged"), F.col("ack.at").alias("acknowledged_at"), F.coalesce("ack.by", F.lit("")).alias("acknowledged_by"))
+
+
+def first_open(alarms: DataFrame) -> DataFrame:
+    """The first open alarm of each rule."""
+    return alarms.where(F.col("state").isin(PENDING, ACTIVE)).groupBy("rule_id").agg(F.min("episode").alias("episode"), F.min_by("state", "episode").alias("state"))
+
+
+def acknowledge_events(acknowledged: DataFrame) -> DataFrame:
+    """ALARM_ACKNOWLEDGED for each acknowledged alarm; its state stays as it is."""
+    operator = F.to_json(F.struct("acknowledged_by"))
+    return acknowledged.where("acknowledged").select(
+        "rule_id",
+        "episode",
+        F.col("acknowledged_at").alias("event_timestamp"),
+        F.lit("ALARM_ACKNOWLEDGED").alias("event_type"),
+        F.col("state").alias("event_previous_state"),
+        F.col("state").alias("event_new_state"),
+        "acknowledged_by",
+        operator.alias("details_json"),
+    )

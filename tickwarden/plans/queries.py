@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as r
 from ..functions import text as t
 from ..operators import catalog, importer, ingest, lifecycle, projection
+from ..sources import files
 from . import domain, readmodels
 from .domain import STALE_SECONDS, TICK_SECONDS, view
 
@@ -457,6 +458,11 @@ SELECT ingest_seq, coalesce(error, '') AS error FROM c""",
     "point_samples",
 )
 def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).select("ingest_seq", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples as text, some of them spoilt, after the checks of the ingest."""
     odd = lambda n, c, bad: F.when(F.col("ingest_seq") % n == 0, F.lit(bad)).otherwise(F.col(c)).alias(c)
     raw = view(spark, sf_dir, "point_samples").select(
         "ingest_seq",
@@ -470,8 +476,7 @@ def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("out_of_service").cast("string").alias("out_of_service"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("source_timestamp"),
     )
-    checked = ingest.checked_samples(raw, view(spark, sf_dir, "points"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
-    return checked.select("ingest_seq", F.coalesce("error", F.lit("")).alias("error"))
+    return ingest.checked_samples(raw, view(spark, sf_dir, "points"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
 
 
 @query(
@@ -603,3 +608,220 @@ SELECT (SELECT count(*) FROM n2) AS total_rows, (SELECT count(*) FROM errs) AS e
 def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _import(spark, sf_dir)
     return importer.preview_summary(rows, view(spark, sf_dir, "points"), view(spark, sf_dir, "equipment"))
+
+
+@query(f"{_ROWS}, errs AS (SELECT row_number FROM n2 WHERE issues > 0 UNION ALL SELECT row_number FROM dups UNION ALL SELECT row_number FROM conf WHERE address_owner IS NOT NULL OR metadata_conflict) SELECT row_number, point_id, equipment_id, address FROM conf WHERE action = 'create_point' AND row_number NOT IN (SELECT row_number FROM errs)", *_IMPORT)
+def import_committed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = view(spark, sf_dir, "points")
+    rows = importer.without_errors(_import(spark, sf_dir), points)
+    _, created, _ = importer.committed(rows, points.withColumn("description", F.lit("")).withColumn("source_system", F.lit("")), view(spark, sf_dir, "equipment"))
+    return created.join(rows.select("point_id", "row_number"), "point_id").select("row_number", "point_id", "equipment_id", "address")
+
+
+@query(
+    f"""{_ROWS}, errs AS (SELECT row_number FROM n2 WHERE issues > 0 UNION ALL SELECT row_number FROM dups UNION ALL SELECT row_number FROM conf WHERE address_owner IS NOT NULL OR metadata_conflict),
+ok AS (SELECT * FROM conf WHERE row_number NOT IN (SELECT row_number FROM errs))
+SELECT (SELECT count(DISTINCT equipment_id) FROM ok WHERE equipment_id NOT IN (SELECT equipment FROM equipment)) AS created_equipment_count, (SELECT count(*) FROM ok WHERE action = 'create_point') AS created_point_count,
+       (SELECT count(*) FROM ok WHERE action = 'update_point_metadata') AS updated_point_count, 'MODBUS_IMPORT_COMMITTED' AS event_type""",
+    *_IMPORT,
+)
+def import_commit_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = view(spark, sf_dir, "points")
+    return importer.commit_event(importer.without_errors(_import(spark, sf_dir), points), points, view(spark, sf_dir, "equipment"))
+
+
+@query(
+    rf"""{_ROWS}, i AS (SELECT row_number, equipment_id, point_name, d.kind AS data_type,
+  CASE WHEN equipment_id LIKE 'UPS%' THEN 'UPS' WHEN equipment_id LIKE 'GEN%' THEN 'Generator' WHEN equipment_id LIKE 'CRAH%' THEN 'CRAH' WHEN equipment_id LIKE 'MTR%' THEN 'Electrical Meter' ELSE 'Modbus Device' END AS equipment_type,
+  array_to_string(list_transform(string_split(point_name, '_'), lambda x: concat(upper(x[1]), lower(x[2:]))), ' ') AS words
+  FROM n2 LEFT JOIN (VALUES ('bool', 'boolean'), ('float32', 'analog'), ('enum', 'enum'), ('uint16', 'analog')) AS d(dt, kind) ON n2.dt = d.dt)
+SELECT row_number, equipment_type, data_type, CASE WHEN equipment_type IN ('UPS', 'Generator', 'Electrical Meter') THEN 'EPMS' ELSE 'BMS' END AS source_system,
+  CASE WHEN equipment_type IN ('UPS', 'Generator', 'Electrical Meter') THEN 'Critical' WHEN equipment_type = 'CRAH' THEN 'High' ELSE 'Medium' END AS criticality,
+  CASE WHEN equipment_type IN ('UPS', 'Electrical Meter') THEN 'Electrical Room A' WHEN equipment_type = 'Generator' THEN 'Generator Yard' WHEN equipment_type = 'CRAH' THEN 'Data Hall A' ELSE 'Local Simulation' END AS location,
+  concat(equipment_id, ' ', words) AS display_name, CASE WHEN data_type = 'boolean' THEN 'status' ELSE 'sensor' END AS point_type FROM i""",
+    *_IMPORT,
+)
+def import_inferred_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _import(spark, sf_dir).select("row_number", "equipment_type", "data_type", "source_system", "criticality", "location", "display_name", "point_type")
+
+
+# --- enriched reads, audit events and the replay's own counts -------------------------------
+
+
+@query(
+    f"""latest AS (SELECT * FROM point_samples QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ingest_seq DESC) = 1),
+e0 AS (SELECT r.rule_id, r.rule_name, r.severity, r.rule_type, r.operator, r.threshold_value, r.enabled, r.point_id, s.* EXCLUDE (point_id), (SELECT max(ts) FROM point_samples) AS eval_at FROM alarm_rules r LEFT JOIN latest s ON r.point_id = s.point_id),
+e1 AS (SELECT *, {_STATUS} AS status FROM e0)
+SELECT e1.rule_id, e1.rule_name, e1.severity, e1.point_id, p.point_name, p.display_name, p.equipment_id, {_EQ.format(d="Unknown")}, e1.value, e1.status FROM e1 LEFT JOIN points p ON e1.point_id = p.point_id LEFT JOIN equipment e ON p.equipment_id = e.equipment""",
+    "points",
+    "equipment",
+    *_BASE,
+)
+def rule_evaluations_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = view(spark, sf_dir, "point_samples")
+    at = samples.agg(F.max("ts").alias("at"))  # one row
+    rules = view(spark, sf_dir, "alarm_rules").join(projection.latest(samples), "point_id", "left").crossJoin(F.broadcast(at))
+    evaluations = _evaluated(rules, F.col("at")).select("rule_id", "rule_name", "severity", "point_id", "value", "status")
+    return readmodels.evaluations_enriched(evaluations, view(spark, sf_dir, "points"), view(spark, sf_dir, "equipment"))
+
+
+@query(
+    """latest AS (SELECT * FROM point_samples QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ingest_seq DESC) = 1), m AS (SELECT max(ts) AS eval_at FROM point_samples)
+SELECT s.point_id, p.point_name, p.equipment_id, p.unit, CASE WHEN overridden THEN 'OVERRIDDEN' WHEN out_of_service THEN 'OUT_OF_SERVICE' WHEN quality = 'BAD' THEN 'BAD_QUALITY' WHEN quality = 'STALE' THEN 'STALE' WHEN quality <> 'GOOD' THEN 'UNCERTAIN_QUALITY'
+       WHEN date_diff('microsecond', received_timestamp, eval_at) > stale_after_seconds * 1000000 THEN 'STALE' ELSE 'ELIGIBLE' END AS health FROM latest s CROSS JOIN m LEFT JOIN points p ON s.point_id = p.point_id""",
+    "points",
+    "point_samples",
+)
+def point_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = view(spark, sf_dir, "point_samples")
+    at = samples.agg(F.max("ts").alias("at"))  # one row
+    stale = r.is_stale(F.col("received_timestamp"), F.col("source_timestamp"), F.col("stale_after_seconds"), F.col("at"))
+    health = r.eligibility(F.col("quality"), F.col("overridden"), F.col("out_of_service"), stale)
+    now = projection.latest(samples).crossJoin(F.broadcast(at)).select("point_id", health.alias("health"))
+    return now.join(view(spark, sf_dir, "points").select("point_id", "point_name", "equipment_id", "unit"), "point_id", "left")
+
+
+@query("SELECT point_id, point_name, equipment_id FROM points WHERE point_id IN (SELECT point_id FROM point_samples WHERE quality = 'BAD' AND overridden)", "points", "point_samples")
+def points_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = view(spark, sf_dir, "point_samples").where("quality = 'BAD' and overridden").select("point_id")
+    return view(spark, sf_dir, "points").select("point_id", "point_name", "equipment_id").join(wanted, "point_id", "left_semi")
+
+
+_SCENARIO = "SELECT CASE WHEN u % 9 = 0 THEN concat('PT-none-', CAST(u AS {string})) ELSE point_id END AS point_id, CAST(u % 100 AS {string}) AS value FROM {points} WHERE u % 3 = 0"
+
+
+@query(
+    f"""w AS ({_SCENARIO.format(string="VARCHAR", points="points")})
+SELECT w.point_id, w.value, coalesce(p.point_name, w.point_id) AS point_name, coalesce(p.equipment_id, '') AS equipment_id, coalesce(p.unit, '') AS unit, p.point_id IS NOT NULL AS known FROM w LEFT JOIN points p ON w.point_id = p.point_id""",
+    "points",
+)
+def scenario_point_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = view(spark, sf_dir, "points")
+    updates = spark.sql(_SCENARIO.format(string="STRING", points="{points}"), points=points)
+    return readmodels.scenario_points(updates, points)
+
+
+@query(
+    f"""{_ALARMS} SELECT a.rule_id, a.episode, a.state, a.created_at, r.rule_name, r.point_id, p.point_name, p.display_name, p.equipment_id, {_EQ.format(d="Unknown")}
+FROM alarms a LEFT JOIN alarm_rules r USING (rule_id) LEFT JOIN points p ON r.point_id = p.point_id LEFT JOIN equipment e ON p.equipment_id = e.equipment""",
+    "points",
+    "equipment",
+    *_BASE,
+)
+def generated_alarms_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, points = view(spark, sf_dir, "alarm_rules"), view(spark, sf_dir, "points")
+    out = readmodels.generated_alarms(_alarms(spark, sf_dir), rules, points, view(spark, sf_dir, "equipment"))
+    return out.select("rule_id", "episode", "state", "created_at", "rule_name", "point_id", "point_name", "display_name", "equipment_id", "equipment_type", "location", "criticality", "equipment_source_system")
+
+
+@query(f"{_ALARMS} SELECT rule_id, min(episode) AS episode, arg_min(state, episode) AS state FROM alarms WHERE state <> 'CLEARED' GROUP BY rule_id", *_BASE)
+def first_open_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.first_open(lifecycle.episodes(_states(spark, sf_dir)))
+
+
+@query(f"{_ALARMS} SELECT rule_id, episode, 'CLEARED' AS state, 'Rule not evaluated' AS evaluation_note FROM alarms JOIN alarm_rules USING (rule_id) WHERE state <> 'CLEARED' AND u % 7 = 0", *_BASE)
+def orphaned_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = view(spark, sf_dir, "alarm_rules").where("u % 7 <> 0")
+    return lifecycle.orphaned(lifecycle.episodes(_states(spark, sf_dir)), left).select("rule_id", "episode", "state", "evaluation_note")
+
+
+def _acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alarms = lifecycle.episodes(_states(spark, sf_dir))
+    commands = alarms.where("episode % 2 = 0").select("rule_id", "episode", F.expr("created_at + INTERVAL 1 HOUR").alias("acknowledged_at"), F.when(F.col("episode") % 4 == 0, " night shift ").otherwise("").alias("operator"))
+    return lifecycle.acknowledge(alarms, commands)
+
+
+_ACKS = f"{_ALARMS}, k AS (SELECT *, episode % 2 = 0 AS acknowledged, CASE WHEN episode % 4 = 0 THEN 'night shift' ELSE 'local-operator' END AS operator FROM alarms)"
+
+
+@query(f"{_ACKS} SELECT rule_id, episode, created_at + INTERVAL 1 HOUR AS event_timestamp, 'ALARM_ACKNOWLEDGED' AS event_type, state AS event_previous_state, state AS event_new_state, operator AS acknowledged_by, concat('{{\"acknowledged_by\":\"', operator, '\"}}') AS details_json FROM k WHERE acknowledged", *_BASE)
+def acknowledge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.acknowledge_events(_acknowledged(spark, sf_dir))
+
+
+@query(
+    f"""{_ACKS} SELECT count(*) FILTER (WHERE k.state = 'ACTIVE' AND acknowledged) AS active_acknowledged, count(*) FILTER (WHERE k.state = 'ACTIVE' AND NOT acknowledged) AS active_unacknowledged,
+    count(*) FILTER (WHERE k.state = 'ACTIVE' AND severity = 'Critical') AS active_critical, count(*) FILTER (WHERE k.state = 'ACTIVE' AND severity = 'Warning') AS active_warning, count(*) FILTER (WHERE k.state = 'ACTIVE' AND severity = 'Info') AS active_info FROM k JOIN alarm_rules USING (rule_id)""",
+    *_BASE,
+)
+def acknowledged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _acknowledged(spark, sf_dir).join(view(spark, sf_dir, "alarm_rules").select("rule_id", "severity"), "rule_id")
+    active = F.col("state") == "ACTIVE"
+    kinds = {"acknowledged": F.col("acknowledged"), "unacknowledged": ~F.col("acknowledged"), **{s.lower(): F.col("severity") == s for s in t.SEVERITIES}}
+    return out.agg(*(F.count_if(active & c).alias(f"active_{n}") for n, c in kinds.items()))
+
+
+@query(
+    """q AS (SELECT *, CASE WHEN u % 6 = 0 THEN 'tags, zone' WHEN u % 6 = 1 THEN 'tags' ELSE '' END AS extra FROM alarm_rules)
+SELECT rule_id, CASE WHEN extra <> '' THEN concat('Unsupported alarm rule field(s): ', extra) WHEN u % 4 = 0 THEN 'Rule already exists' ELSE '' END AS error FROM q""",
+    "alarm_rules",
+)
+def rule_create_unsupported_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = view(spark, sf_dir, "alarm_rules")
+    extra = F.when(F.col("u") % 6 == 0, F.array(F.lit("zone"), F.lit("tags"))).when(F.col("u") % 6 == 1, F.array(F.lit("tags")))
+    out = catalog.checked_rules(rules.withColumn("extra", extra), rules.where("u % 4 = 0"), view(spark, sf_dir, "points"), "extra")
+    return out.select("rule_id", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query(
+    """SELECT r.rule_id, r.point_id, coalesce(p.equipment_id, '') AS equipment_id, 'RULE_CREATED' AS event_type, concat('Alarm rule created: ', r.rule_name) AS message,
+CAST(to_json({'created_rule': {'rule_id': r.rule_id, 'point_id': r.point_id, 'rule_name': r.rule_name, 'rule_type': r.rule_type, 'operator': r.operator, 'threshold_value': r.threshold_value, 'clear_value': r.clear_value, 'delay_seconds': r.delay_seconds, 'severity': r.severity, 'alarm_message': r.alarm_message, 'enabled': r.enabled}}) AS VARCHAR) AS details_json
+FROM alarm_rules r LEFT JOIN points p ON r.point_id = p.point_id AND p.u % 5 <> 0""",
+    "points",
+    "alarm_rules",
+)
+def rule_created_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.created_events(view(spark, sf_dir, "alarm_rules"), view(spark, sf_dir, "points").where("u % 5 <> 0"))
+
+
+_SPOILT = f"""s AS (SELECT * REPLACE (CASE WHEN ingest_seq % 23 = 0 THEN 'PT-none' ELSE point_id END AS point_id), CAST(hour(ts) AS VARCHAR) AS sequence FROM point_samples),
+c AS (SELECT s.*, p.unit, CASE WHEN p.point_id IS NULL THEN 'Point not found' WHEN ingest_seq % 29 = 0 THEN 'value is required' WHEN ingest_seq % 31 = 0 THEN 'Invalid quality' WHEN ingest_seq % 37 = 0 THEN 'Invalid source' END AS error FROM s LEFT JOIN points p ON s.point_id = p.point_id)"""
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked samples, each with the step of the replay that it belongs to: the hour of its day."""
+    steps = view(spark, sf_dir, "point_samples").select("ingest_seq", F.hour("ts").cast("string").alias("sequence"))
+    return _checked(spark, sf_dir).join(steps, "ingest_seq")
+
+
+@query(
+    f"""{_SPOILT} SELECT ingest_seq, c.point_id, c.value, unit, CASE quality WHEN 'UNKNOWN' THEN 'UNCERTAIN' ELSE quality END AS quality, CAST(date_trunc('second', ts) AS TIMESTAMP) AS source_timestamp, TIMESTAMP '2024-02-01 00:00:00' AS received_timestamp, source, stale_after_seconds, overridden, out_of_service FROM c WHERE error IS NULL""",
+    "points",
+    "point_samples",
+)
+def ingest_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = ingest.split_checked(_checked(spark, sf_dir))
+    return good
+
+
+@query(f'{_SPOILT} SELECT sequence, ingest_seq AS "index", point_id, error FROM c WHERE error IS NOT NULL', "points", "point_samples")
+def replay_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.in_replay_order(_replayed(spark, sf_dir).where("error is not null").withColumn("row_number", F.col("ingest_seq"))).select("sequence", F.col("ingest_seq").alias("index"), "point_id", "error")
+
+
+@query(f"{_SPOILT} SELECT sequence, count(*) FILTER (WHERE error IS NULL) AS ingested, count(*) FILTER (WHERE error IS NOT NULL) AS failed FROM c GROUP BY ROLLUP (sequence)", "points", "point_samples")
+def replay_ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.step_counters(_replayed(spark, sf_dir), "sequence")
+
+
+@query("SELECT DISTINCT CAST(hour(ts) AS VARCHAR) AS sequence FROM point_samples", "point_samples")
+def replay_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.replay_sequences(view(spark, sf_dir, "point_samples").select(F.hour("ts").cast("string").alias("sequence")))
+
+
+@query(f"{_STATES} SELECT DISTINCT date_trunc('day', ts) AS step, point_id FROM states WHERE state <> 'NONE'", *_BASE)
+def replay_updated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("step")
+    return _states(spark, sf_dir).where("state <> 'NONE'").select(step, "point_id").distinct().orderBy("step", "point_id")
+
+
+@query(
+    f"""{_EVENTS}, a AS (SELECT rule_id, episode, state AS alarm_state FROM alarms) SELECT t.rule_id, t.episode, t.ts, t.event_type, coalesce(a.alarm_state, '') AS alarm_state, coalesce(r.rule_name, '') AS rule_name FROM transitions t LEFT JOIN a ON t.rule_id = a.rule_id AND t.episode = a.episode LEFT JOIN alarm_rules r ON t.rule_id = r.rule_id""".replace("transitions AS (", _ALARMS.removeprefix(_STATES + ",").strip() + ",\ntransitions AS (", 1),
+    *_BASE,
+)
+def alarm_events_with_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _states(spark, sf_dir)
+    alarms = lifecycle.episodes(states).select("rule_id", "episode", F.col("state").alias("alarm_state"))
+    rules = view(spark, sf_dir, "alarm_rules").select("rule_id", "rule_name")
+    events = lifecycle.transitions(states).select("rule_id", "episode", "ts", "event_type").join(alarms, ["rule_id", "episode"], "left").join(rules, "rule_id", "left")
+    return events.withColumns({c: F.coalesce(c, F.lit("")) for c in ("alarm_state", "rule_name")})

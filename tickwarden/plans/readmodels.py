@@ -37,6 +37,20 @@ def rule_catalog(rules: DataFrame, points: DataFrame, equipment: DataFrame) -> D
     return with_equipment(rules.join(p, "point_id", "left"), equipment, "Unknown").orderBy("equipment_id", "point_name", "rule_name")
 
 
+def evaluations_enriched(evaluations: DataFrame, points: DataFrame, equipment: DataFrame) -> DataFrame:
+    """Evaluations of rules with point and equipment, in the order of rules."""
+    p = points.select("point_id", "point_name", "display_name", "equipment_id")
+    return with_equipment(evaluations.join(p, "point_id", "left"), equipment, "Unknown").orderBy("rule_id")
+
+
+def scenario_points(updates: DataFrame, points: DataFrame) -> DataFrame:
+    """Updates of a scenario with their points; a point that is not known goes by its id."""
+    p = points.select("point_id", "point_name", "equipment_id", "unit").withColumn("known", F.lit(True))
+    out = updates.join(p, "point_id", "left")
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("equipment_id", "unit")}
+    return out.withColumns({"point_name": F.coalesce("point_name", "point_id"), "known": F.coalesce("known", F.lit(False)), **blank}).orderBy("point_id")
+
+
 def current_values(latest: DataFrame, points: DataFrame, equipment: DataFrame) -> DataFrame:
     p = points.select("point_id", "point_name", "display_name", "equipment_id", "unit", "data_type")
     return with_equipment(latest.join(p, "point_id", "left"), equipment, "Unknown").orderBy("equipment_id", "point_name")

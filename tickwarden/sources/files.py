@@ -107,6 +107,12 @@ def in_replay_order(df: DataFrame) -> DataFrame:
     return df.orderBy(number.isNull(), number, "sequence", "row_number")
 
 
+def replay_sequences(samples: DataFrame) -> DataFrame:
+    """The distinct steps in the order in which they are replayed: by number, then by text."""
+    number = F.col("sequence").try_cast("bigint")
+    return samples.select("sequence").distinct().orderBy(number.isNull(), number, "sequence")
+
+
 def simulated_samples(spark: SparkSession, at: str) -> DataFrame:
     """Three samples with one time stamp."""
     rows = [("SIM_LOAD_KW", "210", "kW"), ("SIM_SUPPLY_TEMP", "18.5", "C"), ("SIM_RUN_STATUS", "true", "")]
