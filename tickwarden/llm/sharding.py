@@ -96,7 +96,7 @@ def consistent_hash_shards(docs: DataFrame, shards: int = 8, vnodes: int = 128,
         [(a, max(1, math.ceil(n / CELL_ROWS)), points[a][1], [x[1:] for x in segments if x[0] == a]) for a, n in enumerate(counts)],
         "arc int, cells long, first_shard int, segments array<struct<first:long,end:long,shard:int,slot:long>>",
     )
-    placed = slim.join(F.broadcast(cells), "arc").withColumn("cell", F.pmod(F.xxhash64("hash"), F.col("cells")))
+    placed = slim.join(F.broadcast(cells), "arc").withColumn("cell", F.pmod(F.xxhash64("hash", "text_crc32", "size"), F.col("cells")))  # rows of one key are spread by their texts
     in_cell = Window.partitionBy("arc", "cell").orderBy("hash", "doc_id", "text_crc32", "size")
     ranked = placed.withColumn("in_cell", F.row_number().over(in_cell) - 1)
     before = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
