@@ -103,6 +103,18 @@ def text_key(column: str = "text") -> Column:
     return F.unhex(F.md5(whole_text(column)))
 
 
+def aside(docs: DataFrame, prefix: str) -> DataFrame:
+    """The documents with new names for columns that begin as names used inside do; the order stays, so that ``toDF`` gives the old names back."""
+    taken, names = {c.lower() for c in docs.columns}, []
+    for c in docs.columns:
+        new = c
+        while new.lower().startswith(prefix) or (new != c and new.lower() in taken):
+            new = f"x{new}"
+        taken.add(new.lower())
+        names.append(new)
+    return docs.toDF(*names)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether the frame has so few rows that it may be broadcast; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
