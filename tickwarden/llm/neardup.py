@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hinted, ship, stored, text_key, tidy, whole_text
+from .common import aside, discard, hinted, ship, stored, text_key, tidy, whole_text
 from .components import components
 
 WORDS = 5
@@ -473,12 +473,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """One document of each class, that with the least key, with the columns it came with."""
+    """One document of each class, that with the least key, with the columns it came with, whatever their names."""
     classes = near_duplicate_nodes(docs, threshold)
     keyed = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id")).alias("id"), text_key().alias("node"))
     least = keyed.groupBy("node").agg(F.min("id").alias("id"))
     rooted = least.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = rooted.groupBy("root").agg(F.min(F.struct("id", "node")).alias("one")).select(F.col("one.node").alias("__dup_node"), F.col("one.id.id").alias("__dup_id"))
-    marked = docs.withColumn("__dup_node", text_key()).withColumn("__dup_id", F.col(key))
+    kept = aside(docs, "__dup")
+    marked = kept.withColumn("__dup_node", text_key()).withColumn("__dup_id", F.col(key))
     both = marked.join(stay, (marked["__dup_node"] == stay["__dup_node"]) & marked["__dup_id"].eqNullSafe(stay["__dup_id"]), "left_semi")
-    return both.dropDuplicates(["__dup_node", "__dup_id"]).select(*docs.columns)
+    return both.dropDuplicates(["__dup_node", "__dup_id"]).select(*kept.columns).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_key
+from .common import aside, checkpoint, text_key
 
 #: Titles and the gender they tell.
 MALE = ("Mr", "Herr", "Señor", "Monsieur", "Господин")
@@ -196,9 +196,8 @@ def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
 
 
 def replace_private_data(docs: DataFrame, secret: str = "tickwarden", count: str | None = None) -> DataFrame:
-    """The documents with surrogates in their texts; ``count`` names a column for the number of mentions."""
-    if taken := [c for c in docs.columns if c.startswith("__pii")]:
-        raise ValueError(f"{taken} are names that are used inside")
+    """The documents with surrogates in their texts; ``count`` names a column for the number of mentions. Other columns may have any names."""
+    names, docs = [*docs.columns, *([count] if count else [])], aside(docs, "__pii")
     found = F.col("text").isNotNull() & F.col("text").rlike(MAYBE) & F.col("text").rlike(ANY)
     clean = docs.where(~found).withColumns({count: F.lit(0)} if count else {})
     hits = docs.where(found).withColumn("__pii_key", text_key())
@@ -213,4 +212,4 @@ def replace_private_data(docs: DataFrame, secret: str = "tickwarden", count: str
     whole = F.array_join(F.transform(F.arrays_zip(F.split("text", ANY, -1).alias("part"), F.col("__pii_by").alias("by")), lambda x: F.concat(x["part"], F.coalesce(x["by"], F.lit("")))), "")
     changed = hits.join(texts, "__pii_key")
     out = changed.select(*(whole.alias("text") if c == "text" else F.col(c) for c in docs.columns), *([F.size("__pii_by").alias(count)] if count else []))
-    return clean.unionByName(out)
+    return clean.unionByName(out).toDF(*names)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, tidy
+from .common import aside, ship, tidy
 
 SAMPLE = 6000
 HIDDEN = 24
@@ -208,8 +208,7 @@ def with_scores(docs: DataFrame, net: Network | None, out: str = "score") -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = REJECT_BELOW) -> DataFrame:
-    """The documents that score the threshold at least, with the columns they came with."""
-    if "__quality" in docs.columns:
-        raise ValueError("__quality is a name that is used inside")
+    """The documents that score the threshold at least, with the columns they came with, whatever their names."""
     net, _ = fit(docs, labels)
-    return with_scores(docs, net, "__quality").where(F.col("__quality") >= threshold).drop("__quality")
+    scored = with_scores(aside(docs, "__quality"), net, "__quality").where(F.col("__quality") >= threshold)
+    return scored.drop("__quality").toDF(*docs.columns)
