@@ -29,8 +29,8 @@ No link between two different texts of one bucket is lost; pairs that share no b
 Nulls: a null text counts as empty; texts of fewer than five words are one shingle; texts without
 words are alike if they are equal. Rows with null or repeated ids are documents like others. Equal texts are one class. Very long
 texts are hashed in parts and need about 40 bytes for each of their words. Ties: the class id is the least key, of equal keys
-one row stays. An empty table gives no rows. Other columns are ignored, or pass through ``one_of_each``; names
-that begin with ``__dup`` are used inside.
+one row stays. An empty table gives no rows. Other columns are ignored, or pass through ``one_of_each``,
+whatever their names.
 """
 
 from __future__ import annotations

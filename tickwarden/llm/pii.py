@@ -13,8 +13,8 @@ Surrogates are checked for collisions over the whole corpus: one that equals ano
 drawn anew with the next attempt, longer from the sixth one on, until all of them differ (distinctness).
 
 Nulls: a null text stays null; a null doc_id is of no account. Equal texts change alike, so repeated
-rows stay repeated. Very long texts are changed whole. Ties: of entities that draw one surrogate the least keeps it. An empty table gives no rows. All columns pass through; names that begin with
-``__pii`` are used inside, and refused.
+rows stay repeated. Very long texts are changed whole. Ties: of entities that draw one surrogate the least keeps it. An empty table gives no rows. All columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ both samples.
 
 Nulls: a null text counts as empty; a null id is held out; a label of null is none, and labels of
 one document that differ make no positive. Without positives or text to learn from, every score
-is 0.5. Very long texts are read whole, in time and memory of their length. Ties do not matter: a row's score depends on its text alone. An empty table gives no rows. Repeated rows score alike. Other columns pass through; ``__quality``
-is used inside ``keep_good``, and refused as a name of theirs.
+is 0.5. Very long texts are read whole, in time and memory of their length. Ties do not matter: a row's score depends on its text alone. An empty table gives no rows. Repeated rows score alike. Other columns pass through
+``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
