@@ -17,6 +17,8 @@ from .neardup import near_duplicates
 from .packing import best_fit_sequences
 from .pii import replace_private_data
 from .quality import REJECT_BELOW, fit, held_out, with_scores
+from .runs import digest as runs_digest
+from .runs import periodic_runs
 from .secrets import digest, find_secrets
 from .sharding import consistent_hash_shards
 from .tokens import vocabulary_path
@@ -80,6 +82,19 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents; a tenth of the documents, by the hash of the id, is made to repeat itself first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    number = F.crc32(F.col("doc_id").cast("string"))
+    repeats = (number % 10 == 0) & F.col("text").isNotNull()
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.withColumn("g", F.floor(number / 10)).withColumn("words", F.when(repeats, words))
+    n = F.size("words")
+    at = chosen.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return runs_digest(periodic_runs(at.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -96,6 +111,7 @@ QUERIES = (
     op8_bit_packed_ids,
     op9_residual_packing,
     op10_minhash_containment,
+    op11_periodic_runs,
     pipeline,
 )
 
