@@ -40,4 +40,57 @@ GROUP BY doc_id, item_id, size
 HAVING CAST(count(*) AS DOUBLE) / size >= 0.8
 """
 
-SQL = {"op5_cover_tree_top_k": TOP_K, "op10_minhash_containment": CONTAINMENT}
+#: Exact shares of all kept terms in all groups, those without occurrences too.
+DIVERGENCE = r"""
+WITH t AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), c AS (
+    SELECT d, lang, source, term, count(*) AS n FROM (SELECT d, lang, source, unnest(w) AS term FROM t) GROUP BY ALL
+), kept AS (
+    SELECT lang, term FROM c GROUP BY ALL HAVING count(*) >= 10
+), v AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY ALL
+), g AS (
+    SELECT lang, source, term, CAST(coalesce(sum(n), 0) AS HUGEINT) AS n
+    FROM (SELECT DISTINCT lang, source FROM t) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term) GROUP BY ALL
+), p AS (
+    SELECT lang, source, term, n, CAST(1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p FROM g JOIN v USING (lang)
+), l AS (
+    SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM g GROUP BY ALL
+), q AS (
+    SELECT lang, term, CAST(1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS BIGINT) AS q FROM l JOIN v USING (lang)
+), f AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), groups AS (
+    SELECT DISTINCT lang, source FROM t
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+#: Turns and what is learnt from them, from the table; only the number of characters depends on the template.
+CHAT = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+    SELECT *, CASE WHEN regexp_matches(text, '<\|[^<>|\s]+\|>|<\\+\|') THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END AS written FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(role) + 1 + length(written) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+SQL = {"op5_cover_tree_top_k": TOP_K, "op10_minhash_containment": CONTAINMENT, "op12_source_divergence": DIVERGENCE, "op13_chat_format": CHAT}
