@@ -36,6 +36,8 @@ MIN_DF = 10
 TOP = 10
 SCALE = 1_000_000_000
 MOST_TERMS = 2**31 - 1
+#: Counts below this fit a long when they are scaled.
+LONG_COUNT = 9_000_000_000
 #: Parts a term from its language; terms hold no such character.
 MARK = "\x00"
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -92,10 +94,10 @@ def document_vectors(lists: DataFrame, model: CountVectorizerModel) -> DataFrame
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 (n + 2) / (total + 2 terms)), in decimals that hold it."""
-    a = F.lit(SCALE).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)")
-    b = (total + 2 * terms).cast("decimal(20,0)")
-    return F.call_function("div", a, b) + 1
+    """1 + floor(10^9 (n + 2) / (total + 2 terms)), in decimals where a long doesn't hold the product."""
+    whole = total + 2 * terms
+    wide = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)"), whole.cast("decimal(20,0)"))
+    return F.when(n < LONG_COUNT, F.call_function("div", F.lit(SCALE).cast("bigint") * (n + 2), whole)).otherwise(wide) + 1
 
 
 def _apart(p: Column, q: Column) -> Column:
@@ -108,17 +110,19 @@ def divergence(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP) -> DataFra
     lists = stored(document_terms(docs), "terms")
     model = fitted(lists, min_df)
     entries = F.explode(F.arrays_zip(F.unwrap_udt("counts")["indices"].alias("idx"), F.unwrap_udt("counts")["values"].alias("n"))).alias("e")
-    sums = document_vectors(lists, model).select("lang", "source", entries).groupBy("lang", "source", F.col("e.idx").alias("idx")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
-    sums = stored(sums, "sums")
-    words = stored(vocabulary(model, spark), "words")
+    # a term's number tells its language
+    sums = document_vectors(lists, model).select("source", entries).groupBy("source", F.col("e.idx").alias("idx")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
+    sums, words = stored(sums, "sums"), stored(vocabulary(model, spark), "words")
+    named = sums.join(words, "idx")
     sizes = words.groupBy("lang").agg(F.count("*").alias("terms"))
-    totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = named.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = lists.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.coalesce("terms", F.lit(0).cast("long")).alias("terms"))
-    groups = stored(groups.withColumn("p0", F.when(F.col("terms") > 0, _share(F.lit(0), F.col("total"), F.col("terms"))).otherwise(F.lit(1).cast("long"))), "groups")
-    discard(lists)
-    cells = sums.join(groups, ["lang", "source"]).select("lang", "source", "idx", "n", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"))
-    out = _pairs(cells, groups).unionByName(_terms(sums, cells, words, top))
+    none = F.lit(0).cast("long")
+    groups = stored(groups.withColumn("p0", F.when(F.col("terms") > 0, _share(none, F.col("total"), F.col("terms"))).otherwise(F.lit(1).cast("long"))), "groups")
+    cells = stored(named.join(groups, ["lang", "source"]).select("lang", "source", "idx", "term", "n", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), "p0"), "cells")
+    discard(lists, sums)
+    out = _pairs(cells, groups).unionByName(_terms(cells, sizes, top))
     return out.select("lang", "source", "part", "item", "value", "rank")
 
 
@@ -130,8 +134,8 @@ def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
     flat = _apart(F.col("p0_a"), F.col("p0_b"))
     alone = by_count.join(both.select("lang", "source_a", "source_b", "p0_a", "p0_b"), ["lang", "source_a"]).groupBy("lang", "source_a", "source_b").agg(F.sum(F.col("terms_a") * (_apart(F.col("p_a"), F.col("p0_b")) - flat)).alias("alone"))
     # what changes again for the terms that both have
-    known = cells.join(groups.select("lang", "source", "p0"), ["lang", "source"])
-    met = side(known.select("lang", "idx", "source", "p", "p0"), "a").withColumnRenamed("idx_a", "idx").join(side(known.select("lang", "idx", "source", "p", "p0"), "b").withColumnRenamed("idx_b", "idx"), ["lang", "idx"]).where("source_a < source_b")
+    one = cells.select("lang", "idx", "source", "p", "p0")
+    met = side(one, "a").join(side(one, "b").drop("lang"), F.col("idx_a") == F.col("idx_b")).where("source_a < source_b")
     change = _apart(F.col("p_a"), F.col("p_b")) - _apart(F.col("p_a"), F.col("p0_b")) - _apart(F.col("p0_a"), F.col("p_b")) + flat
     shared = met.groupBy("lang", "source_a", "source_b").agg(F.sum(change).alias("shared"))
     turned = lambda df, c: df.select("lang", F.col("source_b").alias("source_a"), F.col("source_a").alias("source_b"), c)
@@ -144,10 +148,11 @@ def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
     return parts.select("lang", F.col("source_a").alias("source"), F.lit("pair").alias("part"), F.col("source_b").alias("item"), value.alias("value")).withColumn("rank", F.row_number().over(ranked))
 
 
-def _terms(sums: DataFrame, cells: DataFrame, words: DataFrame, top: int) -> DataFrame:
-    whole = sums.groupBy("lang").agg(F.sum("n").alias("total")).join(words.groupBy("lang").agg(F.count("*").alias("terms")), "lang")
-    of_lang = sums.groupBy("lang", "idx").agg(F.sum("n").alias("n")).join(whole, "lang").select("idx", _share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
-    more = cells.join(of_lang, "idx").where("p > q").join(words.select("idx", "term"), "idx")
+def _terms(cells: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
+    of_lang = cells.groupBy("lang", "idx").agg(F.sum("n").alias("n"))
+    whole = of_lang.groupBy("lang").agg(F.sum("n").alias("total")).join(sizes, "lang")
+    shares = of_lang.join(whole, "lang").select("idx", _share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
+    more = cells.join(shares, "idx").where("p > q")
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     out = more.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _apart(F.col("p"), F.col("q")).alias("value"))
     return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
