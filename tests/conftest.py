@@ -44,7 +44,7 @@ def rows_of(frame):
     names = sorted(frame.columns)
 
     def cell(x):
-        if x is None or x != x or str(x) in ("NaT", "<NA>"):
+        if x is None or str(x) in ("NaT", "<NA>", "nan"):
             return "null"
         return str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
 

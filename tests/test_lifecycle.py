@@ -40,17 +40,17 @@ def sequential(rows):
     return out
 
 
-@pytest.mark.parametrize("seed, chunk", [(1, 86_400), (2, 3_600), (3, 7), (4, 10**9)])
-def test_windows_are_the_sequential_model(spark, seed, chunk):
+@pytest.mark.parametrize("seed, segment_rows", [(1, 1), (2, 4), (3, 25), (4, 10**9)])
+def test_windows_are_the_sequential_model(spark, seed, segment_rows):
     rows = histories(seed)
-    got = lifecycle.alarm_states(spark.createDataFrame(rows, SCHEMA), chunk).collect()
+    got = lifecycle.alarm_states(spark.createDataFrame(rows, SCHEMA), segment_rows).collect()
     assert {(r["rule_id"], r["seq"]): (r["previous_state"], r["state"], r["episode"]) for r in got} == sequential(rows)
 
 
 def test_a_longer_delay_does_not_undo_an_alarm(spark):
     rows = [("R", START + timedelta(seconds=i), i, "Triggered", False, d) for i, d in enumerate([0, 600, 600])]
-    for chunk in (1, 86_400):
-        got = lifecycle.alarm_states(spark.createDataFrame(rows, SCHEMA), chunk).orderBy("seq").collect()
+    for segment_rows in (1, 86_400):
+        got = lifecycle.alarm_states(spark.createDataFrame(rows, SCHEMA), segment_rows).orderBy("seq").collect()
         assert [r["state"] for r in got] == ["ACTIVE"] * 3
 
 
@@ -66,26 +66,61 @@ def test_golden_trace(spark):
     assert (alarm["state"], alarm["episode"], alarm["first_status"]) == ("CLEARED", 1, "Triggered")
 
 
-def test_a_rule_is_split_over_tasks(spark):
-    """Rows are only ever dealt out by rule and chunk; by the rule alone, only a row a chunk is."""
+def test_a_rule_of_one_day_is_split_over_tasks(spark):
+    """A rule with all rows, all of one second: no segment has much more than its share."""
+    rows = [("R", START, i, "Triggered" if i % 5 else "Normal", i % 5 == 0, 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    states = lifecycle.alarm_states(df, 100)
+    assert {(r["rule_id"], r["seq"]): (r["previous_state"], r["state"], r["episode"]) for r in states.collect()} == sequential(rows)
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    assert "__segment" in plan
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = lifecycle.alarm_states(spark.createDataFrame(histories(1, 3, 5), SCHEMA))._jdf.queryExecution().executedPlan().toString().splitlines()
+        lines = states._jdf.queryExecution().executedPlan().toString().splitlines()
+        cut = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(rule_id" in line and "__segment" not in line and "Reused" not in line]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
-    by_rule = [below for line, below in zip(plan, plan[1:]) if "Exchange hashpartitioning(rule_id" in line and "chunk" not in line and "Reused" not in line]
-    assert by_rule and all("Aggregate(key" in x for x in by_rule), by_rule
+    assert cut  # by the rule alone: rows of short rules, and one row for each segment
+
+
+def test_segments_have_a_bounded_number_of_rows(spark, monkeypatch, tmp_path):
+    rows = [("R", START, i, "Normal", False, 0) for i in range(5000)] + [(f"S{i % 50}", START, i, "Normal", False, 0) for i in range(500)]
+    monkeypatch.setattr(lifecycle, "shared_path", lambda spark, name: str(tmp_path / name))
+    lifecycle.alarm_states(spark.createDataFrame(rows, SCHEMA).repartition(4), 250).count()
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "segments")).groupBy("__segment").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 1000 and sum(sizes) == 5000  # short rules are not cut
+
+
+def test_time_may_go_back_in_another_order(spark):
+    """In the order of steps, a step's time may be earlier than that of the one before; no delay means at once."""
+    rows = [("R", START + timedelta(seconds=s), i, "Triggered", False, d) for i, (s, d) in enumerate([(600, 300), (0, 300), (899, 300), (900, 300), (100, 300)])] + [("S", START + timedelta(seconds=s), i, "Triggered", False, d) for i, (s, d) in enumerate([(600, 300), (0, 0)])]
+    for segment_rows in (1, 2, 100):
+        got = lifecycle.alarm_states(spark.createDataFrame(rows, SCHEMA), segment_rows, ("seq",)).orderBy("rule_id", "seq").collect()
+        assert [r["state"] for r in got] == ["PENDING", "PENDING", "PENDING", "ACTIVE", "ACTIVE", "PENDING", "ACTIVE"]
 
 
 def test_acknowledge_and_orphans(spark):
     alarms = spark.createDataFrame([("R1", 1, "ACTIVE"), ("R2", 1, "PENDING"), ("R3", 1, "CLEARED")], "rule_id string, episode long, state string")
     commands = spark.createDataFrame([("R1", 1, START + timedelta(hours=2), "bo"), ("R1", 1, START + timedelta(hours=1), " ")], "rule_id string, episode long, acknowledged_at timestamp_ntz, operator string")
     got = {r["rule_id"]: (r["acknowledged"], r["acknowledged_by"]) for r in lifecycle.acknowledge(alarms, commands).collect()}
-    assert got == {"R1": (True, "local-operator"), "R2": (False, ""), "R3": (False, "")}
+    assert got == {"R1": (True, "bo"), "R2": (False, ""), "R3": (False, "")}  # the last command stays
+    facts = alarms.selectExpr("*", "'P1' AS point_id", "'E1' AS equipment_id", "'5' AS triggered_value", "'hot' AS alarm_message")
+    current = spark.createDataFrame([("P1", "PS-1")], "point_id string, sample_id string")
+    events = lifecycle.acknowledge_events(facts, commands.unionByName(commands.limit(1).selectExpr("'R9' AS rule_id", "episode", "acknowledged_at", "operator")), current).orderBy("event_timestamp").collect()
+    assert [(e["rule_id"], e["acknowledged_by"], e["previous_state"], e["new_state"], e["value"], e["sample_id"], e["message"], e["details_json"]) for e in events] == [
+        ("R1", "local-operator", "ACTIVE", "ACTIVE", "5", "PS-1", "hot", '{"acknowledged_by":"local-operator"}'),
+        ("R1", "bo", "ACTIVE", "ACTIVE", "5", "PS-1", "hot", '{"acknowledged_by":"bo"}'),
+    ]  # an event each; the command on an alarm that is not there makes none
     gone = lifecycle.orphaned(alarms, spark.createDataFrame([("R1",)], "rule_id string")).collect()
     assert [(r["rule_id"], r["state"], r["evaluation_note"]) for r in gone] == [("R2", "CLEARED", "Rule not evaluated")]
 
 
+def test_first_open_alarm(spark):
+    rows = [("R", 1, "PENDING", "2024-01-03"), ("R", 2, "ACTIVE", "2024-01-01"), ("R", 3, "ACTIVE", "2024-01-02"), ("R", 4, "CLEARED", "2024-01-09"), ("S", 7, "PENDING", "2024-01-01"), ("S", 8, "PENDING", "2024-01-02")]
+    got = lifecycle.first_open(spark.createDataFrame(rows, "rule_id string, episode long, state string, last_evaluated_at string")).collect()
+    assert sorted((r["rule_id"], r["episode"], r["state"]) for r in got) == [("R", 3, "ACTIVE"), ("S", 8, "PENDING")]
+
+
 def test_stream_is_batch(spark, tmp_path):
     rows = histories(7, 6, 40)
     order = sorted(rows, key=lambda x: (x[1], x[2]))

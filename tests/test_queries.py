@@ -3,7 +3,7 @@
 import pytest
 from conftest import DATA, rows_of
 
-from tickwarden.plans import queries
+from tickwarden.plans import registered as queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

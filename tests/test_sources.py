@@ -54,13 +54,13 @@ def test_upsert_and_ignore(spark):
 def test_ingest_isolates_failures(spark):
     points = spark.createDataFrame([("P1", "kW")], "point_id string, unit string")
     raw = spark.createDataFrame(
-        [(1, "P1", "5", "", "", "", "", "", "", ""), (2, "P9", "5", "", "", "", "", "", "", ""), (3, "P1", "5", "", "", "", "-1", "", "", ""), (4, "P1", "5", "", "", "", "", "maybe", "", "")],
+        [(1, "P1", "5", None, None, "", "", "", "", ""), (2, "P9", "5", None, None, "", "", "", "", ""), (3, "P1", "5", None, None, "", "-1", "", "", ""), (4, "P1", "5", None, None, "", "", "maybe", "", "")],
         "ingest_seq long, point_id string, value string, quality string, source string, unit string, stale_after_seconds string, overridden string, out_of_service string, source_timestamp string",
     )
     good, bad = ingest.split_checked(ingest.checked_samples(raw, points, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
     row = good.first()
     assert (good.count(), row["unit"], row["quality"], row["stale_after_seconds"], row["source"]) == (1, "kW", "GOOD", 300, "SIMULATED")
-    assert {r["index"]: r["error"] for r in bad.collect()} == {2: "Point not found", 3: "stale_after_seconds must be a non-negative integer", 4: "overridden must be a boolean"}
+    assert {r["index"]: r["error"] for r in bad.collect()} == {2: "Point not found: P9", 3: "delay_seconds must be a non-negative integer", 4: "overridden must be a boolean value"}
 
 
 def test_arrival_order_wins(spark):
@@ -70,7 +70,7 @@ def test_arrival_order_wins(spark):
 
 
 def test_import_preview_and_commit(spark):
-    rows = [(2, "ups 1", "1", "3", "10", "load kw", "float", "1", "kW", "d"), (3, "ups 1", "1", "3", "10", "other", "float", "1", "", ""), (4, "x", "300", "3", "1", "p", "text", "z", "", ""), (5, "", "1", "1", "1", "p", "bool", "1", "", "")]
+    rows = [(2, "ups 1", "1", "3", "10", "load kw", "float", "1", "kW", "d"), (3, "ups 1", "1", "3", "10", "other", "float", "1", "", "o"), (4, "x", "300", "3", "1", "p", "text", "z", "", ""), (5, "", "1", "1", "1", "p", "bool", "1", "", "")]
     raw = spark.createDataFrame(rows, "row_number long, device_name string, slave_id string, function_code string, register_address string, point_name string, data_type string, scale string, unit string, description string")
     points = spark.createDataFrame([("UPS-1_LOAD_KW", "", "", "", "", "")], "point_id string, unit string, description string, source_system string, protocol string, address string")
     equipment = spark.createDataFrame([], "equipment string")
@@ -78,20 +78,73 @@ def test_import_preview_and_commit(spark):
     twice = importer.duplicate_issues(done).collect()
     assert [(r["row_number"], r["field"], r["first_row"]) for r in twice] == [(3, "register_address", 2)]
     s = importer.preview_summary(done, points, equipment).first()
-    assert (s["total_rows"], s["parsed_rows"], s["valid_rows"], s["error_count"], s["would_update_point_count"], s["would_create_point_count"]) == (4, 2, 1, 5, 1, 1)
-    new_equipment, new_points, filled = importer.committed(done.where("row_number = 2"), points, equipment)
+    assert (s["total_rows"], s["parsed_rows"], s["valid_rows"], s["error_count"], s["would_update_point_count"], s["would_create_point_count"]) == (4, 2, 1, 7, 1, 1)
+    said = {(r["row_number"], r["message"]) for r in importer.row_errors(done, points, equipment).collect()}
+    assert (3, "Duplicate Modbus address tuple in import: slave_id=1, function_code=3, register_address=10 also appears on row 2") in said
+    assert (4, "data_type must be one of: analog, bit, bool, boolean, enum, float, float32, float64, int16, int32, integer, uint16, uint32") in said and (5, "Missing required field: description") in said
+    new_equipment, new_points, filled = importer.committed(done.where("row_number = 2"), points, equipment, F.lit("2024-01-01").cast("timestamp_ntz"))
     assert new_equipment.first()["equipment"] == "UPS-1" and new_points.count() == 0
     assert (filled.first()["unit"], filled.first()["address"]) == ("kW", "slave_id=1;function_code=3;register_address=10")
     assert done.where("row_number = 2").first()["display_name"] == "UPS-1 Load kW"
 
 
+RULES = "rule_id string, point_id string, rule_name string, threshold_value string, clear_value string, severity string, alarm_message string, enabled boolean, delay_seconds long"
+UPDATES = "rule_id string, threshold_value string, clear_value string, severity string, alarm_message string, enabled string, delay_seconds string"
+
+
 def test_rule_updates(spark):
-    rules = spark.createDataFrame([("R1", "1", "", "Info", "m", True, 5)], "rule_id string, threshold_value string, clear_value string, severity string, alarm_message string, enabled boolean, delay_seconds long")
-    change = spark.createDataFrame([("R1", "2", None, "Info", None, None, None)], "rule_id string, threshold_value string, clear_value string, severity string, alarm_message string, enabled string, delay_seconds long")
-    assert [tuple(r) for r in catalog.rule_changes(rules, change).collect()] == [("R1", "threshold_value", "1", "2")]
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    rules = spark.createDataFrame([("R1", "P1", "n", "1", "", "Info", "m", True, 5)], RULES)
+    points = spark.createDataFrame([("P1", "E1")], "point_id string, equipment_id string")
+    change = spark.createDataFrame([("R1", " 2 ", None, "info", None, "yes", None)], UPDATES)
+    assert [tuple(r) for r in catalog.rule_changes(rules, change).collect()] == [("R1", "threshold_value", "1", "2")]  # Info and yes are what the rule has
     assert catalog.updated_rules(rules, change).first()["threshold_value"] == "2"
-    assert catalog.update_events(rules, change).first()["details_json"] == '{"new":{"threshold_value":"2"},"old":{"threshold_value":"1"}}'
-    assert catalog.update_events(rules, change.where("false")).count() == 0
+    event = catalog.update_events(rules, change, points, at).first()
+    assert event["details_json"] == '{"changed_fields":["threshold_value"],"new_values":{"threshold_value":"2"},"old_values":{"threshold_value":"1"}}'
+    assert (event["rule_id"], event["equipment_id"], event["message"], event["acknowledged_by"], event["id"][:3]) == ("R1", "E1", "Alarm rule updated: n", "local-operator", "AE-")
+    more = spark.createDataFrame([("R1", None, None, None, None, "0", "7")], UPDATES)
+    assert catalog.update_events(rules, more, points, at).first()["details_json"] == '{"changed_fields":["delay_seconds","enabled"],"new_values":{"delay_seconds":7,"enabled":false},"old_values":{"delay_seconds":5,"enabled":true}}'
+    assert catalog.update_events(rules, change.where("false"), points, at).count() == 0
+    bad = [("R1", None, None, "loud", None, None, "-1"), ("R9", None, None, None, None, "on", None), ("R9", "1", None, None, None, None, None), ("R1", "1", None, None, None, None, None)]
+    bad = spark.createDataFrame([(*r, i) for i, r in enumerate(bad)], f"{UPDATES}, n int")
+    assert [r["error"] for r in catalog.checked_updates(bad, rules).orderBy("n").collect()] == ["delay_seconds must be a non-negative integer", "enabled must be one of: 1, 0, true, false, yes, no", "Alarm rule not found: R9", None]
+
+
+def test_rule_creation(spark):
+    points = spark.createDataFrame([("P1", "E1")], "point_id string, equipment_id string")
+    rules = spark.createDataFrame([("R1",)], "rule_id string")
+    columns = "rule_id string, point_id string, rule_name string, rule_type string, operator string, threshold_value string, clear_value string, severity string, alarm_message string, enabled string, delay_seconds string, extra array<string>"
+    ok = ("R2", "P1", "n", "Analog_Limit", ">", "", "", "critical", "m", "Yes", "", None)
+    put = lambda **c: tuple(c.get(f.split()[0], v) for f, v in zip(columns.split(", "), ok))
+    rows = [
+        ok,
+        put(extra=["zone", "tags"], rule_name=""),
+        put(rule_name=" ", enabled=None, rule_type="x"),
+        put(rule_type="x", operator="~"),
+        put(operator="==", severity="x"),
+        put(severity="x", enabled="on"),
+        put(enabled="on", delay_seconds="x"),
+        put(delay_seconds="1.5", rule_id="R1"),
+        put(rule_id="R1", point_id="P9"),
+        put(point_id="P9"),
+    ]
+    requests = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{columns}, n int")
+    got = [r["error"] for r in catalog.checked_rules(requests, rules, points, "extra").orderBy("n").collect()]
+    assert got == [
+        None,  # a threshold may be blank
+        "Unsupported alarm rule field(s): tags, zone",
+        "Missing required alarm rule field(s): rule_name, enabled",
+        "rule_type must be one of: analog_limit, boolean_state, enum_match",
+        "operator for analog_limit must be one of: <, <=, >, >=",
+        "severity must be one of: Critical, Info, Warning",
+        "enabled must be one of: 1, 0, true, false, yes, no",
+        "delay_seconds must be a non-negative integer",
+        "Alarm rule already exists: R1",
+        "Point not found: P9",
+    ]
+    new = catalog.normalised_rules(spark.createDataFrame([ok], columns))
+    event = catalog.created_events(new, points, F.lit("2024-01-01").cast("timestamp_ntz")).first()
+    assert event["details_json"] == '{"created_rule":{"alarm_message":"m","clear_value":"","delay_seconds":0,"enabled":true,"id":"R2","operator":">","point_id":"P1","rule_name":"n","rule_type":"analog_limit","severity":"Critical","threshold_value":""}}'
 
 
 def test_briefing(spark):

@@ -16,6 +16,7 @@ FALSE_WORDS = ("false", "0", "no", "off")
 QUALITIES = ("GOOD", "UNCERTAIN", "BAD", "STALE")
 SOURCES = ("SIMULATED", "BMS", "EPMS", "PLC", "DCIM", "MANUAL", "SCENARIO")
 SEVERITIES = ("Critical", "Warning", "Info")
+RULE_TYPES = ("analog_limit", "boolean_state", "enum_match")
 ANALOG_OPERATORS = (">", ">=", "<", "<=")
 MATCH_OPERATORS = ("==", "!=")
 DEFAULT_STALE_AFTER = 300

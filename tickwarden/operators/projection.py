@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .lifecycle import DAY, chunk_of
+from .events import ACTOR, audit_events
+
+#: Arrivals of all points that make a chunk of each point's history.
+CHUNK_ROWS = 1 << 17
 
 
 def latest(samples: DataFrame, key: str = "point_id") -> DataFrame:
@@ -37,13 +40,13 @@ def as_of_ticks(samples: DataFrame, points: DataFrame, first: Column, last: Colu
     return joined.withColumn("seen", F.max(F.when(F.col("s").isNotNull(), ordered)).over(up_to)).select(key, "tick", F.col("seen.s").alias("sample"))
 
 
-def previous(samples: DataFrame, columns: list[str], key: str = "point_id", chunk_seconds: int = DAY) -> DataFrame:
+def previous(samples: DataFrame, columns: list[str], key: str = "point_id", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The samples with previous_<column> of the sample that arrived before; null for a point's first one.
 
-    A point's history is cut into chunks by arrival, of which one row each is passed on, so that a
+    A point's history is cut by arrival into chunks of ``chunk_rows`` arrivals, of which one row each is passed on, so that a
     point with a large part of all samples is worked on in parallel.
     """
-    cut = samples.withColumn("__chunk", chunk_of(F.col("ts"), chunk_seconds))
+    cut = samples.withColumn("__chunk", F.floor(F.col("ingest_seq") / chunk_rows))
     value = F.struct(*columns)
     in_chunk = Window.partitionBy(key, "__chunk").orderBy("ingest_seq")
     ends = cut.groupBy(key, "__chunk").agg(F.max_by(value, F.col("ingest_seq")).alias("__end"))
@@ -53,18 +56,54 @@ def previous(samples: DataFrame, columns: list[str], key: str = "point_id", chun
     return out.select(*samples.columns, F.col("__was").isNotNull().alias("has_previous"), *(F.col(f"__was.{c}").alias(f"previous_{c}") for c in columns))
 
 
-def health_changes(samples: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
-    """Audit events for changes of quality, override and out-of-service; a first sample makes none."""
+def _changed(samples: DataFrame, chunk_rows: int) -> DataFrame:
+    """Samples with ``e``: the kind, field, states and JSON values of each change of health; a first sample has none."""
     q = F.upper(t.text(F.col("quality")))
     known = samples.withColumn("quality", F.when(q == "UNKNOWN", "UNCERTAIN").otherwise(q))
-    was = previous(known, ["quality", "overridden", "out_of_service"], chunk_seconds=chunk_seconds).where("has_previous")
-    field = lambda event, name, old, new: F.struct(F.lit(event).alias("event_type"), F.lit(name).alias("field"), old.alias("previous_state"), new.alias("new_state"))
-    as_text = t.python_bool
+    was = previous(known, ["quality", "overridden", "out_of_service"], chunk_rows=chunk_rows).where("has_previous")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+
+    def change(event: str, name: str, column: str, flag: bool) -> Column:
+        old, new = F.col(f"previous_{column}"), F.col(column)
+        states = (t.python_bool(old), t.python_bool(new)) if flag else (old, new)
+        values = (old.cast("string"), new.cast("string")) if flag else (quoted(old), quoted(new))
+        return F.struct(F.lit(event).alias("event_type"), F.lit(name).alias("field"), F.lit(column).alias("column"), states[0].alias("previous_state"), states[1].alias("new_state"), values[0].alias("old_value"), values[1].alias("new_value"))
+
     fields = F.array(
-        field("POINT_QUALITY_CHANGED", "quality", F.col("previous_quality"), F.col("quality")),
-        field("POINT_OVERRIDE_CHANGED", "override", as_text(F.col("previous_overridden")), as_text(F.col("overridden"))),
-        field("POINT_OUT_OF_SERVICE_CHANGED", "out-of-service", as_text(F.col("previous_out_of_service")), as_text(F.col("out_of_service"))),
+        change("POINT_QUALITY_CHANGED", "quality", "quality", False),
+        change("POINT_OVERRIDE_CHANGED", "override", "overridden", True),
+        change("POINT_OUT_OF_SERVICE_CHANGED", "out-of-service", "out_of_service", True),
+    )
+    return was.withColumn("e", F.explode(fields)).where("e.previous_state <> e.new_state")
+
+
+def _message() -> Column:
+    return F.concat(F.lit("Point "), F.col("e.field"), F.lit(" changed from "), F.col("e.previous_state"), F.lit(" to "), F.col("e.new_state"))
+
+
+def health_changes(samples: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Changes of quality, override and out-of-service from sample to sample; a first sample makes none."""
+    changed = _changed(samples, chunk_rows)
+    return changed.select("point_id", "ts", "ingest_seq", "value", "e.event_type", "e.previous_state", "e.new_state", _message().alias("message"))
+
+
+def health_events(samples: DataFrame, points: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The audit events of those changes, at the times of receipt."""
+    df = _changed(samples, chunk_rows).join(points.select("point_id", "equipment_id"), "point_id", "left")
+    json = F.concat(F.lit('{"changed_field":"'), F.col("e.column"), F.lit('","new_value":'), F.col("e.new_value"), F.lit(',"old_value":'), F.col("e.old_value"), F.lit("}"))
+    return audit_events(
+        df,
+        {
+            "point_id": F.col("point_id"),
+            "equipment_id": F.coalesce("equipment_id", F.lit("")),
+            "event_type": F.col("e.event_type"),
+            "event_timestamp": F.col("received_timestamp"),
+            "value": F.col("value"),
+            "sample_id": F.col("sample_id"),
+            "previous_state": F.col("e.previous_state"),
+            "new_state": F.col("e.new_state"),
+            "acknowledged_by": ACTOR,
+            "message": _message(),
+            "details_json": json,
+        },
     )
-    changed = was.select("point_id", "ts", "ingest_seq", "value", F.explode(fields).alias("e")).where("e.previous_state <> e.new_state")
-    message = F.concat(F.lit("Point "), F.col("e.field"), F.lit(" changed from "), F.col("e.previous_state"), F.lit(" to "), F.col("e.new_state"))
-    return changed.select("point_id", "ts", "ingest_seq", "value", "e.event_type", "e.previous_state", "e.new_state", message.alias("message"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as r
 from ..functions import text as t
 from ..operators import catalog, importer, ingest, lifecycle, projection
+from ..operators.events import sample_id
 from ..sources import files
 from . import domain, readmodels
 from .domain import STALE_SECONDS, TICK_SECONDS, view
@@ -201,16 +202,15 @@ def alarm_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.episodes(_states(spark, sf_dir))
 
 
-_SNAPSHOT = ("value", "quality", "ingest_seq", "rule_type", "operator", "threshold_value", "clear_value", "delay_seconds", "severity")
-
-
 @query(
-    f"{_STATES}, o AS (SELECT * FROM states WHERE previous_state = 'NONE' AND state <> 'NONE') SELECT rule_id, episode, {', '.join(f'{c} AS trigger_{c}' for c in _SNAPSHOT)} FROM o",
+    f"""{_STATES}, o AS (SELECT s.*, r.rule_name, r.alarm_message FROM states s JOIN alarm_rules r USING (rule_id) WHERE previous_state = 'NONE' AND state <> 'NONE')
+SELECT rule_id, episode, rule_name AS rule_name_at_trigger, rule_type AS rule_type_at_trigger, operator AS operator_at_trigger, threshold_value AS threshold_value_at_trigger, clear_value AS clear_value_at_trigger, delay_seconds AS delay_seconds_at_trigger,
+       severity AS severity_at_trigger, alarm_message AS alarm_message_at_trigger, concat('PS-', point_id, '-', substr(sha256(concat_ws('|', point_id, CAST(ingest_seq AS VARCHAR))), 1, 12)) AS triggering_sample_id, value AS triggering_value, quality AS triggering_quality,
+       source_timestamp AS triggering_source_timestamp, received_timestamp AS triggering_received_timestamp FROM o""",
     *_BASE,
 )
 def alarm_episode_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = {f"trigger_{c}": F.col(c) for c in _SNAPSHOT}
-    return lifecycle.episodes(_states(spark, sf_dir), kept).select("rule_id", "episode", *kept)
+    return lifecycle.episodes(_states(spark, sf_dir).withColumn("sample_id", sample_id(F.col("point_id"), F.col("ingest_seq"))), lifecycle.SNAPSHOT).select("rule_id", "episode", *lifecycle.SNAPSHOT)
 
 
 @query(
@@ -393,11 +393,7 @@ def stale_events_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_STALE}, f AS (SELECT point_id, ingest_seq, min(tick) AS tick FROM stale GROUP BY ALL) SELECT a.tick, count(*) AS checked, count(s.point_id) AS stale, count(f.point_id) AS new_events FROM seen a LEFT JOIN stale s USING (tick, point_id) LEFT JOIN f ON f.point_id = a.point_id AND f.tick = a.tick AND f.ingest_seq = a.ingest_seq WHERE a.ingest_seq IS NOT NULL GROUP BY a.tick", "points", "point_samples")
 def health_sweep_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _as_of(spark, sf_dir).where("sample is not null").groupBy("tick").agg(F.count("*").alias("checked"))
-    stale = _sweeps(spark, sf_dir)
-    by_tick = stale.groupBy("tick").agg(F.count("*").alias("stale"))
-    new = ingest.first_stale(stale).groupBy("tick").agg(F.count("*").alias("new_events"))
-    return seen.join(by_tick, "tick", "left").join(new, "tick", "left").select("tick", "checked", F.coalesce("stale", F.lit(0)).alias("stale"), F.coalesce("new_events", F.lit(0)).alias("new_events"))
+    return ingest.sweep_counters(_as_of(spark, sf_dir).where("sample is not null").select("tick", "sample.*"))
 
 
 # --- log and context ----------------------------------------------------------------------
@@ -449,53 +445,78 @@ def correlation_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ingest, scenarios and catalog changes --------------------------------------------------
 
 
-@query(
-    """c AS (SELECT ingest_seq, CASE WHEN p.point_id IS NULL THEN 'Point not found' WHEN trim(value) IN ('', 'n/a') THEN 'value is required' WHEN quality = 'ODD' THEN 'Invalid quality' WHEN source = 'FAX' THEN 'Invalid source' END AS error
-      FROM (SELECT ingest_seq, CASE WHEN ingest_seq % 23 = 0 THEN 'PT-none' ELSE point_id END AS point_id, CASE WHEN ingest_seq % 29 = 0 THEN ' n/a ' ELSE value END AS value, CASE WHEN ingest_seq % 31 = 0 THEN 'ODD' ELSE quality END AS quality, CASE WHEN ingest_seq % 37 = 0 THEN 'FAX' ELSE source END AS source FROM point_samples) s
-      LEFT JOIN points p ON s.point_id = p.point_id)
-SELECT ingest_seq, coalesce(error, '') AS error FROM c""",
-    "points",
-    "point_samples",
-)
+#: Samples as text, some of them spoilt, and what the ingest says of them: quality, source, then the point.
+_SPOILT = """s AS (SELECT * REPLACE (CASE WHEN ingest_seq % 23 = 0 THEN 'PT-none' ELSE point_id END AS point_id, CASE WHEN ingest_seq % 29 = 0 THEN 'n/a' WHEN ingest_seq % 47 = 0 THEN '' ELSE value END AS value), CAST(hour(ts) AS VARCHAR) AS sequence FROM point_samples),
+c AS (SELECT s.*, p.unit, CASE WHEN ingest_seq % 31 = 0 THEN 'quality must be one of: BAD, GOOD, STALE, UNCERTAIN, UNKNOWN' WHEN ingest_seq % 37 = 0 THEN 'source must be one of: BMS, DCIM, EPMS, MANUAL, PLC, SCENARIO, SIMULATED'
+        WHEN p.point_id IS NULL THEN 'Point not found: ' || s.point_id END AS error FROM s LEFT JOIN points p ON s.point_id = p.point_id)"""
+
+
+@query(f"{_SPOILT} SELECT ingest_seq, coalesce(error, '') AS error FROM c", "points", "point_samples")
 def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("ingest_seq", F.coalesce("error", F.lit("")).alias("error"))
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All samples as text, some of them spoilt, after the checks of the ingest."""
-    odd = lambda n, c, bad: F.when(F.col("ingest_seq") % n == 0, F.lit(bad)).otherwise(F.col(c)).alias(c)
-    raw = view(spark, sf_dir, "point_samples").select(
+def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples as text, some of them spoilt."""
+    seq = F.col("ingest_seq")
+    odd = lambda n, c, bad: F.when(seq % n == 0, F.lit(bad)).otherwise(F.col(c)).alias(c)
+    return view(spark, sf_dir, "point_samples").select(
         "ingest_seq",
         odd(23, "point_id", "PT-none"),
-        odd(29, "value", " n/a "),
+        F.when(seq % 29 == 0, " n/a ").when(seq % 47 == 0, " ").otherwise(F.col("value")).alias("value"),
         odd(31, "quality", "ODD"),
         odd(37, "source", "FAX"),
         F.lit("").alias("unit"),
         F.col("stale_after_seconds").cast("string").alias("stale_after_seconds"),
         F.col("overridden").cast("string").alias("overridden"),
         F.col("out_of_service").cast("string").alias("out_of_service"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("source_timestamp"),
+        F.when(seq % 41 == 0, "soon").when(seq % 43 == 0, " ").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("source_timestamp"),
+        F.concat(F.lit(" slot "), seq % 5).alias("address"),
+        F.when(seq % 3 == 0, " night ").alias("created_by"),
     )
-    return ingest.checked_samples(raw, view(spark, sf_dir, "points"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.checked_samples(raw_samples(spark, sf_dir), view(spark, sf_dir, "points"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+
+
+_WHAT_IF = """updates AS (SELECT CAST(u % 8 AS VARCHAR) AS scenario_id, u AS position, CASE WHEN u % 40 = 17 THEN 'PT-none' ELSE point_id END AS point_id, '99' AS value FROM points WHERE u % 3 = 0),
+refused AS (SELECT w.scenario_id, min(w.position) AS position FROM updates w LEFT JOIN points p ON w.point_id = p.point_id WHERE p.point_id IS NULL GROUP BY ALL)"""
+
+
+def _what_if(points: DataFrame) -> DataFrame:
+    """Eight scenarios over a third of the points; some name a point that is not there."""
+    u = F.col("u")
+    return points.where(u % 3 == 0).select((u % 8).cast("string").alias("scenario_id"), u.alias("position"), F.when(u % 40 == 17, "PT-none").otherwise(F.col("point_id")).alias("point_id"), F.lit("99").alias("value"))
 
 
 @query(
-    f"""latest AS (SELECT * FROM point_samples QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ingest_seq DESC) = 1),
-s AS (SELECT l.* REPLACE (CASE WHEN hit THEN '99' ELSE value END AS value, CASE WHEN hit THEN 'GOOD' ELSE quality END AS quality, overridden AND NOT hit AS overridden, out_of_service AND NOT hit AS out_of_service), hit
-      FROM (SELECT latest.*, p.u % 6 = 0 AS hit FROM latest JOIN points p USING (point_id)) l),
-e0 AS (SELECT r.rule_id, r.rule_type, r.operator, r.threshold_value, r.enabled, s.*, s.ts AS eval_at FROM alarm_rules r JOIN s ON r.point_id = s.point_id),
+    f"""latest AS (SELECT * FROM point_samples QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ingest_seq DESC) = 1), {_WHAT_IF},
+hits AS (SELECT DISTINCT point_id FROM updates WHERE scenario_id NOT IN (SELECT scenario_id FROM refused)),
+old AS (SELECT * FROM latest WHERE substr(point_id, 4) NOT LIKE '%5'),
+s AS (SELECT point_id, value, quality, overridden, out_of_service, received_timestamp, stale_after_seconds, false AS from_scenario FROM old WHERE point_id NOT IN (SELECT point_id FROM hits)
+      UNION ALL SELECT point_id, '99', 'GOOD', false, false, TIMESTAMP '2024-02-01 00:00:00', 300, true FROM hits),
+e0 AS (SELECT r.rule_id, r.rule_type, r.operator, r.threshold_value, r.enabled, s.*, TIMESTAMP '2024-02-01 00:00:00' AS eval_at FROM alarm_rules r JOIN s ON r.point_id = s.point_id),
 e1 AS (SELECT *, {_STATUS} AS status FROM e0)
-SELECT rule_id, hit AS from_scenario, status FROM e1""",
+SELECT rule_id, from_scenario, status FROM e1""",
     "points",
     *_BASE,
 )
 def scenario_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = view(spark, sf_dir, "points").where("u % 6 = 0").select("point_id", F.lit("99").alias("value"))
-    now = ingest.with_scenario(view(spark, sf_dir, "point_samples"), updates)
-    out = _evaluated(now.join(view(spark, sf_dir, "alarm_rules"), "point_id"), F.col("ts"))
+    """Scenarios that can be applied as a whole, over current values that some points lack."""
+    points, at = view(spark, sf_dir, "points"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    current = projection.latest(view(spark, sf_dir, "point_samples")).where(~F.col("point_id").endswith("5"))
+    now = ingest.with_scenarios(current, _what_if(points), points, at)
+    out = _evaluated(now.join(view(spark, sf_dir, "alarm_rules"), "point_id"), at)
     return out.select("rule_id", "from_scenario", "status")
 
 
+@query(f"{_WHAT_IF} SELECT scenario_id, 'Point not found: PT-none' AS error FROM refused", "points")
+def scenario_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = view(spark, sf_dir, "points")
+    return ingest.refusals(_what_if(points), points)
+
+
 _UPDATES = "SELECT rule_id, CASE WHEN u % 3 = 0 THEN '75' END AS threshold_value, CASE WHEN u % 2 = 0 THEN 'Warning' END AS severity, CASE WHEN u % 5 = 0 THEN 60 END AS delay_seconds FROM alarm_rules"
 
 
@@ -527,8 +548,14 @@ def rule_update_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """q AS (SELECT CASE WHEN u % 4 = 0 THEN rule_id ELSE concat('NEW-', rule_id) END AS rule_id, CASE WHEN u % 7 = 0 THEN 'PT-none' ELSE point_id END AS point_id, CASE WHEN u % 9 = 0 THEN ' ' ELSE rule_name END AS rule_name,
-       CASE WHEN u % 10 = 0 THEN '~' ELSE operator END AS operator, CASE WHEN u % 13 = 0 THEN 'Loud' ELSE severity END AS severity, u FROM alarm_rules)
-SELECT rule_id, u, CASE WHEN trim(rule_name) = '' THEN 'Missing required field: rule_name' WHEN u % 4 = 0 THEN 'Rule already exists' WHEN u % 7 = 0 THEN 'Point not found' WHEN operator = '~' THEN 'Invalid operator' WHEN severity = 'Loud' THEN 'Invalid severity' ELSE '' END AS error FROM q""",
+       CASE WHEN u % 17 = 0 THEN 'none' ELSE alarm_message END AS alarm_message, CASE WHEN u % 19 = 0 THEN 'fuzzy' ELSE rule_type END AS rule_type, CASE WHEN u % 6 = 0 THEN '' ELSE threshold_value END AS threshold_value,
+       CASE WHEN u % 10 = 0 THEN '~' ELSE operator END AS operator, CASE WHEN u % 13 = 0 THEN 'Loud' ELSE severity END AS severity, CASE WHEN u % 23 = 0 THEN 'on' WHEN u % 21 = 0 THEN NULL ELSE 'yes' END AS enabled, CASE WHEN u % 29 = 0 THEN '-1' ELSE '5' END AS delay_seconds, u FROM alarm_rules),
+m AS (SELECT *, concat_ws(', ', CASE WHEN trim(rule_name) = '' THEN 'rule_name' END, CASE WHEN alarm_message = 'none' THEN 'alarm_message' END, CASE WHEN enabled IS NULL THEN 'enabled' END) AS missing FROM q)
+SELECT rule_id, u, CASE WHEN missing <> '' THEN concat('Missing required alarm rule field(s): ', missing)
+   WHEN rule_type = 'fuzzy' THEN 'rule_type must be one of: analog_limit, boolean_state, enum_match'
+   WHEN operator = '~' THEN concat('operator for ', rule_type, ' must be one of: ', CASE rule_type WHEN 'analog_limit' THEN '<, <=, >, >=' ELSE '!=, ==' END)
+   WHEN severity = 'Loud' THEN 'severity must be one of: Critical, Info, Warning' WHEN enabled = 'on' THEN 'enabled must be one of: 1, 0, true, false, yes, no'
+   WHEN delay_seconds = '-1' THEN 'delay_seconds must be a non-negative integer' WHEN u % 4 = 0 THEN concat('Alarm rule already exists: ', rule_id) WHEN u % 7 = 0 THEN concat('Point not found: ', point_id) ELSE '' END AS error FROM m""",
     "alarm_rules",
 )
 def rule_create_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,8 +565,13 @@ def rule_create_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
             "rule_id": F.when(u % 4 == 0, F.col("rule_id")).otherwise(F.concat(F.lit("NEW-"), "rule_id")),
             "point_id": F.when(u % 7 == 0, "PT-none").otherwise(F.col("point_id")),
             "rule_name": F.when(u % 9 == 0, " ").otherwise(F.col("rule_name")),
+            "alarm_message": F.when(u % 17 == 0, "none").otherwise(F.col("alarm_message")),
+            "rule_type": F.when(u % 19 == 0, "fuzzy").otherwise(F.col("rule_type")),
+            "threshold_value": F.when(u % 6 == 0, "").otherwise(F.col("threshold_value")),
             "operator": F.when(u % 10 == 0, "~").otherwise(F.col("operator")),
             "severity": F.when(u % 13 == 0, "Loud").otherwise(F.col("severity")),
+            "enabled": F.when(u % 23 == 0, "on").when(u % 21 == 0, F.lit(None)).otherwise("yes"),
+            "delay_seconds": F.when(u % 29 == 0, "-1").otherwise("5"),
         }
     )
     out = catalog.checked_rules(requests, rules, view(spark, sf_dir, "points"))
@@ -557,7 +589,8 @@ n1 AS (SELECT *, s BETWEEN 1 AND 247 AS s_ok, f BETWEEN 1 AND 4 AS f_ok, r BETWE
 n2 AS (SELECT *, s_ok AND f_ok AND r_ok AND d_ok AND scale_n IS NOT NULL AS complete, concat('slave_id=', s, ';function_code=', f, ';register_address=', r) AS address,
        CAST(NOT s_ok AS INTEGER) + CAST(NOT f_ok AS INTEGER) + CAST(NOT r_ok AS INTEGER) + CAST(NOT d_ok AS INTEGER) + CAST(scale_n IS NULL AS INTEGER) AS issues FROM n1),
 d AS (SELECT *, min(row_number) OVER (PARTITION BY point_id) AS fp, min(row_number) OVER (PARTITION BY address) AS fa FROM n2 WHERE complete),
-dups AS (SELECT row_number, point_id, address, 'point_name' AS field, fp AS first_row FROM d WHERE row_number > fp UNION ALL SELECT row_number, point_id, address, 'register_address', fa FROM d WHERE row_number > fa),
+dups AS (SELECT row_number, point_id, address, 'point_name' AS field, fp AS first_row, concat('Duplicate point_name in import: ', point_name, ' also appears on row ', fp) AS message FROM d WHERE row_number > fp
+  UNION ALL SELECT row_number, point_id, address, 'register_address', fa, concat('Duplicate Modbus address tuple in import: slave_id=', s, ', function_code=', f, ', register_address=', r, ' also appears on row ', fa) FROM d WHERE row_number > fa),
 own AS (SELECT protocol, address, max(point_id) AS owner FROM points WHERE protocol <> '' AND address <> '' GROUP BY ALL),
 k AS (SELECT c.row_number, c.point_id, c.equipment_id, c.address, p.point_id IS NOT NULL AS found, coalesce(p.protocol, '') AS kp, coalesce(p.address, '') AS ka, CASE WHEN own.owner <> c.point_id THEN own.owner END AS address_owner
       FROM n2 c LEFT JOIN points p ON c.point_id = p.point_id LEFT JOIN own ON own.protocol = 'modbus' AND own.address = c.address WHERE c.complete),
@@ -612,24 +645,13 @@ def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ROWS}, errs AS (SELECT row_number FROM n2 WHERE issues > 0 UNION ALL SELECT row_number FROM dups UNION ALL SELECT row_number FROM conf WHERE address_owner IS NOT NULL OR metadata_conflict) SELECT row_number, point_id, equipment_id, address FROM conf WHERE action = 'create_point' AND row_number NOT IN (SELECT row_number FROM errs)", *_IMPORT)
 def import_committed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = view(spark, sf_dir, "points")
-    rows = importer.without_errors(_import(spark, sf_dir), points)
-    _, created, _ = importer.committed(rows, points.withColumn("description", F.lit("")).withColumn("source_system", F.lit("")), view(spark, sf_dir, "equipment"))
+    """What the commit of a file of the error-free rows would add."""
+    points, equipment = view(spark, sf_dir, "points").withColumn("description", F.lit("")).withColumn("source_system", F.lit("")), view(spark, sf_dir, "equipment")
+    rows = importer.without_errors(_import(spark, sf_dir), points, equipment)
+    _, created, _ = importer.committed(rows, points, equipment, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
     return created.join(rows.select("point_id", "row_number"), "point_id").select("row_number", "point_id", "equipment_id", "address")
 
 
-@query(
-    f"""{_ROWS}, errs AS (SELECT row_number FROM n2 WHERE issues > 0 UNION ALL SELECT row_number FROM dups UNION ALL SELECT row_number FROM conf WHERE address_owner IS NOT NULL OR metadata_conflict),
-ok AS (SELECT * FROM conf WHERE row_number NOT IN (SELECT row_number FROM errs))
-SELECT (SELECT count(DISTINCT equipment_id) FROM ok WHERE equipment_id NOT IN (SELECT equipment FROM equipment)) AS created_equipment_count, (SELECT count(*) FROM ok WHERE action = 'create_point') AS created_point_count,
-       (SELECT count(*) FROM ok WHERE action = 'update_point_metadata') AS updated_point_count, 'MODBUS_IMPORT_COMMITTED' AS event_type""",
-    *_IMPORT,
-)
-def import_commit_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = view(spark, sf_dir, "points")
-    return importer.commit_event(importer.without_errors(_import(spark, sf_dir), points), points, view(spark, sf_dir, "equipment"))
-
-
 @query(
     rf"""{_ROWS}, i AS (SELECT row_number, equipment_id, point_name, d.kind AS data_type,
   CASE WHEN equipment_id LIKE 'UPS%' THEN 'UPS' WHEN equipment_id LIKE 'GEN%' THEN 'Generator' WHEN equipment_id LIKE 'CRAH%' THEN 'CRAH' WHEN equipment_id LIKE 'MTR%' THEN 'Electrical Meter' ELSE 'Modbus Device' END AS equipment_type,
@@ -649,20 +671,26 @@ def import_inferred_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""latest AS (SELECT * FROM point_samples QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ingest_seq DESC) = 1),
-e0 AS (SELECT r.rule_id, r.rule_name, r.severity, r.rule_type, r.operator, r.threshold_value, r.enabled, r.point_id, s.* EXCLUDE (point_id), (SELECT max(ts) FROM point_samples) AS eval_at FROM alarm_rules r LEFT JOIN latest s ON r.point_id = s.point_id),
+    f"""latest AS (SELECT *, concat('PS-', point_id, '-', substr(sha256(concat_ws('|', point_id, CAST(ingest_seq AS VARCHAR))), 1, 12)) AS latest_sample_id FROM point_samples QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ingest_seq DESC) = 1),
+e0 AS (SELECT r.*, s.* EXCLUDE (point_id), p.point_name, p.display_name, p.equipment_id, p.data_type, p.unit, p.protocol, p.address, coalesce(e.equipment_type, 'Unknown') AS equipment_type, coalesce(e.location, 'Unknown') AS location, (SELECT max(ts) FROM point_samples) AS eval_at
+       FROM alarm_rules r LEFT JOIN points p ON r.point_id = p.point_id LEFT JOIN equipment e ON p.equipment_id = e.equipment LEFT JOIN latest s ON r.point_id = s.point_id AND s.point_id NOT LIKE '%7'),
 e1 AS (SELECT *, {_STATUS} AS status FROM e0)
-SELECT e1.rule_id, e1.rule_name, e1.severity, e1.point_id, p.point_name, p.display_name, p.equipment_id, {_EQ.format(d="Unknown")}, e1.value, e1.status FROM e1 LEFT JOIN points p ON e1.point_id = p.point_id LEFT JOIN equipment e ON p.equipment_id = e.equipment""",
+SELECT rule_id AS id, rule_name, rule_type, enabled, severity, alarm_message, equipment_id, equipment_type, location, point_id, point_name, display_name, data_type, unit, latest_sample_id, value AS current_value, quality, source, source_timestamp, received_timestamp,
+       stale_after_seconds, coalesce(overridden, false) AS overridden, coalesce(out_of_service, false) AS out_of_service, CASE WHEN latest_sample_id IS NOT NULL THEN 'SIMULATED' END AS protocol, CASE WHEN latest_sample_id IS NOT NULL THEN '' END AS address,
+       operator, threshold_value, clear_value, delay_seconds, status = 'Triggered' AS is_triggered, status AS evaluation_status,
+       CAST(row_number() OVER (ORDER BY equipment_id NULLS FIRST, point_name NULLS FIRST, rule_name, rule_id) AS BIGINT) AS place FROM e1""",
     "points",
     "equipment",
     *_BASE,
 )
 def rule_evaluations_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalog at one time, with all that a reader sees, and the place of each rule in the order; every tenth point has no value."""
     samples = view(spark, sf_dir, "point_samples")
     at = samples.agg(F.max("ts").alias("at"))  # one row
-    rules = view(spark, sf_dir, "alarm_rules").join(projection.latest(samples), "point_id", "left").crossJoin(F.broadcast(at))
-    evaluations = _evaluated(rules, F.col("at")).select("rule_id", "rule_name", "severity", "point_id", "value", "status")
-    return readmodels.evaluations_enriched(evaluations, view(spark, sf_dir, "points"), view(spark, sf_dir, "equipment"))
+    current = projection.latest(samples).where(~F.col("point_id").endswith("7")).select("*", sample_id(F.col("point_id"), F.col("ingest_seq")).alias("sample_id"), F.lit("SIMULATED").alias("protocol"), F.lit("").alias("address"))
+    rules = view(spark, sf_dir, "alarm_rules").drop("u").join(current, "point_id", "left").crossJoin(F.broadcast(at))
+    out = readmodels.evaluations_enriched(_evaluated(rules, F.col("at")), view(spark, sf_dir, "points"), view(spark, sf_dir, "equipment"))
+    return readmodels.numbered(out, "equipment_id", "point_name", "rule_name", "id")
 
 
 @query(
@@ -714,7 +742,7 @@ def generated_alarms_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rule_id", "episode", "state", "created_at", "rule_name", "point_id", "point_name", "display_name", "equipment_id", "equipment_type", "location", "criticality", "equipment_source_system")
 
 
-@query(f"{_ALARMS} SELECT rule_id, min(episode) AS episode, arg_min(state, episode) AS state FROM alarms WHERE state <> 'CLEARED' GROUP BY rule_id", *_BASE)
+@query(f"{_ALARMS} SELECT rule_id, episode, state FROM alarms WHERE state <> 'CLEARED' QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY CASE state WHEN 'ACTIVE' THEN 0 ELSE 1 END, last_evaluated_at DESC) = 1", *_BASE)
 def first_open_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.first_open(lifecycle.episodes(_states(spark, sf_dir)))
 
@@ -725,18 +753,26 @@ def orphaned_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.orphaned(lifecycle.episodes(_states(spark, sf_dir)), left).select("rule_id", "episode", "state", "evaluation_note")
 
 
+def _commands(alarms: DataFrame) -> DataFrame:
+    """One command an hour after the start of every second alarm, and another a day later on every fourth."""
+    first = alarms.where("episode % 2 = 0").select("rule_id", "episode", F.expr("created_at + INTERVAL 1 HOUR").alias("acknowledged_at"), F.when(F.col("episode") % 4 == 0, " night shift ").otherwise(" n/a ").alias("operator"))
+    again = alarms.where("episode % 4 = 0").select("rule_id", "episode", F.expr("created_at + INTERVAL 1 DAY").alias("acknowledged_at"), F.lit("day shift").alias("operator"))
+    return first.unionByName(again)
+
+
 def _acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
     alarms = lifecycle.episodes(_states(spark, sf_dir))
-    commands = alarms.where("episode % 2 = 0").select("rule_id", "episode", F.expr("created_at + INTERVAL 1 HOUR").alias("acknowledged_at"), F.when(F.col("episode") % 4 == 0, " night shift ").otherwise("").alias("operator"))
-    return lifecycle.acknowledge(alarms, commands)
+    return lifecycle.acknowledge(alarms, _commands(alarms))
 
 
-_ACKS = f"{_ALARMS}, k AS (SELECT *, episode % 2 = 0 AS acknowledged, CASE WHEN episode % 4 = 0 THEN 'night shift' ELSE 'local-operator' END AS operator FROM alarms)"
+_ACKS = f"""{_ALARMS}, commands AS (SELECT rule_id, episode, created_at + INTERVAL 1 HOUR AS acknowledged_at, CASE WHEN episode % 4 = 0 THEN 'night shift' ELSE 'local-operator' END AS operator FROM alarms WHERE episode % 2 = 0
+  UNION ALL SELECT rule_id, episode, created_at + INTERVAL 1 DAY, 'day shift' FROM alarms WHERE episode % 4 = 0),
+k AS (SELECT a.*, c.operator IS NOT NULL AS acknowledged, c.acknowledged_at, coalesce(c.operator, '') AS operator FROM alarms a LEFT JOIN (SELECT * FROM commands QUALIFY row_number() OVER (PARTITION BY rule_id, episode ORDER BY acknowledged_at DESC) = 1) c USING (rule_id, episode))"""
 
 
-@query(f"{_ACKS} SELECT rule_id, episode, created_at + INTERVAL 1 HOUR AS event_timestamp, 'ALARM_ACKNOWLEDGED' AS event_type, state AS event_previous_state, state AS event_new_state, operator AS acknowledged_by, concat('{{\"acknowledged_by\":\"', operator, '\"}}') AS details_json FROM k WHERE acknowledged", *_BASE)
-def acknowledge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.acknowledge_events(_acknowledged(spark, sf_dir))
+@query(f"{_ACKS} SELECT rule_id, episode, state, acknowledged, acknowledged_at, operator AS acknowledged_by FROM k", *_BASE)
+def acknowledged_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _acknowledged(spark, sf_dir).select("rule_id", "episode", "state", "acknowledged", "acknowledged_at", "acknowledged_by")
 
 
 @query(
@@ -753,7 +789,7 @@ def acknowledged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """q AS (SELECT *, CASE WHEN u % 6 = 0 THEN 'tags, zone' WHEN u % 6 = 1 THEN 'tags' ELSE '' END AS extra FROM alarm_rules)
-SELECT rule_id, CASE WHEN extra <> '' THEN concat('Unsupported alarm rule field(s): ', extra) WHEN u % 4 = 0 THEN 'Rule already exists' ELSE '' END AS error FROM q""",
+SELECT rule_id, CASE WHEN extra <> '' THEN concat('Unsupported alarm rule field(s): ', extra) WHEN u % 4 = 0 THEN concat('Alarm rule already exists: ', rule_id) ELSE '' END AS error FROM q""",
     "alarm_rules",
 )
 def rule_create_unsupported_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -763,21 +799,6 @@ def rule_create_unsupported_fields(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("rule_id", F.coalesce("error", F.lit("")).alias("error"))
 
 
-@query(
-    """SELECT r.rule_id, r.point_id, coalesce(p.equipment_id, '') AS equipment_id, 'RULE_CREATED' AS event_type, concat('Alarm rule created: ', r.rule_name) AS message,
-CAST(to_json({'created_rule': {'rule_id': r.rule_id, 'point_id': r.point_id, 'rule_name': r.rule_name, 'rule_type': r.rule_type, 'operator': r.operator, 'threshold_value': r.threshold_value, 'clear_value': r.clear_value, 'delay_seconds': r.delay_seconds, 'severity': r.severity, 'alarm_message': r.alarm_message, 'enabled': r.enabled}}) AS VARCHAR) AS details_json
-FROM alarm_rules r LEFT JOIN points p ON r.point_id = p.point_id AND p.u % 5 <> 0""",
-    "points",
-    "alarm_rules",
-)
-def rule_created_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.created_events(view(spark, sf_dir, "alarm_rules"), view(spark, sf_dir, "points").where("u % 5 <> 0"))
-
-
-_SPOILT = f"""s AS (SELECT * REPLACE (CASE WHEN ingest_seq % 23 = 0 THEN 'PT-none' ELSE point_id END AS point_id), CAST(hour(ts) AS VARCHAR) AS sequence FROM point_samples),
-c AS (SELECT s.*, p.unit, CASE WHEN p.point_id IS NULL THEN 'Point not found' WHEN ingest_seq % 29 = 0 THEN 'value is required' WHEN ingest_seq % 31 = 0 THEN 'Invalid quality' WHEN ingest_seq % 37 = 0 THEN 'Invalid source' END AS error FROM s LEFT JOIN points p ON s.point_id = p.point_id)"""
-
-
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked samples, each with the step of the replay that it belongs to: the hour of its day."""
     steps = view(spark, sf_dir, "point_samples").select("ingest_seq", F.hour("ts").cast("string").alias("sequence"))
@@ -785,7 +806,9 @@ def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_SPOILT} SELECT ingest_seq, c.point_id, c.value, unit, CASE quality WHEN 'UNKNOWN' THEN 'UNCERTAIN' ELSE quality END AS quality, CAST(date_trunc('second', ts) AS TIMESTAMP) AS source_timestamp, TIMESTAMP '2024-02-01 00:00:00' AS received_timestamp, source, stale_after_seconds, overridden, out_of_service FROM c WHERE error IS NULL""",
+    f"""{_SPOILT} SELECT ingest_seq, concat('PS-', c.point_id, '-', substr(sha256(concat_ws('|', c.point_id, CAST(ingest_seq AS VARCHAR))), 1, 12)) AS sample_id, c.point_id, c.value, unit, CASE quality WHEN 'UNKNOWN' THEN 'UNCERTAIN' ELSE quality END AS quality,
+       CASE WHEN ingest_seq % 41 = 0 THEN NULL WHEN ingest_seq % 43 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE CAST(date_trunc('second', ts) AS TIMESTAMP) END AS source_timestamp, TIMESTAMP '2024-02-01 00:00:00' AS received_timestamp, source,
+       'SIMULATED' AS protocol, concat('slot ', ingest_seq % 5) AS address, stale_after_seconds, overridden, out_of_service, CASE WHEN ingest_seq % 3 = 0 THEN 'night' ELSE 'simulated-driver' END AS created_by FROM c WHERE error IS NULL""",
     "points",
     "point_samples",
 )
@@ -809,10 +832,9 @@ def replay_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.replay_sequences(view(spark, sf_dir, "point_samples").select(F.hour("ts").cast("string").alias("sequence")))
 
 
-@query(f"{_STATES} SELECT DISTINCT date_trunc('day', ts) AS step, point_id FROM states WHERE state <> 'NONE'", *_BASE)
+@query(f"{_SPOILT} SELECT sequence, coalesce(string_agg(DISTINCT point_id, ',' ORDER BY point_id) FILTER (error IS NULL), '') AS points_updated FROM c GROUP BY sequence", "points", "point_samples")
 def replay_updated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("step")
-    return _states(spark, sf_dir).where("state <> 'NONE'").select(step, "point_id").distinct().orderBy("step", "point_id")
+    return ingest.updated_points(_replayed(spark, sf_dir), "sequence").select("sequence", F.array_join("points_updated", ",").alias("points_updated"))
 
 
 @query(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.snapshots import shared_path
 
 
 def ranked(column: str, *values: str) -> Column:
@@ -37,10 +38,32 @@ def rule_catalog(rules: DataFrame, points: DataFrame, equipment: DataFrame) -> D
     return with_equipment(rules.join(p, "point_id", "left"), equipment, "Unknown").orderBy("equipment_id", "point_name", "rule_name")
 
 
+#: The columns of an evaluation as readers see it; the first names are those of this library.
+EVALUATION_NAMES = {"rule_id": "id", "sample_id": "latest_sample_id", "value": "current_value", "status": "evaluation_status"}
+EVALUATION_COLUMNS = (
+    "id rule_name rule_type enabled severity alarm_message equipment_id equipment_type location point_id point_name display_name data_type unit latest_sample_id current_value quality source source_timestamp "
+    "received_timestamp stale_after_seconds overridden out_of_service protocol address operator threshold_value clear_value delay_seconds is_triggered evaluation_status"
+).split()
+
+
 def evaluations_enriched(evaluations: DataFrame, points: DataFrame, equipment: DataFrame) -> DataFrame:
-    """Evaluations of rules with point and equipment, in the order of rules."""
-    p = points.select("point_id", "point_name", "display_name", "equipment_id")
-    return with_equipment(evaluations.join(p, "point_id", "left"), equipment, "Unknown").orderBy("rule_id")
+    """Evaluations of rules on current values with point and equipment, ordered by equipment, point and rule name; flags of a missing value are false."""
+    p = points.select("point_id", "point_name", "display_name", "equipment_id", "data_type", "unit")
+    df = with_equipment(evaluations.drop("unit", "equipment_id").join(p, "point_id", "left"), equipment, "Unknown")
+    df = df.withColumn("is_triggered", F.col("status") == "Triggered").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("overridden", "out_of_service")})
+    return df.withColumnsRenamed(EVALUATION_NAMES).select(*EVALUATION_COLUMNS).orderBy("equipment_id", "point_name", "rule_name")
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with their ``place`` in an order, from 1. Places are counted within ranges of the order, and the ranges' sizes added up: no task sees all rows."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    cut = shared_path(df.sparkSession, "places")
+    dealt.write.parquet(cut)
+    rows = df.sparkSession.read.schema(dealt.schema).parquet(cut)
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each partition
+    return rows.withColumn("__part", part).join(F.broadcast(before), "__part").select(*df.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
 
 
 def scenario_points(updates: DataFrame, points: DataFrame) -> DataFrame:
@@ -51,6 +74,26 @@ def scenario_points(updates: DataFrame, points: DataFrame) -> DataFrame:
     return out.withColumns({"point_name": F.coalesce("point_name", "point_id"), "known": F.coalesce("known", F.lit(False)), **blank}).orderBy("point_id")
 
 
+def scenarios(updates: DataFrame, points: DataFrame) -> DataFrame:
+    """One row for each scenario_id with ``affected_points`` in the order of the updates; a point that is not known goes by its id and has no equipment."""
+    p = points.select("point_id", "point_name", "display_name", "equipment_id")
+    df = updates.select("scenario_id", "position", "point_id").join(p, "point_id", "left")
+    point = F.struct("position", "point_id", *(F.coalesce(c, "point_id").alias(c) for c in ("point_name", "display_name")), F.coalesce("equipment_id", F.lit("")).alias("equipment_id"))
+    return df.groupBy("scenario_id").agg(F.array_sort(F.collect_list(point)).alias("p")).select("scenario_id", F.transform("p", lambda x: x.dropFields("position")).alias("affected_points")).orderBy("scenario_id")
+
+
+def event_view(events: DataFrame, rules: DataFrame, points: DataFrame, equipment: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Audit events with rule, point, the equipment that the event itself names and the alarm's message (alarms: id, alarm_message); what is missing is empty. Newest first."""
+    df = (
+        events.join(rules.select("rule_id", "rule_name"), "rule_id", "left")
+        .join(points.select("point_id", "point_name", "display_name"), "point_id", "left")
+        .join(equipment.select(F.col("equipment").alias("equipment_id"), "equipment_type", "location"), "equipment_id", "left")
+        .join(alarms.select(F.col("id").alias("generated_alarm_id"), F.col("alarm_message").alias("generated_alarm_message")), "generated_alarm_id", "left")
+    )
+    filled = ("rule_name", "point_name", "display_name", "equipment_type", "location", "generated_alarm_message")
+    return df.select(*events.columns, *(F.coalesce(c, F.lit("")).alias(c) for c in filled)).orderBy(F.desc("event_timestamp"), F.desc("id"))
+
+
 def current_values(latest: DataFrame, points: DataFrame, equipment: DataFrame) -> DataFrame:
     p = points.select("point_id", "point_name", "display_name", "equipment_id", "unit", "data_type")
     return with_equipment(latest.join(p, "point_id", "left"), equipment, "Unknown").orderBy("equipment_id", "point_name")
