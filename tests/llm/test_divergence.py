@@ -56,6 +56,14 @@ def test_against_loops(spark):
         assert got(d.divergence(frame(spark, rows), min_df, top)) == expected(rows, min_df, top)
 
 
+def test_layers_hold_a_term_as_often_as_the_fit_asks(spark, monkeypatch):
+    from collections import Counter
+
+    seen = Counter({b"a": 1, b"b": 3, b"c": 99})
+    held = Counter(w for terms in d._layers(seen, 10).column(2).to_pylist() for w in terms)
+    assert held == {"a": 1, "b": 3, "c": 10}
+
+
 def test_no_kept_terms_and_no_rows(spark):
     rows = [("en", "a", "one two"), ("en", "b", "three"), ("de", "a", None)]
     assert got(d.divergence(frame(spark, rows))) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
@@ -68,8 +76,8 @@ def test_a_very_long_text_and_large_counts(spark):
 
 
 def test_vectors_hold_all_occurrences(spark):
-    lists = d.document_terms(frame(spark, [("en", "a", "to be or not to be"), ("en", "b", "be")]))
-    model = d.fitted(lists, 1)
-    sums = sorted(sum(r["counts"].values) for r in d.document_vectors(lists, model).collect())
+    rows = d.document_terms(frame(spark, [("en", "a", "to be or not to be"), ("en", "b", "be")]), 1)
+    model = d.fitted(rows.where("layer is not null"), 1)
+    sums = sorted(sum(r["counts"].values) for r in d.document_vectors(rows.where("layer is null"), model).collect())
     assert sums == [1.0, 6.0]
     assert {(r["term"], r["lang"]) for r in d.vocabulary(model, spark).collect()} == {(w, "en") for w in ("to", "be", "or", "not")}

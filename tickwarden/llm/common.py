@@ -52,9 +52,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: the lineage is cut, and the size is that of the files. ``discard`` removes the files."""
-    df.write.parquet(path := fresh_path(df.sparkSession, name))
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Written to the shared folder (in folders by the columns ``by``) and read again: the lineage is cut, and the size is that of the files. ``discard`` removes the files."""
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path := fresh_path(df.sparkSession, name))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _files[id(out)] = (out, path)
     return out
