@@ -4,8 +4,6 @@ Terms are runs of Latin and other letters (everything but ASCII that is no lette
 are lower-cased. A CountVectorizer with ``min_df`` and the largest vocabulary that an integer allows makes sparse vectors of the
 documents. Terms carry their language, so that one fit gives each language a vocabulary of its own:
 a document has one language, and the documents that a term is counted in are those of that language.
-A term is in a vocabulary if ``min_df`` documents hold it, so the fit need not see more
-than ``min_df`` documents for a term from one task: each task gives it layers of terms, the k-th with the terms of k of its documents or more, up to ``min_df``.
 The vectors' entries are summed by (language, source) as integers, not by a summarizer's weighted means, which are inexact.
 
 With c occurrences of a kept term in a group, N the group's sum over kept terms and V their number, the share is
@@ -27,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
@@ -40,8 +39,8 @@ SCALE = 1_000_000_000
 MOST_TERMS = 2**31 - 1
 #: Counts below this fit a long when they are scaled.
 LONG_COUNT = 9_000_000_000
-#: Terms that a task remembers before it writes their layers, and terms of one row of a layer.
-REMEMBERED_TERMS, LAYER_TERMS = 400_000, 1000
+#: Entries of vectors that a task holds before it sums them, and sums of one batch that it gives.
+MOST_ENTRIES, ENTRIES_OF_A_BATCH = 4_000_000, 100_000
 #: Parts a term from its language; terms hold no such character.
 MARK = "\x00"
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -61,12 +60,11 @@ def _lists(column: list[list[bytes]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.view(pa.string()))
 
 
-def document_terms(docs: DataFrame, min_df: int = MIN_DF) -> DataFrame:
-    """lang, source, ``terms`` (each term of a document once, with its language), ``more`` (its further occurrences) and ``layer``: null for documents; rows with a layer are what the vocabulary is fitted to."""
+def document_terms(docs: DataFrame) -> DataFrame:
+    """lang, source, ``terms`` (each term of a document once, with its language) and ``more`` (its further occurrences)."""
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()  # documents by term
         for batch in batches:
             once, more = [], []
             for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
@@ -75,35 +73,15 @@ def document_terms(docs: DataFrame, min_df: int = MIN_DF) -> DataFrame:
                 terms = [w + mark for w in counts]
                 once.append(terms)
                 more.append([w for w, n in zip(terms, counts.values(), strict=True) if n > 1 for _ in range(n - 1)])
-                seen.update(terms)
-            yield _rows(batch.column(0), batch.column(1), once, more, [None] * len(once))
-            if len(seen) > REMEMBERED_TERMS:
-                yield _layers(seen, min_df)
-                seen.clear()
-        if seen:
-            yield _layers(seen, min_df)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(once), _lists(more)], ["lang", "source", "terms", "more"])
 
-    return docs.select(_word("lang"), _word("source"), _word("text")).mapInArrow(lambda batches: tidy(work(batches)), "lang string, source string, terms array<string>, more array<string>, layer int")
+    return docs.select(_word("lang"), _word("source"), _word("text")).mapInArrow(lambda batches: tidy(work(batches)), "lang string, source string, terms array<string>, more array<string>")
 
 
-def _rows(lang: pa.Array, source: pa.Array, terms: list, more: list, layer: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, source, _lists(terms), _lists(more), pa.array(layer, pa.int32())], ["lang", "source", "terms", "more", "layer"])
-
-
-def _layers(seen: Counter, min_df: int) -> pa.RecordBatch:
-    """Lists of terms, of which a term is in as many as documents hold it, but no more than min_df."""
-    layers, left = [], list(seen)
-    for k in range(1, min_df + 1):
-        left = [w for w in left if seen[w] >= k]
-        layers += [left[i : i + LAYER_TERMS] for i in range(0, len(left), LAYER_TERMS)]
-    none = pa.nulls(len(layers), pa.string())
-    return _rows(none, none, layers, [[]] * len(layers), [1] * len(layers))
-
-
-def fitted(layers: DataFrame, min_df: int = MIN_DF) -> CountVectorizerModel:
-    """The vocabularies of all languages, from the rows with a layer. Rows that hold nothing but a mark keep the vocabulary from being empty."""
-    marks = layers.sparkSession.range(min_df).select(F.array(F.lit(MARK)).alias("terms"))
-    return CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=MOST_TERMS).fit(layers.select("terms").unionByName(marks))
+def fitted(lists: DataFrame, min_df: int = MIN_DF) -> CountVectorizerModel:
+    """The vocabularies of all languages. Rows that hold nothing but a mark keep the vocabulary from being empty."""
+    marks = lists.sparkSession.range(min_df).select(F.array(F.lit(MARK)).alias("terms"))
+    return CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=MOST_TERMS).fit(lists.select("terms").unionByName(marks))
 
 
 def vocabulary(model: CountVectorizerModel, spark) -> DataFrame:
@@ -118,6 +96,47 @@ def document_vectors(lists: DataFrame, model: CountVectorizerModel) -> DataFrame
     return model.setInputCol("all_terms").transform(lists.select("lang", "source", F.concat("terms", "more").alias("all_terms"))).select("lang", "source", "counts")
 
 
+def _partial_sums(vectors: DataFrame) -> DataFrame:
+    """source, idx and n: the vectors' entries, summed within each task by source as integers."""
+
+    def reduced(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        k = np.concatenate(keys)
+        order = np.argsort(k, kind="stable")
+        k = k[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        return k[first], np.add.reduceat(np.concatenate(values)[order], first)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, keys, values = {}, [], []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            k, v = reduced(keys, values)
+            names = pa.array(list(number), pa.string())
+            for i in range(0, len(k), ENTRIES_OF_A_BATCH):
+                part = k[i : i + ENTRIES_OF_A_BATCH]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(part >> 32)), pa.array((part & 0xFFFFFFFF).astype(np.int32)), pa.array(v[i : i + ENTRIES_OF_A_BATCH])], ["source", "idx", "n"])
+
+        for batch in batches:
+            indices, counts = batch.column(1), batch.column(2)
+            flat = indices.flatten().to_numpy(zero_copy_only=False)
+            if len(flat):
+                of = np.array([number.setdefault(x, len(number)) for x in batch.column(0).to_pylist()], np.int64)
+                lens = np.diff(indices.offsets.to_numpy())
+                keys.append((np.repeat(of, lens) << 32) | flat.astype(np.int64))
+                values.append(counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            if sum(map(len, keys)) > MOST_ENTRIES:
+                k, v = reduced(keys, values)
+                keys, values = [k], [v]
+                if len(k) > MOST_ENTRIES // 2:  # little of it came twice
+                    yield from rows()
+                    number, keys, values = {}, [], []
+        if keys:
+            yield from rows()
+
+    slim = vectors.select("source", F.unwrap_udt("counts")["indices"].alias("indices"), F.unwrap_udt("counts")["values"].alias("values"))
+    return slim.mapInArrow(lambda batches: tidy(work(batches)), "source string, idx int, n bigint")
+
+
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10^9 (n + 2) / (total + 2 terms)), in decimals where a long doesn't hold the product."""
     whole = total + 2 * terms
@@ -132,12 +151,10 @@ def _apart(p: Column, q: Column) -> Column:
 def divergence(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value and rank: part ``pair`` has each other source of the language, part ``term`` the ``top`` terms that a source has more of than its language."""
     spark = docs.sparkSession
-    both = stored(document_terms(docs, min_df).withColumn("part", F.col("layer").isNotNull()), "terms", "part")  # documents and layers in files of their own
-    lists = both.where("not part")
-    model = fitted(both.where("part"), min_df)
-    entries = F.explode(F.arrays_zip(F.unwrap_udt("counts")["indices"].alias("idx"), F.unwrap_udt("counts")["values"].alias("n"))).alias("e")
+    lists = stored(document_terms(docs), "terms")
+    model = fitted(lists, min_df)
     # a term's number tells its language
-    sums = document_vectors(lists, model).select("source", entries).groupBy("source", F.col("e.idx").alias("idx")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
+    sums = _partial_sums(document_vectors(lists, model)).groupBy("source", "idx").agg(F.sum("n").alias("n"))
     sums, words = stored(sums, "sums"), stored(vocabulary(model, spark), "words")
     named = sums.join(words, "idx")
     sizes = words.groupBy("lang").agg(F.count("*").alias("terms"))
@@ -147,7 +164,7 @@ def divergence(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP) -> DataFra
     none = F.lit(0).cast("long")
     groups = stored(groups.withColumn("p0", F.when(F.col("terms") > 0, _share(none, F.col("total"), F.col("terms"))).otherwise(F.lit(1).cast("long"))), "groups")
     cells = stored(named.join(groups, ["lang", "source"]).select("lang", "source", "idx", "term", "n", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), "p0"), "cells")
-    discard(both, sums)
+    discard(lists, sums)
     out = _pairs(cells, groups).unionByName(_terms(cells, sizes, top))
     return out.select("lang", "source", "part", "item", "value", "rank")
 
