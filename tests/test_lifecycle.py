@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickwarden.operators import lifecycle
-from tickwarden.streaming.lifecycle import step, streaming_transitions
+from tickwarden.streaming.lifecycle import lifecycle_sink, step, streaming_transitions
 
 SCHEMA = "rule_id string, ts timestamp_ntz, seq long, status string, clears boolean, delay_seconds long"
 START = datetime(2024, 1, 1)
@@ -121,15 +121,90 @@ def test_first_open_alarm(spark):
     assert sorted((r["rule_id"], r["episode"], r["state"]) for r in got) == [("R", 3, "ACTIVE"), ("S", 8, "PENDING")]
 
 
-def test_stream_is_batch(spark, tmp_path):
-    rows = histories(7, 6, 40)
-    order = sorted(rows, key=lambda x: (x[1], x[2]))
-    for i in range(3):
-        part = order[i * len(order) // 3 : (i + 1) * len(order) // 3]
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = streaming_transitions(stream).writeStream.format("memory").queryName("events").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    columns = ["rule_id", "seq", "episode", "event_type", "event_previous_state", "event_new_state"]
-    want = lifecycle.transitions(lifecycle.alarm_states(spark.createDataFrame(rows, SCHEMA))).select(columns)
-    assert sorted(map(tuple, spark.table("events").select(columns).collect())) == sorted(map(tuple, want.collect()))
+COLUMNS = ["rule_id", "seq", "episode", "event_type", "event_previous_state", "event_new_state"]
+
+
+def hot_histories(seed):
+    """Histories in which one rule has a third of all rows, and a last row that no rule waits for."""
+    rows, rng = histories(seed, 12, 20), random.Random(seed)
+    seq, at = len(rows), START
+    for _ in range(len(rows) // 2):
+        at += timedelta(seconds=rng.choice([1, 299, 300, 3600]))
+        status = rng.choice(["Triggered", "Triggered", "Normal", "BAD_QUALITY"])
+        rows.append(("HOT", at, seq, status, status == "Normal" and rng.random() < 0.5, 300))
+        seq += 1
+    return rows
+
+
+def written(spark, rows, path, parts):
+    for i in range(parts):
+        spark.createDataFrame(rows[i * len(rows) // parts : (i + 1) * len(rows) // parts], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def streamed(df, tmp_path, name):
+    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"ck-{name}")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    return sorted(tuple(r) for r in df.sparkSession.table(name).select(COLUMNS).collect()), q
+
+
+def wanted(spark, rows):
+    return sorted(map(tuple, lifecycle.transitions(lifecycle.alarm_states(spark.createDataFrame(rows, SCHEMA))).select(COLUMNS).collect()))
+
+
+def test_shuffled_stream_is_batch(spark, tmp_path):
+    rows = hot_histories(7)
+    mixed = rows[:]
+    random.Random(1).shuffle(mixed)
+    end = ("END", START + timedelta(days=4000), 10**6, "Normal", False, 0)
+    got, _ = streamed(streaming_transitions(written(spark, [*mixed, end], str(tmp_path / "in"), 3), "1000 days"), tmp_path, "shuffled")
+    assert got == wanted(spark, rows)
+
+
+def test_stream_goes_on_from_a_batch(spark, tmp_path):
+    rows = sorted(hot_histories(8), key=lambda r: (r[1], r[2]))
+    half = len(rows) // 2
+    states = lifecycle.alarm_states(spark.createDataFrame(rows[:half], SCHEMA))
+    end = ("END", START + timedelta(days=4000), 10**6, "Normal", False, 0)
+    late = ("HOT", START - timedelta(days=1), -1, "Triggered", False, 0)  # the watermark has passed it when it comes
+    stream = written(spark, [*rows[half:], end], str(tmp_path / "in"), 2)
+    spark.createDataFrame([late], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got, q = streamed(streaming_transitions(stream, "0 seconds", lifecycle.end_states(states)), tmp_path, "goes_on")
+    assert got == sorted(set(wanted(spark, rows)) - set(wanted(spark, rows[:half])))
+    assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) == 1
+
+
+@pytest.mark.parametrize("segment_rows", [5, 10**6])
+def test_committed_stream_is_batch(spark, tmp_path, segment_rows):
+    from tickwarden.sources.snapshots import Store
+
+    rows = sorted(hot_histories(9), key=lambda r: (r[1], r[2]))
+    stream = written(spark, rows, str(tmp_path / "in"), 3)
+    store = Store(spark, str(tmp_path / "store"))
+    q = stream.writeStream.foreachBatch(lifecycle_sink(store.root, segment_rows=segment_rows)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert sorted(tuple(r) for r in store.table("alarm_transitions").select(COLUMNS).collect()) == wanted(spark, rows)
+    assert store.manifest().batches == {"alarms": 2}
+
+
+def test_stale_stream_is_the_sweeps(spark, tmp_path):
+    from tickwarden.operators import ingest, projection
+    from tickwarden.streaming.health import streaming_stale_points
+
+    rng, schema = random.Random(4), "point_id string, ingest_seq long, ts timestamp_ntz, quality string, received_timestamp timestamp_ntz, source_timestamp timestamp_ntz, stale_after_seconds long"
+    rows = []
+    for i in range(150):
+        at = START + timedelta(seconds=max(0, i * 11_400 + rng.randrange(-200_000, 10_000, 600)))  # some arrive late
+        rows.append((f"P{rng.choice([0, 0, 1, 2, 3])}", i, at, rng.choice(["GOOD", "BAD", "STALE", "GOOD"]), None if i % 9 == 0 else at, at, rng.choice([0, 3600, 43_200, 200_000])))
+    last = START + timedelta(days=20)
+    df = spark.createDataFrame(rows, schema)
+    points = df.select("point_id").distinct()
+    seen = projection.as_of_ticks(df, points, F.lit(START).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), 43_200).where("sample is not null").select("tick", "sample.*")
+    want = sorted((r["point_id"], r["ingest_seq"], r["tick"]) for r in ingest.first_stale(ingest.stale_points(seen, F.col("tick"))).collect())
+    for part in (rows[:50], rows[50:100], [*rows[100:], ("END", 10**6, START + timedelta(days=4000), "GOOD", None, START, 10**9)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming_stale_points(stream, str(START), 43_200, "1000 days").writeStream.format("memory").queryName("stale").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = sorted((r["point_id"], r["ingest_seq"], r["tick"]) for r in spark.table("stale").collect() if r["tick"] <= last)
+    assert got == want and len(want) > 30

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tickwarden.operators import catalog, importer, ingest, projection
 from tickwarden.sources import briefing, files
+from tickwarden.sources.csvfiles import csv_files, csv_stream
 from tickwarden.sources.schemas import HEADERS
 
 
@@ -25,6 +26,51 @@ def test_surplus_cells_are_refused(spark, tmp_path):
         files.checked(files.read_csv(spark, path, HEADERS["equipment"]))
 
 
+def test_files_with_issues(spark, tmp_path):
+    columns = list(HEADERS["register_map"])
+    good = write(tmp_path / "a.csv", [f'"{columns[0]}"', *columns[1:]], '"ups\n1",1,3,10,load,float,1,kW,"a ""b"", c"', "", "ups 2,1,3,11,load", "ups 3,1,3,12,load,float,1,kW,d,e")
+    lacks = write(tmp_path / "b.csv", [c for c in columns if c not in ("scale", "unit")], "x")
+    rows, issues = files.read_register_maps(spark, [good, lacks, str(tmp_path / "none.csv")])
+    assert sorted((r["field"], r["message"], r["row_number"]) for r in issues.collect()) == [("csv_path", f"CSV file not found: {tmp_path}/none.csv", None), ("header", "Missing required CSV columns: scale, unit", None)]
+    got = {r["row_number"]: r for r in rows.collect()}
+    assert sorted(got) == [2, 3, 4] and got[2]["device_name"] == "ups\n1" and got[2]["description"] == 'a "b", c' and got[3]["scale"] is None
+    seen = csv_files(spark, [good, good], tuple(columns)).where("row_number = 4")
+    assert [r["issue_field"] for r in seen.collect()] == ["row", "row"] and seen.first()["issue_message"] == f"Unexpected extra CSV columns in {good} row 4: ['e']"
+    assert csv_files(spark, [good, good, good], tuple(columns)).rdd.getNumPartitions() == 3
+
+
+def test_files_as_a_stream(spark, tmp_path):
+    for n in (1, 2):
+        write(tmp_path / f"{n}.csv", ["sequence", "v"], f"{n},a", f"{n},b")
+    got = []
+    for _ in range(2):
+        q = csv_stream(spark, str(tmp_path), ("sequence", "v")).writeStream.foreachBatch(lambda df, i: got.extend((r["sequence"], r["row_number"], r["v"]) for r in df.collect())).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        write(tmp_path / "3.csv", ["v", "sequence"], "c,3")  # comes after the first run
+    assert sorted(got) == [("1", 2, "a"), ("1", 3, "b"), ("2", 2, "a"), ("2", 3, "b"), ("3", 2, "c")]
+
+
+def test_seeds_are_all_or_none(spark, tmp_path):
+    write(tmp_path / "points.csv", HEADERS["points"], "P1,E1,n,d,sensor,analog,kW,,n/a,BMS,x,a,b")
+    write(tmp_path / "values.csv", HEADERS["current_point_values"], "C1,P1,5,unknown,SIMULATED,2024-01-01 00:00", "C2,P9,6,,SIMULATED,")
+    write(tmp_path / "bad.csv", HEADERS["equipment"], "a,b,c,d,e,f,g")
+    from tickwarden.sources.snapshots import Store
+
+    seeds, out = {"points": "points.csv", "current_point_values": "values.csv"}, str(tmp_path / "store")
+    tx = Store(spark, out).begin()
+    tx.append("alarm_events", spark.createDataFrame([("AE",)], "id string"))
+    tx.commit()
+    with pytest.raises(files.SurplusCells):
+        files.load_seeds(spark, str(tmp_path), {**seeds, "equipment": "bad.csv"}, out)
+    assert Store(spark, out).versions() == [1]
+    at = F.lit("2024-02-01").cast("timestamp_ntz")
+    assert files.load_seeds(spark, str(tmp_path), seeds, out, at) == {"points": 1, "current_point_values": 2}
+    store = Store(spark, out)
+    assert store.table("alarm_events").count() == 0
+    got = {r["point_id"]: (r["unit"], r["quality"], str(r["source_timestamp"]), r["created_by"], r["stale_after_seconds"]) for r in store.table("point_samples").collect()}
+    assert got == {"P1": ("kW", "UNCERTAIN", "2024-01-01 00:00:00", "loader", 300), "P9": ("", "UNCERTAIN", "2024-02-01 00:00:00", "loader", 300)}
+
+
 def test_typed_seed_and_load(spark, tmp_path):
     write(tmp_path / "rules.csv", HEADERS["alarm_rules"], "R1,P1,n,Analog_Limit,>,1,null,Critical,m,yes,5,x,y")
     row = files.read_seed(spark, str(tmp_path / "rules.csv"), "alarm_rules").first()
@@ -147,16 +193,32 @@ def test_rule_creation(spark):
     assert event["details_json"] == '{"created_rule":{"alarm_message":"m","clear_value":"","delay_seconds":0,"enabled":true,"id":"R2","operator":">","point_id":"P1","rule_name":"n","rule_type":"analog_limit","severity":"Critical","threshold_value":""}}'
 
 
-def test_briefing(spark):
-    log = spark.createDataFrame([("Critical", "A", "e1", "hot", "Active", "t1"), ("Warning", "A", "e2", "warm", "Cleared", "t2")], "severity string, source string, equipment string, alarm string, status string, timestamp string")
-    text = briefing.briefing(log)
-    assert "Total alarms: 2" in text and "- A: 2" in text and "- t1 e1: hot" in text
+LOG = "severity string, source string, equipment string, alarm string, status string, timestamp string"
+
+
+def text_of(path):
+    return "".join(p.read_text() for p in sorted(path.glob("part-*.txt")))
+
+
+def test_briefing(spark, tmp_path):
+    log = spark.createDataFrame([("Critical", "A", "e1", "hot", "Active", "t1"), ("Warning", "A", "e2", "warm", "Cleared", "t2"), ("critical", "B", "e2", "x", "active", "t0")], LOG)
+    briefing.write_briefing(log, str(tmp_path / "b"), "Briefing")
+    assert text_of(tmp_path / "b").split("\n")[:20] == [
+        "# Briefing", "", "## Executive Summary", "", "The alarm log contains 3 total alarm records.", "", "## Alarm Count by Severity", "", "- Critical: 1", "- Warning: 1", "- critical: 1",
+        "", "## Alarm Count by Source", "", "- A: 2", "- B: 1", "", "## Most Frequent Equipment in Alarm", "", "- e2: 2",
+    ]
+    assert "- t1 | A | e1 | hot\n\n## Operator Follow-Up\n" in text_of(tmp_path / "b")
+    briefing.write_briefing(log.limit(0), str(tmp_path / "none"))
+    assert "contains 0 total" in text_of(tmp_path / "none") and "- No active critical alarms found.\n" in text_of(tmp_path / "none")
 
 
-def test_briefing_lists_all(spark):
-    rows = [("critical", f"s{i}", f"e{i}", f"a{i}", "active", f"2026-01-01 00:{i // 60:02}:{i % 60:02}") for i in range(70)]
-    text = briefing.briefing(spark.createDataFrame(rows, "severity string, source string, equipment string, alarm string, status string, timestamp string"))
-    assert all(f"- e{i}: 1\n" in text and f"- s{i}: 1\n" in text and f" e{i}: a{i}\n" in text for i in range(70))
+def test_briefing_lists_all(spark, tmp_path):
+    rows = [("Critical", f"s{i}", f"e{i}", f"a{i}", "Active", f"2026-01-01 00:{i // 60:02}:{i % 60:02}") for i in range(70)]
+    briefing.write_briefing(spark.createDataFrame(rows, LOG).repartition(5), str(tmp_path / "b"))
+    text = text_of(tmp_path / "b")
+    assert all(f"- e{i}: 1\n" in text and f"- s{i}: 1\n" in text and f"| e{i} | a{i}\n" in text for i in range(70))
+    listed = [x for x in text.split("\n") if x.startswith("- 2026")]
+    assert listed == sorted(listed) and len(listed) == 70
 
 
 def test_context_read_models(spark):
@@ -187,4 +249,4 @@ def test_context_read_models(spark):
     alarms = spark.createDataFrame([("R1", "P1", "E9", "CLEARED", "2"), ("R1", "P1", "E1", "ACTIVE", "1")], "rule_id string, point_id string, equipment_id string, state string, last_evaluated_at string")
     shown = m.generated_alarms(alarms, rules, points, equipment).collect()
     assert [(r["state"], r["equipment_type"]) for r in shown] == [("ACTIVE", "UPS"), ("CLEARED", "Unknown")]
-    assert m.operational_counts({"alarms": alarms}) == {"alarms": 2} and m.as_json(alarms).count() == 2
+    assert [tuple(r) for r in m.operational_counts({"alarms": alarms}).collect()] == [("alarms", 2)] and m.as_json(alarms).count() == 2

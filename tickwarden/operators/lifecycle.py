@@ -134,6 +134,33 @@ def _segmented(evaluations: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return stated.join(counts, ["rule_id", "__segment"]).select(*keep, "previous_state", "state", "pending_since", (F.col("__opened") + F.col("__opened_before")).alias("episode"))
 
 
+def continued(evaluations: DataFrame, before: DataFrame | None, segment_rows: int = SEGMENT_ROWS, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """States of evaluations that follow on others, which ended in ``before`` (rule_id, state, since, episode); null: nothing came before.
+
+    An open alarm goes in as rows of its own ahead of its rule's: one that triggers since then, at once or never long enough, and for an alarm that is only held another one that doesn't trigger.
+    """
+    if before is None:
+        return alarm_states(evaluations, segment_rows, order)
+    first, never = F.lit("0001-01-01").cast("timestamp_ntz"), F.lit(2**40).cast("bigint")
+    kept = before.where(F.col("state").isin(PENDING, ACTIVE)).join(evaluations.select("rule_id").distinct(), "rule_id", "left_semi")
+    row = lambda ts, place, status, delay: F.struct(ts.alias("ts"), F.lit(place).alias("__carry"), F.lit(status).alias("status"), F.lit(False).alias("clears"), delay.cast("bigint").alias("delay_seconds"))
+    opened = row(F.coalesce("since", first), 0, "Triggered", F.when(F.col("state") == ACTIVE, 0).otherwise(never))
+    held = F.when(F.col("since").isNull(), row(first, 1, "Held", F.lit(0)))
+    carry = kept.select("rule_id", F.explode(F.filter(F.array(opened, held), lambda x: x.isNotNull())).alias("r")).select("rule_id", "r.*")
+    blank = {c: F.lit(None).cast(evaluations.schema[c].dataType) for c in evaluations.columns if c not in carry.columns}
+    rows = evaluations.withColumn("__carry", F.lit(2)).unionByName(carry.withColumns(blank).select(*evaluations.columns, "__carry"))
+    states = alarm_states(rows, segment_rows, ("__carry", *order)).where("__carry = 2").drop("__carry")
+    past = before.select("rule_id", F.when(F.col("state").isin(PENDING, ACTIVE), F.col("episode") - 1).otherwise(F.col("episode")).alias("__past"))
+    out = states.join(past, "rule_id", "left").withColumn("episode", F.col("episode") + F.coalesce("__past", F.lit(0)))
+    return out.drop("__past").select(*states.columns)
+
+
+def end_states(states: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """rule_id, state, since (of the run of triggered evaluations that it ends in) and episode of each rule after its last evaluation."""
+    last = F.max_by(F.struct("state", F.col("pending_since").alias("since"), "episode"), F.struct(*order))
+    return states.groupBy("rule_id").agg(last.alias("l")).select("rule_id", "l.*")
+
+
 def transitions(states: DataFrame) -> DataFrame:
     """Rows where the state changes, with the audit event's type and states."""
     left, entered = F.col("previous_state"), F.col("state")

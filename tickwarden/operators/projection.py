@@ -40,6 +40,54 @@ def as_of_ticks(samples: DataFrame, points: DataFrame, first: Column, last: Colu
     return joined.withColumn("seen", F.max(F.when(F.col("s").isNotNull(), ordered)).over(up_to)).select(key, "tick", F.col("seen.s").alias("sample"))
 
 
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, since: str, name: str) -> DataFrame:
+    """The left rows with ``name``: of the right rows of their key the one with the greatest ``since`` up to the row's ``at``, or null.
+
+    One union of both sides and one window, whatever the distances between the times. What a key costs is its rows of both sides.
+    """
+    sides = left.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct("*").alias("__left"), F.lit(None).cast(right.schema).alias("__right"))
+    other = right.select(F.col(key).alias("__key"), F.col(since).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema).alias("__left"), F.struct("*").alias("__right"))
+    up_to = Window.partitionBy("__key").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = sides.unionByName(other).withColumn("__seen", F.last("__right", ignorenulls=True).over(up_to)).where("__side = 1")
+    return seen.select("__left.*", F.col("__seen").alias(name))
+
+
+def replay_steps(samples: DataFrame) -> DataFrame:
+    """sequence, step (their places in the order of the replay, from 1) and ``at``, the greatest source time of the step's samples; a step none of whose samples has a time has none.
+
+    Steps are the distinct sequences of the samples: numbers first, in their order, then texts.
+    """
+    number = F.col("sequence").try_cast("bigint")
+    steps = samples.where(t.text(F.col("sequence")) != "").groupBy("sequence").agg(F.max("source_timestamp").alias("at"))
+    return steps.withColumn("step", F.row_number().over(Window.orderBy(number.isNull(), number, "sequence")).cast("bigint")).select("sequence", "step", "at")  # a row for each step
+
+
+def values_at_steps(samples: DataFrame, steps: DataFrame, points: DataFrame) -> DataFrame:
+    """point_id, step, at and ``sample``: for each point and step the sample that arrived last, in this step or an earlier one; null before the first.
+
+    What arrives later wins, whatever the samples' own times say: steps arrive in their order, samples within a step by
+    ``ingest_seq``. Samples are reduced to one for each point and step before they are shuffled.
+    """
+    placed = samples.join(F.broadcast(steps.select("sequence", "step")), "sequence")  # steps are what the replay loops over
+    last = placed.groupBy("point_id", "step").agg(F.max_by(F.struct(*samples.columns), "ingest_seq").alias("s"))
+    grid = points.select("point_id").crossJoin(F.broadcast(steps.where("at is not null").select("step", "at")))  # every rule is evaluated at every step
+    out = as_of(grid, last.select("point_id", F.col("step").alias("since"), "s"), "point_id", "step", "since", "seen")
+    return out.select("point_id", "step", "at", F.col("seen.s").alias("sample"))
+
+
+def rules_at(versions: DataFrame, steps: DataFrame) -> DataFrame:
+    """A row for each rule and step from its first version on, with the version in force at the step's time and ``present``: whether there is one.
+
+    ``versions`` has valid_from and valid_to (null: still in force; at valid_to itself a version is over) for each version of a rule_id.
+    """
+    first = versions.groupBy("rule_id").agg(F.min("valid_from").alias("first"))
+    grid = first.join(F.broadcast(steps.where("at is not null").select("step", "at")), F.col("at") >= F.col("first")).select("rule_id", "step", "at")
+    out = as_of(grid, versions, "rule_id", "at", "valid_from", "v")
+    present = F.col("v.valid_to").isNull() | (F.col("at") < F.col("v.valid_to"))
+    kept = [c for c in versions.columns if c not in ("rule_id", "valid_from", "valid_to")]
+    return out.select("rule_id", "step", "at", *(F.col(f"v.{c}").alias(c) for c in kept), present.alias("present"))
+
+
 def previous(samples: DataFrame, columns: list[str], key: str = "point_id", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The samples with previous_<column> of the sample that arrived before; null for a point's first one.
 

@@ -54,7 +54,7 @@ def evaluations_enriched(evaluations: DataFrame, points: DataFrame, equipment: D
     return df.withColumnsRenamed(EVALUATION_NAMES).select(*EVALUATION_COLUMNS).orderBy("equipment_id", "point_name", "rule_name")
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """Rows with their ``place`` in an order, from 1. Places are counted within ranges of the order, and the ranges' sizes added up: no task sees all rows."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     cut = shared_path(df.sparkSession, "places")
@@ -204,5 +204,16 @@ def generated_alarms(alarms: DataFrame, rules: DataFrame, points: DataFrame, equ
     return with_equipment(df, equipment, "Unknown").orderBy(ranked("state", "ACTIVE", "PENDING", "CLEARED"), F.desc("last_evaluated_at"), "rule_id")
 
 
-def operational_counts(tables: dict[str, DataFrame]) -> dict[str, int]:
-    return {name: df.count() for name, df in tables.items()}
+def operational_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name and n, the number of rows, of each table."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def health_projection(latest: DataFrame, points: DataFrame) -> DataFrame:
+    """What the next sample's health is compared with: the current facts and the point's equipment, empty where the point is not known."""
+    out = latest.join(points.select("point_id", "equipment_id"), "point_id", "left")
+    return out.select("point_id", F.coalesce("equipment_id", F.lit("")).alias("equipment_id"), "quality", "overridden", "out_of_service")

@@ -1,4 +1,4 @@
-"""CSV readers that check their header, typed seeds, replay steps, simulated samples, and writers."""
+"""CSV readers that check their header, typed seeds, register maps with issues, replay steps, simulated samples, and writers."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as t
+from ..operators.events import sample_id
+from .csvfiles import csv_files
 from .schemas import HEADERS
+from .snapshots import Store
 
 
 class HeaderError(ValueError):
@@ -20,32 +22,35 @@ class SurplusCells(ValueError):
     """A row has more cells than the header."""
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).limit(1).collect()
-    return [c.strip().strip('"') for c in first[0][0].lstrip("﻿").split(",")] if first else []
-
-
 def read_csv(spark: SparkSession, path: str, required: Iterable[str]) -> DataFrame:
     """The required columns of a CSV file as text, with row_number of its records (the first one is 2).
 
-    Raises HeaderError with the sorted names that the header lacks. Rows with surplus cells
-    have them in ``__surplus``; checked() refuses those.
+    Raises FileNotFoundError, or HeaderError with the sorted names that the header lacks. Records with surplus cells say so in ``__surplus``; checked() refuses those.
     """
-    header, required = header_of(spark, path), tuple(required)
-    if missing := sorted(set(required) - set(header)):
-        raise HeaderError(f"Missing required columns: {', '.join(missing)}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "__surplus"]])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).csv(path)  # one task a file keeps the file's order
-    return raw.withColumn("row_number", F.monotonically_increasing_id() + 2).select(*required, "row_number", "__surplus")
+    required = tuple(sorted(set(required), key=list(required).index))
+    rows = csv_files(spark, [path], required)
+    if wrong := rows.where("row_number is null").select("issue_field", "issue_message").first():
+        if wrong["issue_field"] == "csv_path":
+            raise FileNotFoundError(wrong["issue_message"])
+        missing = sorted(wrong["issue_message"].partition(": ")[2].split(", "))
+        raise HeaderError(f"Missing required CSV columns: {', '.join(missing)}")
+    return rows.select(*required, "row_number", F.col("issue_message").alias("__surplus"))
 
 
 def checked(rows: DataFrame) -> DataFrame:
     """The rows, if none has surplus cells."""
-    if bad := rows.where("__surplus is not null").agg(F.min("row_number").alias("n")).first()["n"]:
-        raise SurplusCells(f"Row {bad} has more cells than the header")
+    if bad := rows.where("__surplus is not null").agg(F.min(F.struct("row_number", "__surplus")).alias("b")).first()["b"]:
+        raise SurplusCells(f"Row {bad['row_number']}: {bad['__surplus']}")
     return rows.drop("__surplus")
 
 
+def read_register_maps(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(path, row_number and columns of all records; path, row_number, field and message of what is wrong with the files). Surplus cells are no issue here."""
+    rows = csv_files(spark, paths, HEADERS["register_map"])
+    issues = rows.where("row_number is null").select("path", "row_number", F.col("issue_field").alias("field"), F.col("issue_message").alias("message"))
+    return rows.where("row_number is not null").drop("issue_field", "issue_message"), issues
+
+
 def _typed(name: str) -> dict[str, Column]:
     c = F.col
     if name == "points":
@@ -67,12 +72,51 @@ def read_seed(spark: SparkSession, path: str, name: str) -> DataFrame:
     return rows.withColumns(_typed(name)).drop("row_number")
 
 
-def load_seeds(spark: SparkSession, folder: str, files: dict[str, str], out: str) -> dict[str, int]:
-    """Replace the tables of a folder by the seed files (table to file name); returns row counts."""
+#: What a load empties, and how a seed value becomes a sample.
+RUNTIME = ("generated_alarms", "alarm_events")
+LOADER = {"source_default": "SIMULATED", "created_by": "loader", "stale_after_seconds": 300}
+
+
+def seed_samples(values: DataFrame, points: DataFrame, received_at: Column) -> DataFrame:
+    """The seed's current values as samples: units of the catalog (empty for points that it lacks), taken at their update or, where that is blank, at the receipt."""
+    units = points.select(F.col("id").alias("point_id"), "unit")
+    df = values.withColumn("ingest_seq", F.xxhash64("id")).join(units, "point_id", "left")
+    return df.select(
+        sample_id(F.col("point_id"), F.col("id")).alias("sample_id"),
+        "point_id",
+        "value",
+        F.coalesce("unit", F.lit("")).alias("unit"),
+        "quality",
+        F.coalesce(t.timestamp(F.col("updated_at")), received_at).alias("source_timestamp"),
+        received_at.alias("received_timestamp"),
+        "source",
+        F.lit("").alias("protocol"),
+        F.lit("").alias("address"),
+        F.lit(LOADER["stale_after_seconds"]).cast("bigint").alias("stale_after_seconds"),
+        F.lit(False).alias("overridden"),
+        F.lit(False).alias("out_of_service"),
+        F.lit(LOADER["created_by"]).alias("created_by"),
+    )
+
+
+def load_seeds(spark: SparkSession, folder: str, files: dict[str, str], out: str, received_at: Column | None = None) -> dict[str, int]:
+    """Replace the tables of a store by the seed files (table to file name), all of them or none; returns row counts.
+
+    Alarms and events are emptied with them. Where points and current values are loaded, the values become samples too.
+    """
+    tables = Store(spark, out).begin()
+    frames = {name: tables.staged(read_seed(spark, f"{folder}/{file}", name)) for name, file in files.items()}
     counts = {}
-    for name, file in files.items():
-        read_seed(spark, f"{folder}/{file}", name).write.mode("overwrite").parquet(f"{out}/{name}")
-        counts[name] = spark.read.parquet(f"{out}/{name}").count()
+    for name, df in frames.items():
+        tables.replace(name, df)
+        counts[name] = df.count()
+    if {"points", "current_point_values"} <= set(frames):
+        at = F.lit("1970-01-01").cast("timestamp_ntz") if received_at is None else received_at
+        tables.replace("point_samples", seed_samples(frames["current_point_values"], frames["points"], at))
+    for name in RUNTIME:
+        if tables.has(name):
+            tables.replace(name, tables.table(name).limit(0))
+    tables.commit()
     return counts
 
 
