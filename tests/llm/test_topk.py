@@ -36,6 +36,32 @@ def test_odd_vectors(spark):
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_query_ids_that_repeat(spark, tmp_path):
+    """Each row that asks has its own k rows, whether rows of one id are equal or not; the SQL says the same."""
+    import duckdb
+
+    from tickwarden.llm import oracle
+
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(4)) for i in range(1, 59)] + [(0, rng.standard_normal(4)), (0, rng.standard_normal(4)), (20, np.ones(4)), (20, np.ones(4))]
+    df = spark.createDataFrame([(i, [float(x) for x in v], i, 0.5) for i, v in rows], "vec_id long, embedding array<float>, row long, least double")
+    got = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=20, block_rows=16).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    q = [(i, np.floor(64 * np.float32(v).astype(np.float64)).astype(int)) for i, v in rows]
+    want = {}
+    for i, v in q:
+        if i % 20 == 0:
+            scores = sorted((-int(v @ w), j) for j, w in q if j != i)[:20]
+            want.setdefault(i, []).extend((n + 1, j, -s) for n, (s, j) in enumerate(scores))
+    assert {i: sorted(x) for i, x in by.items()} == {i: sorted(x) for i, x in want.items()} and len(by[0]) == 40 and len(by[20]) == 60
+    df.write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    assert sorted(con.sql(oracle.TOP_K).fetchall()) == sorted(tuple(r) for r in got)
+
+
 @pytest.mark.parametrize("kind", ["gauss", "clusters", "copies"])
 def test_tree_covers_and_separates(kind):
     rng = np.random.default_rng(1)

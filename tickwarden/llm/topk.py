@@ -10,8 +10,8 @@ query in a window of Spark.
 
 Components become floor(scale * x). Vectors that are null or hold null or non-finite components take
 no part; vectors of other lengths than a query's are no candidates for it. Ties go to the smaller
-vec_id. Scores are exact; one beyond 64 bits is an error. Rows with equal ids are rows of their own; a query's own id is no candidate. An empty table
-gives no rows. Other columns are ignored.
+vec_id. Scores are exact; one beyond 64 bits is an error. Rows with equal ids are rows of their own, as candidates and as queries: each such query has its own k rows
+in the result, under the id that they share; a query's own id is no candidate. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def _nearest(df: DataFrame, pivots: np.ndarray, column: str) -> DataFrame:
 
 
 def _top(df: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    w = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), F.asc("vec_id"))
     return df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
@@ -200,7 +200,8 @@ def _of_one_length(given: DataFrame, n: int, k: int, block_rows: int, most_pivot
                 f = np.where(np.isfinite(f), f, -np.inf)
                 yield b.drop(columns="far").assign(least=f - 1e-9 * np.abs(f) - 1)
 
-    groups = checkpoint(groups.mapInPandas(with_floor, "vec_id long, v array<double>, g int, least double"))
+    # a number for each query row; ids may repeat
+    groups = checkpoint(groups.mapInPandas(with_floor, "vec_id long, v array<double>, g int, least double").withColumn("row", F.monotonically_increasing_id()))
     least = {r["g"]: r["least"] for r in groups.groupBy("g").agg(F.min("least").alias("least")).collect()}
     norm = np.sqrt((sample**2).sum(axis=1))
     pairs = [
@@ -212,18 +213,18 @@ def _of_one_length(given: DataFrame, n: int, k: int, block_rows: int, most_pivot
     spark = given.sparkSession
     pair = spark.createDataFrame(pairs, "g int, gs int, p int, ps int")  # most_pivots^2 rows at most
     to_p, to_g = pair.groupBy("p").agg(F.first("ps").alias("ps"), F.collect_list(F.struct("g", "gs")).alias("to")), pair.groupBy("g").agg(F.first("gs").alias("gs"), F.collect_list(F.struct("p", "ps")).alias("to"))
-    part = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
+    part = lambda of: F.pmod(F.xxhash64("vec_id", "v"), F.col(of)).cast("int")
     every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
-    left = groups.join(F.broadcast(to_g), "g").withColumn("gi", part("gs")).withColumn("to", F.explode("to")).select("g", "gi", F.col("to.p").alias("p"), F.explode(every("to.ps")).alias("pi"), "vec_id", "v", "least")
+    left = groups.join(F.broadcast(to_g), "g").withColumn("gi", part("gs")).withColumn("to", F.explode("to")).select("g", "gi", F.col("to.p").alias("p"), F.explode(every("to.ps")).alias("pi"), "vec_id", "row", "v", "least")
     right = blocks.join(F.broadcast(to_p), "p").withColumn("pi", part("ps")).withColumn("to", F.explode("to")).select(F.col("to.g").alias("g"), F.explode(every("to.gs")).alias("gi"), "p", "pi", "vec_id", "v")
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if q.empty or p.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+            return pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []}, dtype=np.int64)
         qi, pi = q["vec_id"].to_numpy(), p["vec_id"].to_numpy()
         a, b, score = dual_tree_top_k(np.array(q["v"].tolist()), qi, np.array(p["v"].tolist()), pi, k, q["least"].to_numpy())
-        return pd.DataFrame({"query_id": qi[a], "vec_id": pi[b], "score": score})
+        return pd.DataFrame({"query_id": qi[a], "row": q["row"].to_numpy()[a], "vec_id": pi[b], "score": score})
 
     by = ["g", "gi", "p", "pi"]
-    found = left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(search, "query_id long, vec_id long, score long")
+    found = left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(search, "query_id long, row long, vec_id long, score long")
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
