@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as r
 from ..functions import text as t
-from ..operators import ingest
+from ..operators import importer, ingest, projection
 from ..operators.events import alarm_id, sample_id
 from ..sources import briefing, files
 from ..sources.snapshots import Store, shared_path
-from ..streaming.lifecycle import lifecycle_sink
+from ..streaming.health import streaming_stale_points
+from ..streaming.lifecycle import PROVIDER, lifecycle_sink
 from . import audit_queries as a
 from . import queries as q
 from . import readmodels
+from .domain import TICK_SECONDS as STALE_TICKS
 from .domain import view
 from .queries import query
 
@@ -146,7 +148,7 @@ def unsupported_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     "point_samples",
 )
 def health_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readmodels.health_projection(q.projection.latest(view(spark, sf_dir, "point_samples")), view(spark, sf_dir, "points").where("u % 3 <> 0"))
+    return readmodels.health_projection(projection.latest(view(spark, sf_dir, "point_samples")), view(spark, sf_dir, "points").where("u % 3 <> 0"))
 
 
 _FILE = "device_name, slave_id, function_code, register_address, point_name, data_type, scale, unit, description"
@@ -157,9 +159,13 @@ def _register_files(spark: SparkSession, sf_dir: str) -> list[str]:
     folder = shared_path(spark, "registers")
     rows = view(spark, sf_dir, "register_map").select(*_FILE.split(", "))
     rows.write.option("header", True).option("escape", '"').csv(folder)
+    return [*_parts(spark, folder), f"{folder}/none.csv"]
+
+
+def _parts(spark: SparkSession, folder: str) -> list[str]:
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    return [s.getPath().toString() for s in found if s.getPath().getName().startswith("part-")] + [f"{folder}/none.csv"]
+    return sorted(s.getPath().toString() for s in found if s.getPath().getName().startswith("part-"))
 
 
 @query(f"SELECT {_FILE}, NULL AS field FROM register_map UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'csv_path'", "register_map")
@@ -187,6 +193,117 @@ def briefing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("section", F.col("first").cast("bigint").alias("first"), F.array_join("key", ",").alias("key"), "line")
 
 
+_REPLAY = "sequence, point_id, value, quality, source_timestamp, source, protocol, address, stale_after_seconds, overridden, out_of_service"
+
+
+@query(
+    """SELECT CASE WHEN ingest_seq % 9 = 0 THEN 'x' ELSE CAST(day(ts) AS VARCHAR) END AS sequence, point_id, value, CASE WHEN ingest_seq % 10 = 4 THEN 'GOOD' ELSE quality END AS quality, strftime(ts, '%Y-%m-%d %H:%M:%S') AS source_timestamp, 'SIMULATED' AS source, 'CSV_REPLAY' AS protocol,
+ CAST(ingest_seq AS VARCHAR) AS address, '21600' AS stale_after_seconds, overridden, false AS out_of_service,
+ CAST(row_number() OVER (ORDER BY CASE WHEN ingest_seq % 9 = 0 THEN 99 ELSE day(ts) END, ingest_seq) AS BIGINT) AS place FROM point_samples""",
+    "point_samples",
+)
+def replay_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples written as a replay file and read back in the order of the replay, with their places; blanks have their defaults and flags that are no words are false."""
+    seq, folder = F.col("ingest_seq"), shared_path(spark, "replay")
+    rows = view(spark, sf_dir, "point_samples").select(
+        F.when(seq % 9 == 0, " x ").otherwise(F.dayofmonth("ts").cast("string")).alias("sequence"),
+        "point_id",
+        "value",
+        F.when(seq % 10 == 4, F.lit(" ")).otherwise(F.col("quality")).alias("quality"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("source_timestamp"),
+        F.lit("").alias("source"),
+        F.lit("").alias("protocol"),
+        seq.cast("string").alias("address"),
+        "stale_after_seconds",
+        F.when(F.col("overridden"), "On").otherwise("no").alias("overridden"),
+        F.when(F.col("out_of_service"), "maybe").otherwise("").alias("out_of_service"),
+    )
+    rows.orderBy(seq).coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
+    out = files.read_replay(spark, next(iter(_parts(spark, folder))))
+    number = F.col("sequence").try_cast("bigint")
+    return readmodels.numbered(out, number.isNull(), number, "sequence", "row_number").select(*_REPLAY.split(", "), "place")
+
+
+@query(
+    f"""v AS (SELECT s.*, p.unit AS u, p.point_id IS NOT NULL AS known FROM (SELECT * FROM point_samples QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ingest_seq DESC) = 1) s LEFT JOIN points p ON s.point_id = p.point_id AND p.point_id NOT LIKE '%4')
+SELECT {a._sample('point_id', "concat('CPV-', point_id)")} AS sample_id, point_id, value, coalesce(u, '') AS unit, CASE quality WHEN 'UNKNOWN' THEN 'UNCERTAIN' ELSE quality END AS quality, CASE WHEN point_id LIKE '%3' THEN {a._AT} ELSE CAST(date_trunc('second', ts) AS TIMESTAMP) END AS source_timestamp,
+ {a._AT} AS received_timestamp, source, '' AS protocol, '' AS address, CAST(300 AS BIGINT) AS stale_after_seconds, false AS overridden, false AS out_of_service, 'loader' AS created_by FROM v""",
+    "points",
+    "point_samples",
+)
+def loaded_seed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and current values written as seed files and loaded into a store: the samples that the load makes of the values. Some values are of points that the catalog lacks, some have no time."""
+    folder, store = shared_path(spark, "seeds"), Store(spark, shared_path(spark, "loaded"))
+    points = view(spark, sf_dir, "points").where(~F.col("point_id").endswith("4"))
+    blank = F.lit("")
+    points = points.select(F.col("point_id").alias("id"), "equipment_id", "point_name", "display_name", "point_type", "data_type", F.when(F.col("unit") == "", "null").otherwise(F.col("unit")).alias("unit"), *(blank.alias(c) for c in ("normal_min", "normal_max", "source_system", "description", "created_at", "updated_at")))
+    values = projection.latest(view(spark, sf_dir, "point_samples"))
+    taken = F.when(F.col("point_id").endswith("3"), blank).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    values = values.select(F.concat(F.lit("CPV-"), "point_id").alias("id"), "point_id", "value", "quality", "source", taken.alias("updated_at"))
+    for name, df in (("points", points), ("current_point_values", values)):
+        df.coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{folder}/{name}")
+    named = {n: next(iter(_parts(spark, f"{folder}/{n}"))).removeprefix(f"{folder}/") for n in ("points", "current_point_values")}
+    named = {n: p.split(f"/{n}/")[-1] for n, p in named.items()}
+    files.load_seeds(spark, folder, {n: f"{n}/{p}" for n, p in named.items()}, store.root, F.lit(a.AT).cast("timestamp_ntz"))
+    return store.table("point_samples")
+
+
+@query("SELECT CAST(to_json({'rule_id': rule_id, 'enabled': enabled, 'delay_seconds': delay_seconds, 'clear_value': CASE WHEN clear_value = '' THEN NULL ELSE clear_value END}) AS VARCHAR) AS json FROM alarm_rules", "alarm_rules")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = view(spark, sf_dir, "alarm_rules").select("rule_id", "enabled", "delay_seconds", F.nullif(F.col("clear_value"), F.lit("")).alias("clear_value"))
+    return readmodels.as_json(rules)
+
+
+_TIMELINE = "SELECT CAST(o_orderkey AS {string}) AS id, o_orderdate AS event_timestamp, CAST(o_custkey % 150 AS {string}) AS equipment_id, CASE o_orderkey % 3 WHEN 0 THEN 'Active' WHEN 1 THEN 'Planned' ELSE 'Returned' END AS status FROM {orders}"
+_OOS = "CASE status WHEN 'Active' THEN 0 WHEN 'Planned' THEN 1 ELSE 2 END, event_timestamp, id"
+_SHOWN = "t.id, t.equipment_id, coalesce(e.equipment_type, '') AS equipment_type, coalesce(e.location, '') AS location"
+
+
+@query(f"t AS ({_sql(_TIMELINE)}) SELECT {_SHOWN}, {_PLACE.format(o='event_timestamp, id')} FROM t LEFT JOIN equipment e ON t.equipment_id = e.equipment", "equipment")
+def incident_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = readmodels.incident_timeline(_context(spark, sf_dir, _TIMELINE), view(spark, sf_dir, "equipment"))
+    return readmodels.numbered(out, "event_timestamp", "id").select("id", "equipment_id", "equipment_type", "location", "place")
+
+
+@query(f"t AS ({_sql(_TIMELINE)}) SELECT {_SHOWN}, status, {_PLACE.format(o=_OOS)} FROM t LEFT JOIN equipment e ON t.equipment_id = e.equipment", "equipment")
+def equipment_out_of_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _context(spark, sf_dir, _TIMELINE).withColumnRenamed("event_timestamp", "started_at")
+    out = readmodels.equipment_out_of_service(rows, view(spark, sf_dir, "equipment")).withColumn("rank", readmodels.ranked("status", "Active", "Planned"))
+    return readmodels.numbered(out, "rank", "started_at", "id").select("id", "equipment_id", "equipment_type", "location", "status", "place")
+
+
+@query(f"{q._ACKS} SELECT k.rule_id, episode FROM k JOIN alarm_rules r USING (rule_id) WHERE k.state = 'CLEARED' AND r.severity = 'Critical' AND acknowledged", *q._BASE)
+def filtered_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms by all three filters at once."""
+    alarms = q._acknowledged(spark, sf_dir).join(view(spark, sf_dir, "alarm_rules").select("rule_id", "severity"), "rule_id")
+    return readmodels.filtered_alarms(alarms, state="CLEARED", severity="Critical", acknowledged=True).select("rule_id", "episode")
+
+
+@query(
+    "SELECT point_id, CASE WHEN u % 2 = 0 THEN 'kept' ELSE 'new' END AS unit, CASE WHEN u % 3 = 0 THEN 'kept' ELSE concat('d', u) END AS description, 'modbus' AS protocol FROM points",
+    "points",
+)
+def filled_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import over points without protocol and address: blank units and descriptions are filled, others stay."""
+    u = F.col("u")
+    points = view(spark, sf_dir, "points").withColumns({"unit": F.when(u % 2 == 0, "kept").otherwise(""), "description": F.when(u % 3 == 0, "kept").otherwise(""), "protocol": F.lit(""), "address": F.lit(""), "source_system": F.lit("")})
+    rows = points.select("point_id", "equipment_id", u.alias("row_number"), F.lit(True).alias("complete"), F.lit("new").alias("unit"), F.concat(F.lit("d"), u).alias("description"), F.lit("BMS").alias("source_system"), F.lit("modbus").alias("protocol"), F.concat(F.lit("a"), u).alias("address"),
+                         "point_name", "display_name", "point_type", "data_type", *(F.lit("").alias(c) for c in ("equipment_type", "location", "criticality")))
+    _, _, filled = importer.committed(rows, points, view(spark, sf_dir, "equipment"), F.lit(a.AT).cast("timestamp_ntz"))
+    return filled.select("point_id", "unit", "description", "protocol")
+
+
+@query("SELECT 'point_samples' AS name, count(*) AS n FROM point_samples WHERE ingest_seq % 2 = 0 UNION ALL SELECT 'current_point_values', count(DISTINCT point_id) FROM point_samples WHERE ingest_seq % 2 = 0 UNION ALL SELECT 'alarm_events', 0 UNION ALL SELECT 'failed_samples', 0 UNION ALL SELECT 'points', count(*) FROM points", "points", "point_samples")
+def reset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds after all samples came in and the operational tables were reset to a seed of every second sample."""
+    store = a._ingested(spark, sf_dir)
+    seed = view(spark, sf_dir, "point_samples").where("ingest_seq % 2 = 0")
+    tx = store.begin()
+    ingest.reset(tx, seed)
+    tx.commit()
+    return readmodels.operational_counts({n: store.table(n) for n in ("point_samples", "current_point_values", "alarm_events", "failed_samples", "points")})
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
@@ -206,10 +323,32 @@ def streamed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table("alarm_transitions")
 
 
-@query(f"{q._TICKS}, s AS (SELECT count(*) AS checked FROM (SELECT DISTINCT point_id FROM point_samples)) SELECT s.checked, (SELECT count(*) FROM (SELECT * FROM point_samples QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ingest_seq DESC) = 1) l WHERE quality = 'STALE' OR received_timestamp + INTERVAL 6 HOUR < TIMESTAMP '2024-02-01') AS stale FROM s", "points", "point_samples")
+@query("s AS (SELECT count(*) AS checked FROM (SELECT DISTINCT point_id FROM point_samples)) SELECT s.checked, (SELECT count(*) FROM (SELECT * FROM point_samples QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ingest_seq DESC) = 1) l WHERE quality = 'STALE' OR received_timestamp + INTERVAL 6 HOUR < TIMESTAMP '2024-02-01') AS stale FROM s", "point_samples")
 def health_sweep_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sweep over all current values."""
-    current = q.projection.latest(view(spark, sf_dir, "point_samples"))
+    current = projection.latest(view(spark, sf_dir, "point_samples"))
     stale = ingest.stale_points(current, F.lit("2024-02-01").cast("timestamp_ntz"))
     return current.agg(F.count("*").alias("checked")).crossJoin(stale.agg(F.count("*").alias("stale")))  # of one row each
 
+
+
+@query(f"{q._STALE} SELECT point_id, ingest_seq, min(tick) AS tick FROM stale GROUP BY ALL", "points", "point_samples")
+def streamed_stale_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples as a stream in two micro-batches by arrival; timers tell of what grows stale. Ticks after the last sample are left out, as the sweeps end there."""
+    rows = view(spark, sf_dir, "point_samples").select("point_id", "ingest_seq", "ts", "quality", "received_timestamp", "source_timestamp", "stale_after_seconds")
+    span = rows.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("a"), F.max("ts").alias("b"), F.expr("percentile_approx(ingest_seq, 0.5)").alias("half")).first()
+    files_at, marks, out = (shared_path(spark, n) for n in ("samples", "stream", "stale"))
+    early = F.col("ingest_seq") <= (span["half"] or 0)
+    last = spark.sql("SELECT CAST(NULL AS STRING) AS point_id, CAST(-1 AS BIGINT) AS ingest_seq, TIMESTAMP_NTZ '2100-01-01 00:00:00' AS ts, 'GOOD' AS quality, CAST(NULL AS TIMESTAMP_NTZ) AS received_timestamp, TIMESTAMP_NTZ '2100-01-01 00:00:00' AS source_timestamp, CAST(0 AS BIGINT) AS stale_after_seconds")
+    for part in (rows.where(early), rows.where(~early), last):  # the last row lets the watermark pass all others
+        part.coalesce(1).write.mode("append").parquet(files_at)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, PROVIDER)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(files_at)
+        found = streaming_stale_points(stream, str(span["a"] or "2024-01-01"), STALE_TICKS, "40 days")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(found.schema).parquet(out).where(F.col("tick") <= F.lit(span["b"]).cast("timestamp_ntz"))
