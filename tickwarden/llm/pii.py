@@ -39,7 +39,9 @@ ENDINGS = {"latin": {"m": "en", "f": "a", "n": "i"}, "cyrillic": {"m": "ов", "
 FEMININE = r"(?:ов|ев|ёв|ин|ын)а$|[сц]кая$"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_TITLES = "|".join(sorted(MALE + FEMALE + EITHER, key=len, reverse=True))
+_FIRSTS = "".join(sorted({t[0] for t in MALE + FEMALE + EITHER}))
+#: By first letter, so that most places of a text are passed over at once.
+_TITLES = "|".join(f"{c}(?:{'|'.join(sorted((t[1:] for t in MALE + FEMALE + EITHER if t[0] == c), key=len, reverse=True))})" for c in _FIRSTS)
 _TITLED = rf"(?:(?:{_TITLES})\.? )+"
 _NAME = r"\p{Lu}(?:\p{Ll}+|['’]\p{Lu}\p{Ll}+)(?:-\p{Lu}\p{Ll}+)*"
 _PART = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?:{_NAME}|\p{{Lu}}\.)"
@@ -53,13 +55,14 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9+(-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z+(])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "person": rf"(?<!\p{{L}}){_TITLED}{_PART}(?: {_PART}){{0,6}}",
+    "person": rf"(?=[{_FIRSTS}])(?<!\p{{L}}){_TITLED}{_PART}(?: {_PART}){{0,6}}",
 }
 _BY_FIRST = {r"[0-9+(]": ("ip", "ssn", "card", "phone"), r"\p{Lu}": ("iban", "person")}
 ANY = "|".join([f"(?:{PATTERNS['email']})", *(f"(?={first})(?:{'|'.join(f'(?:{PATTERNS[n]})' for n in names)})" for first, names in _BY_FIRST.items())])
 #: What every text that holds a mention has; fast to look for.
-MAYBE = r"[@0-9]|M(?:r|s|i|me|lle|on|ad)|Herr|Frau|S(?:eñ|r|ir)|D(?:r|on|oc|ok|oñ)|Prof|Rev|Lord|Lady|Capt|Госп|Докт|Проф"
+MAYBE = rf"[@0-9]|(?=[{_FIRSTS}])(?:{_TITLES})\.? "
 PERSON = PATTERNS["person"]
+_NAMES = "array<struct<kind:string,canon:string,mention:string,after:string,gender:string>>"
 
 
 def kind_of(mention: Column) -> Column:
@@ -251,16 +254,20 @@ def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     return done if done is not None else entities.withColumn("core", F.lit(""))
 
 
+def _pattern(names: Column) -> Column:
+    """ANY and, if a document has names, their words; of two words that begin alike the longer one comes first."""
+    words = F.array_join(F.sort_array(F.array_distinct(F.transform(F.coalesce(names, F.array().cast(_NAMES)), lambda x: x["mention"])), asc=False), "|")
+    also = lambda w: F.concat(F.lit(rf"{ANY}|(?<!\p{{L}})(?:"), w, F.lit(r")(?!\p{L})"))
+    return F.get(F.transform(F.array(words), lambda w: F.when(w == "", F.lit(ANY)).otherwise(also(w))), F.lit(0))
+
+
 def replace_private_data(docs: DataFrame, secret: str = "tickwarden", count: str | None = None) -> DataFrame:
     """The documents with surrogates in their texts; ``count`` names a column for the number of mentions. Other columns may have any names."""
     names, docs = [*docs.columns, *([count] if count else [])], aside(docs, "__pii")
     found = F.col("text").isNotNull() & F.col("text").rlike(MAYBE) & F.col("text").rlike(ANY)
     clean = docs.where(~found).withColumns({count: F.lit(0)} if count else {})
     hits = docs.where(found).withColumn("__pii_key", text_key()).withColumn("__pii_names", F.when(F.col("text").rlike(PERSON), names_in(F.col("text"), secret)))
-    words = F.array_join(F.sort_array(F.array_distinct(F.transform("__pii_names", lambda x: x["mention"])), asc=False), "|")  # of two words that begin alike the longer one comes first
-    also = F.concat(F.lit(rf"{ANY}|(?<!\p{{L}})(?:"), words, F.lit(r")(?!\p{L})"))
-    hits = hits.withColumn("__pii_pattern", F.when(F.size("__pii_names") > 0, also).otherwise(F.lit(ANY)))
-    mentions = hits.select("__pii_key", "__pii_names", F.regexp_extract_all("text", F.col("__pii_pattern"), F.lit(0)).alias("m")).dropDuplicates(["__pii_key"])
+    mentions = hits.select("__pii_key", "__pii_names", F.regexp_extract_all("text", _pattern(F.col("__pii_names")), F.lit(0)).alias("m")).dropDuplicates(["__pii_key"])
     mentions = mentions.select("__pii_key", "__pii_names", F.posexplode("m").alias("at", "mention"))
     mentions = mentions.withColumn("parts", parts_of(kind_of(F.col("mention")), F.col("mention"), F.col("__pii_names"), secret))
     mentions = checkpoint(mentions.select("__pii_key", "at", F.posexplode("parts").alias("part", "entity")).select("__pii_key", "at", "part", "entity.*"))
@@ -270,7 +277,7 @@ def replace_private_data(docs: DataFrame, secret: str = "tickwarden", count: str
     part = F.struct("part", F.concat(rendered(F.col("kind"), F.col("mention"), F.col("core"), F.col("gender")), F.col("after")).alias("by"))
     by = cored.groupBy("__pii_key", "at").agg(F.array_join(F.array_sort(F.collect_list(part))["by"], "").alias("by"))  # the parts of one mention
     texts = by.groupBy("__pii_key").agg(F.array_sort(F.collect_list(F.struct("at", "by")))["by"].alias("__pii_by"))
-    whole = F.array_join(F.transform(F.arrays_zip(F.split("text", F.col("__pii_pattern"), -1).alias("part"), F.col("__pii_by").alias("by")), lambda x: F.concat(x["part"], F.coalesce(x["by"], F.lit("")))), "")
+    whole = F.array_join(F.transform(F.arrays_zip(F.split("text", _pattern(F.col("__pii_names")), -1).alias("part"), F.col("__pii_by").alias("by")), lambda x: F.concat(x["part"], F.coalesce(x["by"], F.lit("")))), "")
     changed = hits.join(texts, "__pii_key")
     out = changed.select(*(whole.alias("text") if c == "text" else F.col(c) for c in docs.columns), *([F.size("__pii_by").alias(count)] if count else []))
     return clean.unionByName(out).toDF(*names)
