@@ -2,6 +2,9 @@
 
 Each stage but the last keeps the columns of documents, and each works on all that the one before it
 kept. The classifier and the decontamination read the tables labels and benchmark of sf_dir.
+
+In all stages texts are worked on whole, however long; rows with equal ids are rows of their own; columns beyond id and text pass
+through under any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,27 +21,27 @@ from tickwarden.llm.tokens import vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the classifier rejects."""
+    """Drop what the classifier rejects. Null texts count as empty and are scored as such; equal texts have one score and share their fate; where there is nothing to learn from all are kept."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class."""
+    """Keep one document of each class, the one with the smallest id (null ids last). Null and empty texts are one class; repeated rows keep one."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item. Null and empty texts hold none; items of fewer than five words are no items; repeated rows go or stay alike."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data."""
+    """Replace personal data. A null text stays null; equal texts change alike, so repeated rows stay repeated; of entities that draw one surrogate the least keeps it."""
     return replace_private_data(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences."""
+    """Pack the documents' tokens into sequences. Null and empty texts are the end id alone; longer documents are cut; ties go by id; repeated rows are packed each."""
     return best_fit_sequences(docs, vocabulary_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 

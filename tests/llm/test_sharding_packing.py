@@ -53,6 +53,51 @@ def test_shards(spark):
     assert (got["shard"] == got["first_shard"]).mean() > 0.9
 
 
+def walked(ids, shards, vnodes=128):
+    """Shard and slot of each row by a walk row by row: in each round every row that has no shard yet tries the next other shard clockwise of its arc, nearer arcs and lower hashes first."""
+    import bisect
+
+    import xxhash
+
+    points = sharding.ring_points(shards, vnodes)
+    ends = [p for p, _ in points]
+    rows = []
+    for i in ids:
+        h = xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42)
+        signed = h - (1 << 64) if h >> 63 else h
+        rows.append((bisect.bisect_left(ends, h >> 32) % len(ends), signed, i))
+    rows.sort()
+    room = sharding.quotas(len(rows), shards, 0.0)
+    held, placed = [0] * shards, {}
+    met = {}
+    for arc in {a for a, *_ in rows}:
+        seen = {}
+        for step in range(len(points)):
+            seen.setdefault(points[(arc + step) % len(points)][1])
+        met[arc] = list(seen)
+    for turn in range(shards):
+        for arc, _, i in rows:
+            if i not in placed and held[s := met[arc][turn]] < room[s]:
+                placed[i] = (s, held[s])
+                held[s] += 1
+    return placed
+
+
+def test_shards_are_a_walk_row_by_row(spark):
+    docs = many(spark, 1500)
+    for shards in (3, 8):
+        got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.consistent_hash_shards(docs, shards=shards).collect()}
+        assert got == walked(range(1500), shards)
+
+
+def test_few_rows_move_when_a_shard_joins(spark):
+    docs = many(spark, 3000)
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.consistent_hash_shards(docs, shards=n).collect()} for n in (8, 9))
+    moved = [i for i in before if before[i] != after[i]]
+    assert len(moved) < 3000 * (1 / 9 + 0.12)  # a ninth must go to the new shard; the rest is what exact quotas shift
+    assert sum(after[i] == 8 for i in moved) == sum(s == 8 for s in after.values())
+
+
 def test_shards_of_odd_rows(spark):
     got = sharding.consistent_hash_shards(spark.createDataFrame(ODD, DOCS)).collect()
     assert len(got) == len(ODD)

@@ -11,7 +11,7 @@ exact share of the item's distinct shingles that the document holds.
 Words are runs of letters and digits in lower case. Nulls: a null text counts as empty, an item or
 document of fewer than five words has no shingles and matches nothing, an item with a null id is
 no item; rows that share an item id are one item. Equal texts match alike, so repeated rows are
-reported each. Texts of any length are read whole: a very long one costs its distinct sketched shingles. Empty tables give no rows. Other columns are ignored, or pass through
+reported each. Ties: all items that reach the threshold are reported. Texts of any length are read whole: a very long one costs its distinct sketched shingles. Empty tables give no rows. Other columns are ignored, or pass through
 ``drop_contaminated``, whatever their names.
 """
 

@@ -10,7 +10,7 @@ block at once and any id is found without reading what lies before it.
     number of ids, documents and blocks and offset of the footer (u64 each), magic
 
 Nulls: a null text counts as empty and still has its end id; a null doc_id is flagged and sorts
-first. Repeated rows are stored one after another. An empty table gives no files. Other columns
+first. Very long texts are encoded whole, in one task. Ties: rows with equal ids stand in the order of their texts' checksums, then of the texts. Repeated rows are stored one after another. An empty table gives no files. Other columns
 are ignored.
 """
 

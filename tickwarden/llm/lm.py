@@ -16,7 +16,7 @@ once for each part, and the sums of the parts are added up.
 A target document is scored by models that counted it, as all others are by the background model.
 
 Nulls: a null text counts as empty; texts without tokens have 0 tokens and losses of 0; a null id
-is no target. Without targets the target model is uniform. Repeated rows count and score each; equal texts get equal
+is no target. Without targets the target model is uniform. Ties: scores may be equal; no row depends on another's. Repeated rows count and score each; equal texts get equal
 scores. Very long texts are worked on in parts of 2 MB, with the same result. An empty table gives no
 rows. Other columns are ignored.
 """

@@ -10,7 +10,7 @@ first window that reaches the threshold to the end of the last one. Candidates o
 are left out. All of it is Spark expressions on one row; nothing is shuffled.
 
 Spans are counted in code points, end exclusive. Nulls: a null text counts as empty, a null doc_id
-stays null. Repeated rows each give a row. An empty table gives no rows. Other columns are ignored.
+stays null. Very long texts are searched whole, in one row of one task. Ties: spans with equal start stand in the order of their kinds. Repeated rows each give a row. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

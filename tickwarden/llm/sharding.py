@@ -10,7 +10,7 @@ Only the counts of the arcs (shards x vnodes numbers, whatever the input) reach
 which turns them into intervals of the arcs' rows. Rows are ranked within cells: arcs are
 cut into as many cells as their rows ask for, so that no task ranks more than a cell.
 
-Nulls: a null key is placed by its text, a null text has 0 bytes. Repeated rows are each
+Nulls: a null key is placed by its text, a null text has 0 bytes. Very long texts: only their lengths and hashes are used. Ties: rows with equal hashes stand in the order of id, text and size. Repeated rows are each
 placed. An empty table gives no rows. Other columns are ignored.
 """
 
