@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -294,6 +295,25 @@ def test_classes_of_versions_are_brute_force(spark, monkeypatch, few):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want))
 
 
+def stored_frames(monkeypatch):
+    """The names of the frames that the search for near-duplicates stores from now on."""
+    names, store = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name: names.append(name) or store(df, name))
+    return names
+
+
+@pytest.mark.parametrize("outside", [512, 1])
+def test_stage_of_the_pipeline_compares_mixed_buckets_once(spark, monkeypatch, outside):
+    """Whatever is outside of a bucket's largest class: no round follows another, in which the driver would keep more and more plans."""
+    monkeypatch.setattr(neardup, "OUTSIDE", outside)
+    monkeypatch.setattr(neardup, "PART_NODES", 3)
+    texts = versions(41, 14, 150)
+    names = stored_frames(monkeypatch)
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(brute_classes(spark, texts)))
+    assert Counter(names) == {"nodes": 1, "members": 1, "order": 1, "sets": 1, "mixed": 1, "links": 2}
+
+
 def parts_of_a_text(seed):
     """A text, versions of its end, and two parts of it that are like each other but not like the text."""
     base = sentence(seed, 204)

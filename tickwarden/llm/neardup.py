@@ -14,15 +14,9 @@ pairs are verified by the exact weighted Jaccard similarity of their whole texts
   their sets of hashed shingles are written once, and texts are not read again.
 * In each bucket every node is compared to one centre, the node with most bucket neighbours:
   comparisons grow with the rows, not with the square of a group. Linked nodes are joined into classes.
-* Buckets whose nodes are then in several classes are compared again: every node outside a bucket's largest class to all of its nodes of other
-  classes. A bucket is cut into parts of bounded size for that, and its nodes outside are sent to each part. That is exact, and linear in
-  the bucket's nodes as long as no more than OUTSIDE are outside.
-* Buckets with more go on with all their nodes until none is left. Every node is compared to one centre, and
-  new buckets hold what may be alike away from it. Let I be what a node x of weight X shares with the centre, t the threshold. A node
-  y like x has at least the weight tX and shares at least t(X + Y)/(1 + t) >= tX with x. So if I < tX, the two have shingles in common of
-  which the centre has fewer: the centre and such a shingle are a bucket. Else they may have none, but then t(X + Y)/(1 + t) <= I: the centre
-  and the slot of the weight are a bucket for x with the weights from tX to I(1 + t)/t - X and for y with its own. The new buckets' nodes come after
-  the centre in one order of all nodes, so the rounds end.
+* Buckets whose nodes are then in several classes are compared again, once: every node outside a bucket's largest class to all of its nodes of other
+  classes. Both sides are cut for that: the bucket's nodes into parts, those outside into turns, and each part meets each turn. That is exact, a task's
+  memory is bounded, and the number of rounds does not depend on the data. The work grows with a bucket's nodes times its nodes outside.
 
 No link between two different texts of one bucket is lost; pairs that share no band are never met.
 
@@ -50,7 +44,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Nodes outside a bucket's largest class up to which all pairs are compared, and the shingles that these may have in all.
+#: Nodes outside a bucket's largest class, and their shingles, that ask one part in one turn, on average.
 OUTSIDE, OUTSIDE_SHINGLES = 512, 1 << 21
 #: Nodes and shingles of a bucket's part, on average.
 PART_NODES, PART_SHINGLES = 2048, 1 << 20
@@ -212,7 +206,7 @@ def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
 
 
 def beyond(x: np.ndarray, c: np.ndarray, linked: bool, threshold: float, idf: np.ndarray) -> np.ndarray:
-    """What x has in common, beyond its centre c, with any node that is like x but in another class: elements and slots of weight."""
+    """What x has in common, beyond its centre c, with any node that is like x but in another class: elements and slots of weight. No query uses it."""
     w = weights_of(x, idf)
     inside = np.isin(x, c, assume_unique=True)
     shared, total = w[inside].sum(), w.sum()
@@ -334,65 +328,59 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def _cells(groups: DataFrame) -> DataFrame:
+    """The groups with a key instead of g: a row for each cell, where one part of a group's nodes meets one turn of those that ask."""
+    n, m = (lambda asks: F.count_if(asks)), (lambda asks: F.sum(F.when(asks, F.col("n_els"))))
+    sized = groups.groupBy("g").agg(n(~F.col("asks")).alias("n"), m(~F.col("asks")).alias("m"), n(F.col("asks")).alias("asking"), m(F.col("asks")).alias("asking_m"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PART_NODES), F.ceil(F.col("m") / PART_SHINGLES)).cast("int")
+    turns = F.greatest(F.lit(1), F.ceil(F.col("asking") / max(1, OUTSIDE)), F.ceil(F.col("asking_m") / OUTSIDE_SHINGLES)).cast("int")
+    many = hinted(sized.select("g", parts.alias("parts"), turns.alias("turns")).where("parts > 1 or turns > 1"))
+    cut = groups.join(many, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("turns", F.coalesce("turns", F.lit(1)))
+    own = lambda of: F.array(F.pmod(F.xxhash64("node"), F.col(of)).cast("int"))
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    cut = cut.withColumn("part", F.explode(F.when(F.col("asks"), every("parts")).otherwise(own("parts"))))
+    cut = cut.withColumn("turn", F.explode(F.when(F.col("asks"), own("turns")).otherwise(every("turns"))))
+    return cut.select(F.xxhash64("g", "part", "turn").alias("key"), "asks", "node", F.xxhash64("c").alias("c"))
+
+
 def _compared(groups: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) between nodes of one group, and what nodes have beyond a centre.
+    """Links (a, b) between nodes of one group.
 
-    ``groups`` has rows of g, node, c (its class), asks and deep: the nodes that ask are compared to all others of their group. For each that asks and
-    each other class one link is given, if there is any; where the group is deep, a row for each node with linked and what it has beyond the one that asks. A group is cut into parts of bounded size, and those that ask go to each part.
+    ``groups`` has rows of g, node, c (its class) and asks: the nodes that ask are compared to all others of their group. For each that asks and
+    each other class of a part one link is given, if there is any.
     """
-    sized = groups.groupBy("g").agg(F.count_if(~F.col("asks")).alias("n"), F.sum(F.when(~F.col("asks"), F.col("n_els"))).alias("m"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PART_NODES), F.ceil(F.col("m") / PART_SHINGLES)).cast("int")
-    many = hinted(sized.select("g", parts.alias("parts")).where("parts > 1"))
-    cut = groups.join(many, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
-    cut = cut.select(F.xxhash64("g", "part").alias("key"), "asks", "deep", "node", F.xxhash64("c").alias("c"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
         for rows in _together(tidy(batches)):
-            asks, kind = rows.column(1).to_numpy(zero_copy_only=False), rows.column(4).to_numpy()
-            ends = rows.column(5).offsets.to_numpy()
-            flat = rows.column(5).values.to_numpy()
+            asks, kind = rows.column(1).to_numpy(zero_copy_only=False), rows.column(3).to_numpy()
+            ends = rows.column(4).offsets.to_numpy()
+            flat = rows.column(4).values.to_numpy()
             sets_ = [flat[s:e] for s, e in zip(ends, ends[1:])]
-            deep = bool(rows.column(2)[0].as_py())
             other = np.flatnonzero(~asks)
-            a, b, linked, more = [], [], [], []
+            a, b = [], []
             if len(other):
                 part = Part([sets_[i] for i in other], weights)
                 for i in np.flatnonzero(asks):
-                    alike = part.similarities(sets_[i], weights) >= threshold - 1e-6
-                    if deep:
-                        a += [i] * len(other)
-                        b += other.tolist()
-                        linked += alike.tolist()
-                        more += [beyond(sets_[j], sets_[i], bool(x), threshold, weights) for j, x in zip(other, alike)]
-                    else:
-                        found = other[alike]
-                        found = found[kind[found] != kind[i]]
-                        found = found[np.unique(kind[found], return_index=True)[1]]
-                        a += [i] * len(found)
-                        b += found.tolist()
-                        linked += [True] * len(found)
-                        more += [np.empty(0, np.int64)] * len(found)
-            node = rows.column(3)
-            ends = np.cumsum([0, *map(len, more)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64())), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*more, np.empty(0, np.int64)])))],
-                ["a", "b", "linked", "beyond"],
-            )
-
-    full = cut.join(sets, "node").select("key", "asks", "deep", "node", "c", "els")
+                    found = other[part.similarities(sets_[i], weights) >= threshold - 1e-6]
+                    found = found[kind[found] != kind[i]]
+                    found = found[np.unique(kind[found], return_index=True)[1]]
+                    a += [i] * len(found)
+                    b += found.tolist()
+            node = rows.column(2)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+    full = _cells(groups).join(sets, "node").select("key", "asks", "node", "c", "els")
     full = full.repartition("key").sortWithinPartitions("key")
-    return stored(full.mapInArrow(check, "a binary, b binary, linked boolean, beyond array<long>"), "links")
+    return stored(full.mapInArrow(check, "a binary, b binary"), "links")
 
 
-def _stars(members: DataFrame, order: DataFrame, deep: bool) -> DataFrame:
-    """Groups in which the node with most neighbours of each bucket asks all others of its buckets; it comes first in the order of nodes."""
+def _stars(members: DataFrame, order: DataFrame) -> DataFrame:
+    """Groups in which the node with most neighbours of each bucket asks all others of its buckets."""
     centres = members.join(order, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("g"))
     rows = members.join(centres, "bucket").select("g", "node").distinct()
     rows = rows.where("g <> node").unionByName(rows.select("g", F.col("g").alias("node")).distinct())
-    return rows.join(order.select("node", "n_els"), "node").select("g", "node", F.col("node").alias("c"), "n_els", (F.col("g") == F.col("node")).alias("asks"), F.lit(deep).alias("deep"))
+    return rows.join(order.select("node", "n_els"), "node").select("g", "node", F.col("node").alias("c"), "n_els", (F.col("g") == F.col("node")).alias("asks"))
 
 
 def _in_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -400,28 +388,17 @@ def _in_class(nodes: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, classes: DataFrame, order: DataFrame) -> DataFrame:
-    """All members (bucket, node, c, n_els) of buckets with nodes of several classes, with the bucket's largest class and whether to compare pair by pair."""
+    """All members (bucket, node, c, n_els) of buckets with nodes of several classes, with the bucket's largest class."""
     own = _in_class(members, classes).join(order.select("node", "n_els"), "node")
-    sizes = own.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("n_els").alias("m"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "m", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    few = (F.col("n") - F.col("most.n") <= OUTSIDE) & (F.col("m") - F.col("most.m") <= OUTSIDE_SHINGLES)
-    return stored(own.join(mixed.select("bucket", F.col("most.c").alias("largest"), few.alias("few")), "bucket"), "mixed")
+    sizes = own.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    return stored(own.join(mixed.select("bucket", F.col("most.c").alias("largest")), "bucket"), "mixed")
 
 
 def _all_pairs(mixed: DataFrame) -> DataFrame:
     """Groups in which the nodes outside a bucket's largest class ask all nodes; they are among those that are asked."""
-    rows = mixed.where("few").select(F.col("bucket").alias("g"), "node", "c", "n_els", (F.col("c") != F.col("largest")).alias("outside"), F.lit(False).alias("deep"))
-    return rows.select("g", "node", "c", "n_els", "deep", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("asks"))
-
-
-def _next_members(compared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, node) of the buckets of a centre and something beyond it that hold an unlinked node and nodes of two classes, each set of nodes once."""
-    beyond_ = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), "linked", "beyond")
-    own = _in_class(beyond_, classes).select("node", F.xxhash64("node").alias("key"), F.xxhash64("c").alias("c"), "linked", "centre", F.explode("beyond").alias("h"))
-    own = own.select("node", "key", "c", "linked", F.xxhash64("centre", "h").alias("bucket"))
-    sets = own.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(key)").alias("x"), F.min("c").alias("low"), F.max("c").alias("high"), F.bool_and("linked").alias("done"))
-    once = sets.where("low <> high and not done").groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return stored(own.select("bucket", "node").join(once, "bucket"), "members")
+    rows = mixed.select(F.col("bucket").alias("g"), "node", "c", "n_els", (F.col("c") != F.col("largest")).alias("outside"))
+    return rows.select("g", "node", "c", "n_els", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("asks"))
 
 
 def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -437,28 +414,16 @@ def near_duplicate_nodes(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     order = stored(first.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"), F.first("n_els").alias("n_els")), "order")
     members = first.select("bucket", "node")
     sets = _sets(docs, order)
-    links = _compared(_stars(members, order, False), sets, idf, threshold)
-    classes = components(links.select("a", "b"))
-    discard(links)
-    while True:
-        mixed = _mixed(members, classes, order)
-        deep = not mixed.where("not few").isEmpty()
-        found = _compared(_all_pairs(mixed), sets, idf, threshold)
-        used = [mixed, found]
-        new = found.select("a", "b")
-        if deep:
-            used.append(away := _compared(_stars(mixed.where("not few").select("bucket", "node"), order, True), sets, idf, threshold))
-            new = new.unionByName(away.where("linked").select("a", "b"))
-        if not new.isEmpty():
-            before, classes = classes, components(new.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-            used.append(before)
-        if deep:
-            used.append(members)
-            members = _next_members(away, classes)
-        discard(*used)
-        if not deep:
-            discard(first, members, order, sets)
-            return classes
+    links = _compared(_stars(members, order), sets, idf, threshold)
+    classes = components(links)
+    mixed = _mixed(members, classes, order)
+    found = _compared(_all_pairs(mixed), sets, idf, threshold)
+    discard(links, mixed, first, order, sets)
+    if not found.isEmpty():
+        before, classes = classes, components(found.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(before)
+    discard(found)
+    return classes
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
