@@ -314,6 +314,19 @@ def test_stage_of_the_pipeline_compares_mixed_buckets_once(spark, monkeypatch, o
     assert Counter(names) == {"nodes": 1, "members": 1, "order": 1, "sets": 1, "mixed": 1, "links": 2}
 
 
+def test_each_node_that_asks_meets_each_other_in_one_cell(spark, monkeypatch):
+    """And no cell has much more than a part and a turn, however many ask."""
+    monkeypatch.setattr(neardup, "OUTSIDE", 10)
+    monkeypatch.setattr(neardup, "PART_NODES", 20)
+    rows = [("g", f"n{i}", f"c{i}", 5, asks) for i in range(100) for asks in ([True, False] if i < 60 else [False])] + [("h", f"n{i}", f"c{i}", 5, i == 0) for i in range(5)]
+    cells = {}
+    for r in neardup._cells(spark.createDataFrame(rows, "g string, node string, c string, n_els long, asks boolean")).collect():
+        cells.setdefault(r["key"], ([], []))[0 if r["asks"] else 1].append(r["node"])
+    met = Counter((a, b) for asking, others in cells.values() for a in asking for b in others)
+    assert met == Counter([(f"n{i}", f"n{j}") for i in range(60) for j in range(100)]) + Counter(("n0", f"n{j}") for j in range(1, 5))
+    assert len(cells) == 6 * 5 + 1 and max(len(asking) for asking, _ in cells.values()) <= 20 and max(len(others) for _, others in cells.values()) <= 40
+
+
 def parts_of_a_text(seed):
     """A text, versions of its end, and two parts of it that are like each other but not like the text."""
     base = sentence(seed, 204)
